@@ -125,7 +125,7 @@ SQL = {
         UNION ALL SELECT 'chunk', chunk_id, '', embedding FROM chunk_embeddings),
     usable AS (
         SELECT store, key, any_value(model) AS model, any_value(embedding::DOUBLE[64]) AS v FROM stored
-        WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> isfinite(x))) = 64 AND len(list_filter(embedding, x -> x <> 0)) > 0 GROUP BY store, key),
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY store, key),
     pairs AS (
         SELECT a.store, a.key AS me, b.key AS other, array_cosine_similarity(a.v, b.v) AS s
         FROM usable a JOIN usable b ON a.store = b.store AND a.model = b.model AND a.key <> b.key),
