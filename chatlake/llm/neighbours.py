@@ -17,12 +17,14 @@ from chatlake.session import settle
 
 DIMENSION = 64
 NEAREST = 5
-CELL_ROWS = 1024
+CELL_ROWS = 2048
 """Rows an average block should have; the number of blocks follows from the number of rows."""
-TILE_ROWS = 2048
+TILE_ROWS = 8192
 """A larger block is cut into tiles of about this many rows, each pair of tiles being a group of its own."""
-TABLES = 10
+TABLES = 7
 """Independent block schedules; a pair is multiplied if any schedule puts both into one block."""
+BROADCAST_BLOCKS = 100_000
+"""Large blocks up to this number are broadcast (two numbers each)."""
 DENSE = 256
 """A row with more partners within the error bound in one tile has its block multiplied in float."""
 
@@ -140,8 +142,15 @@ def _float_pairs(keys: np.ndarray, unit: np.ndarray, side: np.ndarray, least: fl
     return pairs.min(1), pairs.max(1)
 
 
-def _tiled(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows with tile (the group to multiply) and side. Blocks of more than TILE_ROWS are cut; every pair of cuts is a tile."""
+def _tiled(rows: DataFrame, counts: DataFrame, n_counts: int) -> DataFrame:
+    """Rows with tile (the group to multiply) and side. Blocks of more than TILE_ROWS are cut; every pair of cuts is a tile.
+
+    ``counts`` has the settled large blocks; only up to BROADCAST_BLOCKS of them are broadcast.
+    """
+    if not n_counts:
+        return rows.withColumn("tile", F.col("block")).withColumn("side", F.lit(0).cast("byte"))
+    if n_counts <= BROADCAST_BLOCKS:
+        counts = F.broadcast(counts)
     cut = F.ceil(F.coalesce("n", F.lit(0)) / TILE_ROWS).cast("int")
     joined = rows.join(counts, "block", "left").withColumn("cuts", F.greatest(cut, F.lit(1)))
     own = F.pmod(F.xxhash64("key", F.lit(3)), F.col("cuts")).cast("int")
@@ -180,7 +189,7 @@ def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: in
     every number the seven smallest keys are multiplied; the others' nearest are the smallest keys of their group, so
     a mass of copies costs no more than itself. Result: space, key_a < key_b, similarity.
     """
-    unit = usable(vectors)
+    unit = settle(usable(vectors))
     prints = unit.select("space", "key", F.xxhash64("unit").alias("print_1"), F.xxhash64(F.lit(1), "unit").alias("print_2"))
     order = Window.partitionBy("space", "print_1", "print_2").orderBy("key")
     counted = prints.withColumn("nth", F.row_number().over(order))
@@ -204,7 +213,16 @@ def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: in
 
     salted = leading.select("key", F.xxhash64("space").alias("space_code"), "unit")
     blocks = salted.mapInPandas(placed, "block long, key long, code binary")
-    large = blocks.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS)
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                matrix, salt = np.frombuffer(b"".join(batch.unit), np.float32).reshape(len(batch), -1), batch.space_code.to_numpy()
+                for table, parts in enumerate(plan):
+                    yield pd.DataFrame({"block": _block_of(matrix, parts, table) * 1_000_003 + salt})
+
+    large = settle(salted.mapInPandas(named, "block long").groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS))
+    n_large = large.count()
 
     def multiply(batch: pd.DataFrame, tiles: list[tuple[int, int]]) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(batch.code), np.uint8).reshape(len(batch), DIMENSION + 8)
@@ -220,7 +238,7 @@ def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: in
         a, b = np.concatenate(low), np.concatenate(high)
         return pd.DataFrame({"key_a": np.r_[a, dense].astype(np.int64), "key_b": np.r_[b, np.zeros(len(dense), np.int64)].astype(np.int64), "dense": np.r_[np.zeros(len(a), bool), np.ones(len(dense), bool)]})
 
-    tiles = _tiled(blocks, large).select("tile", "side", "key", "code", "block").repartition("tile").sortWithinPartitions("tile")
+    tiles = _tiled(blocks, large, n_large).select("tile", "side", "key", "code", "block").repartition("tile").sortWithinPartitions("tile")
     multiplied = settle(tiles.mapInPandas(_by_tile(multiply), "key_a long, key_b long, dense boolean").distinct())
     thick = multiplied.where("dense").select(F.col("key_a").alias("block")).distinct()
     candidates = [multiplied.where("not dense").select("key_a", "key_b")]
@@ -232,7 +250,7 @@ def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: in
             pairs = [_float_pairs(batch.key.to_numpy()[a:b], matrix[a:b], batch.side.to_numpy()[a:b], least, nearest) for a, b in tiles]
             return pd.DataFrame({"key_a": np.concatenate([p[0] for p in pairs]), "key_b": np.concatenate([p[1] for p in pairs])})
 
-        again = _tiled(members.select("block", "key", "unit"), large).select("tile", "side", "key", "unit").repartition("tile").sortWithinPartitions("tile")
+        again = _tiled(members.select("block", "key", "unit"), large, n_large).select("tile", "side", "key", "unit").repartition("tile").sortWithinPartitions("tile")
         candidates.append(again.mapInPandas(_by_tile(multiply_float), "key_a long, key_b long").distinct())
     pairs = reduce(DataFrame.unionByName, candidates)
     left = unit.select(F.col("key").alias("key_a"), "space", F.col("unit").alias("unit_a"))
