@@ -193,10 +193,11 @@ def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: in
     prints = unit.select("space", "key", F.xxhash64("unit").alias("print_1"), F.xxhash64(F.lit(1), "unit").alias("print_2"))
     order = Window.partitionBy("space", "print_1", "print_2").orderBy("key")
     counted = prints.withColumn("nth", F.row_number().over(order))
-    extra = counted.where(F.col("nth") > nearest + 2)
+    extra = settle(counted.where(F.col("nth") > nearest + 2).select("space", "key", "print_1", "print_2"))
+    copied = not extra.isEmpty()
     lead = counted.where(F.col("nth") <= nearest)
     of_copies = extra.select("space", "print_1", "print_2", F.col("key").alias("key_b")).join(lead.select("space", "print_1", "print_2", F.col("key").alias("key_a")), ["space", "print_1", "print_2"])
-    leading = unit.join(extra.select("key", "space"), ["key", "space"], "left_anti")
+    leading = unit.join(extra.select("key", "space"), ["key", "space"], "left_anti") if copied else unit
     plan = _schedules(rows, tables, cell_rows, seed)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,6 +268,8 @@ def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: in
     both = sure.withColumn("end", F.explode(F.array(F.struct(F.col("key_a").alias("me"), F.col("key_b").alias("other")), F.struct(F.col("key_b").alias("me"), F.col("key_a").alias("other")))))
     nth = F.row_number().over(Window.partitionBy("space", "end.me").orderBy(F.col("similarity").desc(), "end.other"))
     top = both.withColumn("nth", nth).where(F.col("nth") <= nearest).select("space", "key_a", "key_b", "similarity").distinct()
+    if not copied:
+        return top
     return top.unionByName(of_copies.select("space", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), F.lit(1.0).alias("similarity")))
 
 
