@@ -1,14 +1,18 @@
 """Parent-child links of unknown depth: sizes upward, nested-set ranges downward, loops as what stays unprocessed.
 
 All passes double their reach each round: after round k a node knows about 2**k levels, so a chain of a million links takes
-twenty rounds. Nodes leave the working set as soon as neither they nor anything below them can still change.
+twenty rounds. Nodes leave the working set as soon as neither they nor anything below them can still change, and once a
+counted remainder has at most LOCAL_ROWS rows, the remaining rounds run in one task, by the same doubling on arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,9 @@ from chatlake.session import settle
 SIBLING_BLOCK = 65_536
 """Siblings are summed in blocks of this many ids, so a parent of any fan-out is spread over tasks."""
 
+LOCAL_ROWS = 100_000
+"""Waiting nodes that one task may finish: a few megabytes."""
+
 
 @dataclass
 class Upward:
@@ -45,6 +52,88 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole.coalesce(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def in_one_task(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on all rows at once; only for row numbers that were counted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            yield work(pd.concat(parts, ignore_index=True))
+
+    return rows.coalesce(1).mapInPandas(run, schema)
+
+
+def places(nodes: np.ndarray, wanted: pd.Series) -> np.ndarray:
+    """Index of each wanted id among the nodes; -1 for null and for ids that aren't there."""
+    order = np.argsort(nodes, kind="stable")
+    values = wanted.fillna(np.iinfo(np.int64).min).astype(np.int64).to_numpy()
+    at = np.minimum(np.searchsorted(nodes[order], values), max(len(nodes) - 1, 0))
+    return np.where((nodes[order][at] == values) & wanted.notna().to_numpy(), order[at], -1)
+
+
+def _exact(column: str) -> str:
+    """A nullable id as text, since pandas would turn it into a float."""
+    return f"cast({column} as string) as {column}"
+
+
+def _ids(column: pd.Series) -> pd.Series:
+    return column.astype("Int64")
+
+
+def _sizes_locally(part: pd.DataFrame) -> pd.DataFrame:
+    nodes, size = part.node.to_numpy(), part["size"].to_numpy().copy()
+    reach, waiting = places(nodes, _ids(part.reach)), -1
+    while True:
+        below = reach >= 0
+        gain = np.zeros_like(size)
+        np.add.at(gain, reach[below], size[below])
+        reach = np.where(below, reach[reach], -1)
+        size += gain
+        left = int((reach >= 0).sum())
+        if left in (0, waiting):
+            break
+        waiting = left
+    ahead = pd.array(nodes[reach], "Int64")
+    ahead[reach < 0] = pd.NA
+    return pd.DataFrame({"node": nodes, "parent": _ids(part.parent), "reach": ahead, "size": size})
+
+
+def _ranges_locally(part: pd.DataFrame) -> pd.DataFrame:
+    nodes = part.node.to_numpy()
+    reach, root = places(nodes, _ids(part.reach)), _ids(part.root).to_numpy(np.int64, na_value=np.iinfo(np.int64).min)
+    depth, first = part.depth.to_numpy().copy(), part["first"].to_numpy().copy()
+    while (reach >= 0).any():
+        has = reach >= 0
+        up = reach[has]
+        known = reach[reach] < 0
+        root[has] = np.where(known[has], root[up], root[has])
+        depth[has], first[has] = depth[has] + depth[up], first[has] + first[up]
+        reach = np.where(has, reach[reach], -1)
+    return pd.DataFrame({"node": nodes, "parent": _ids(part.parent), "size": part["size"], "root": root, "depth": depth, "first": first})
+
+
+def _loops_locally(part: pd.DataFrame) -> pd.DataFrame:
+    nodes = part.node.to_numpy()
+    jump, ahead = places(nodes, part.reach), places(nodes, part.parent)
+    image = len(np.unique(jump))
+    while True:
+        jump = jump[jump]
+        smaller = len(np.unique(jump))
+        if smaller == image:
+            break
+        image = smaller
+    low = nodes.copy()
+    on = np.zeros(len(nodes), bool)
+    on[jump] = True
+    while True:
+        lower = np.where(on, np.minimum(low, low[ahead]), low)
+        ahead = np.where(on, ahead[ahead], ahead)
+        if (lower == low).all():
+            break
+        low = lower
+    return pd.DataFrame({"node_id": nodes, "root_id": np.where(on, low, low[jump])})
+
+
 def sizes_upward(nodes: DataFrame) -> Upward:
     """Subtree sizes of settled ``nodes`` (node, parent; null for roots), leaves to roots.
 
@@ -67,6 +156,11 @@ def sizes_upward(nodes: DataFrame) -> Upward:
         if left in (0, waiting):
             done.append(live.where("reach is null").select("node", "parent", "size"))
             return Upward(_union(done), live.where("reach is not null").select("node", "parent", "reach") if left else None)
+        if left <= LOCAL_ROWS:
+            rest = settle(in_one_task(live.selectExpr("node", _exact("parent"), _exact("reach"), "size"), _sizes_locally, "node long, parent long, reach long, size long"))
+            done.append(rest.where("reach is null").select("node", "parent", "size"))
+            left_over = rest.where("reach is not null").select("node", "parent", "reach")
+            return Upward(_union(done), None if left_over.isEmpty() else left_over)
         waiting = left
 
 
@@ -91,10 +185,13 @@ def ranges_downward(sizes: DataFrame) -> DataFrame:
         )
         step *= 2
         live = settle(live.withColumn("final", F.expr(f"reach is null and size <= {step}")))
-        done.append(live.where("final").drop("final"))
+        done.append(live.where("final").drop("final", "reach"))
         live = live.where("not final").drop("final")
-        if live.where("reach is not null").isEmpty():
-            done.append(live)
+        left = live.where("reach is not null").count()
+        if left <= LOCAL_ROWS:
+            if left:
+                live = in_one_task(live.selectExpr("node", _exact("parent"), "size", _exact("reach"), _exact("root"), "depth", "first"), _ranges_locally, "node long, parent long, size long, root long, depth long, first long")
+            done.append(live.drop("reach"))
             break
     return _union(done).select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", "first", (F.col("first") + F.col("size") - 1).alias("last"), F.col("parent").alias("parent_id"))
 
@@ -106,6 +203,8 @@ def resolve_loops(unprocessed: DataFrame) -> DataFrame:
     then spread around each loop by doubling as well.
     """
     jump = settle(unprocessed)
+    if jump.count() <= LOCAL_ROWS:
+        return in_one_task(jump, _loops_locally, "node_id long, root_id long")
     size = jump.select("reach").distinct().count()
     while True:
         above = jump.select(F.col("node").alias("reach"), F.col("reach").alias("next"))
