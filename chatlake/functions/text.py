@@ -31,10 +31,11 @@ def strip(text: Column) -> Column:
 def trigrams(text: Column) -> Column:
     """The set of three-character pieces of the stripped lower-case text; a shorter text is its own only piece, an empty one has none.
 
-    One look-ahead pass, linear in the length (substring by position is quadratic on UTF-8).
+    One look-ahead pass, linear in the length (substring by position is quadratic on UTF-8). The pass also stops inside
+    characters beyond the basic plane; pieces that begin with such a half are left out.
     """
     clean = F.lower(strip(text))
-    pieces = F.array_distinct(F.regexp_extract_all(clean, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+    pieces = F.array_distinct(F.regexp_extract_all(clean, F.lit(r"(?s)(?=(\P{Cs}.{2}))"), F.lit(1)))
     return F.when(F.length(clean) >= 3, pieces).when(F.length(clean) > 0, F.array(clean)).otherwise(F.array().cast("array<string>"))
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 1000
@@ -53,9 +53,14 @@ def lcs_similarity(a: str | None, b: str | None) -> float:
     return lcs_length(a, b) / max(len(a), len(b)) if a and b else 0.0
 
 
-@F.pandas_udf("double")
-def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_similarity(x, y) for x, y in zip(a, b, strict=True)])
+def lcs_ratio(a: Column | str, b: Column | str) -> Column:
+    """lcs_similarity of two text columns, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([lcs_similarity(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+
+    return ratio(a, b)
 
 
 def _possible(a: str, b: str, counts_a: Counter, counts_b: Counter, threshold: float) -> bool:

@@ -118,7 +118,7 @@ def ngrams(messages: DataFrame, kind: str) -> DataFrame:
     else:
         size, most = (2, TOP_BIGRAMS) if kind == "bigrams" else (3, TOP_TRIGRAMS)
         clean = F.regexp_replace(text, r"(?U)\s+", " ")
-        grams = F.regexp_extract_all(clean, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+        grams = F.regexp_extract_all(clean, F.lit(f"(?s)(?=(\\P{{Cs}}.{{{size - 1}}}))"), F.lit(1))
     rows = messages.where(F.col("from_id").isNotNull() & (F.col("from_id") != "")).select("from_id", F.explode(grams).alias("gram")).where(F.trim("gram") != "")
     counts = rows.groupBy("from_id", "gram").agg(F.count("*").alias("n"))
     totals = counts.groupBy("from_id").agg(F.sum("n").alias("total"))
