@@ -297,6 +297,8 @@ def language_segments(messages: DataFrame, rows: int, key: str = "delivery_id",
             if not len(batch):
                 continue
             found = classify(own, batch.text_plain.tolist(), names)
+            if not len(found):
+                continue
             at = found.row.to_numpy(np.int64)
             label, distinct = pd.factorize(batch.lang, use_na_sentinel=False)
             named = np.array([named_language(x if isinstance(x, str) else None) for x in distinct], object)[label]

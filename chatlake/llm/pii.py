@@ -84,7 +84,7 @@ _ADDRESSES = [
 ]
 _ADDRESS_DE = re.compile(
     rf"(?<!\w)[^\W\d_][\w-]*(?:{'|'.join(map(re.escape, _ENDS_DE))})\s{_NUM}\s?[a-z]?\b"
-    rf"|(?<!\w)(?:am|an\sder|an\sden|auf\sdem|auf\sder|im|in\sder|zum|zur|unter\sden|hinter\sdem|alte[rn]?|neue[rn]?|großer?|kleiner?)\s(?:[^\W\d_][\w-]+\s){{0,2}}[^\W\d_][\w-]*(?:{'|'.join(_LAST_DE)})\s{_NUM}\s?[a-z]?\b",
+    rf"|(?<!\w)(?:am|an\sder|an\sden|auf\sdem|auf\sder|im|in\sder|zum|zur|unter\sden|hinter\sdem|alte[rn]?|neue[rn]?|großer?|kleiner?)\s(?:[^\W\d_][\w-]+\s){{0,2}}[\w-]*(?:{'|'.join(_LAST_DE)})\s{_NUM}\s?[a-z]?\b",
     _I,
 )
 

@@ -91,6 +91,8 @@ def _starts_sentence(line: str, at: int) -> bool:
         if line[at] in "—–-":
             return False
         at += 1
+        while at < len(line) and line[at].isspace():
+            at += 1
     if at >= len(line):
         return True
     first = line[at]
@@ -135,7 +137,7 @@ def _abbreviated(line: str, mark: int, after: int) -> bool:
         pair = f"{before.strip('([{.*_')}.{low}"
         return pair not in MAYBE_LAST
     if not token[-1].isupper():
-        return True
+        return not before.isdigit()
     if not before or not before[-1].isalnum() or word[1][0].isupper() or len(token) < len(_TOKEN_BEFORE.search(line, 0, mark)[0]):
         return True
     return before in BEFORE_INITIAL
