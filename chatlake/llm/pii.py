@@ -76,7 +76,7 @@ def _keyed(words: str) -> frozenset[str]:
 _I = re.IGNORECASE
 _ADDRESSES = [
     (_keyed(_STREETS_EN), re.compile(rf"(?:(?<!\w){_UNIT},?\s)?(?<![\w.,:/+-]){_NUM}\s?[a-z]?\s(?:{_SMALL}[^\W\d_][\w'’-]*\s){{1,3}}{_STREET}\b\.?(?:,?\s{_UNIT}\b)?", _I)),
-    (_keyed(_STREETS_ES), re.compile(rf"(?<!\w)(?:c/|(?:{_STREETS_ES.replace(' ', '|')})\.?)\s?(?:[^\W\d_][\w'’-]*\.?\s){{1,5}}?(?:,\s?)?(?:n\.?º\s?)?{_NUM}(?:,\s?\d{{1,2}}\s?\.?\s?[ºª](?:\s?[a-z](?![\w]))?)?", _I)),
+    (_keyed(_STREETS_ES), re.compile(rf"(?<!\w)(?:c/|(?:{_STREETS_ES.replace(' c ', ' ').replace(' ', '|')})\.?)\s?(?:[^\W\d_][\w'’-]*\.?\s){{1,5}}?(?:,\s?)?(?:n\.?º\s?)?{_NUM}(?:,\s?\d{{1,2}}\s?\.?\s?[ºª](?:\s?[a-z](?![\w]))?)?", _I)),
     (_keyed(_STREETS_FR), re.compile(rf"(?<![\w.,:/+-]){_NUM}(?:\s?(?:bis|ter|quater))?,?\s(?:{_STREETS_FR.replace(' ', '|')})\s(?:d[eu]s?\s|de\sla\s|de\sl['’]|l[ea]s?\s|d['’])*[^\W\d_][\w'’-]*", _I)),
     (_keyed(_STREETS_RU), re.compile(rf"(?<!\w)(?:{_STREETS_RU.replace(' ', '|')})\.?\s[^,\n\d]{{2,40}},?\s?(?:д\.|дом|буд\.)?\s?{_NUM}\s?[а-я]?(?![\w])(?:,?\s?(?:кв\.|квартира|оф\.)\s?\d+)?", _I)),
     (_keyed(_STREETS_HE + " " + " ".join("ב" + w for w in _STREETS_HE.split())), re.compile(rf"(?<!\w)ו?ב?(?:{_STREETS_HE.replace(' ', '|')})['׳]?\s[֐-׿][֐-׿'\"׳״ -]{{1,30}}?\s{_NUM}(?!\d)(?:,?\s?(?:דירה|כניסה)\s?\w+)?")),
@@ -104,7 +104,7 @@ _NO_NAME = frozenset(
 )
 # Phrases a person's full name follows, and phrases that follow one.
 _CUES = re.compile(
-    r"(?:my name is|(?:is|was|am|are) called|real name:?|name:|keys are with|signed:|contact:|\bask for|parcel for|package for|does anyone know(?! who\b| where\b| what\b| if\b| how\b| why\b)|do you know(?! who\b| where\b| what\b| if\b| how\b| why\b)|and call|holder is|holder|care of|regards,|sincerely,|attn:?|new (?:caretaker|plumber|janitor|neighbour|neighbor|manager|teacher|doctor|coach|contact|member|admin|owner|tenant)!*:?|electrician\.|plumber\.|"
+    r"(?:my name is|(?:is|was|am|are) called|real name:?|name:|keys are with|signed:|contact:|\bask for|parcel for|package for|does anyone know(?! who\b| where\b| what\b| if\b| how\b| why\b)|do you know(?! who\b| where\b| what\b| if\b| how\b| why\b)|and call|holder is|holder|is it true that|care of|regards,|sincerely,|attn:?|new (?:caretaker|plumber|janitor|neighbour|neighbor|manager|teacher|doctor|coach|contact|member|admin|owner|tenant)!*:?|electrician\.|plumber\.|"
     r"ich heiße|mein name ist|paket für|liegt bei|heißt|me llamo|mi nombre es|se llama|paquete de|las tiene|paquete para|je m['’]appelle|mon nom est|s['’]appelle|colis de|sont chez|colis pour|"
     r"me chamo|meu nome é|chama-se|меня зовут|моё имя|его зовут|её зовут|посылка для|спросите у|на имя|мене звати|שמי|קוראים לי|החבילה של|תשאלו את|חבילה עבור|اسمي|اسمه|طرد)\s+[\"“«„']?",
     re.IGNORECASE,
@@ -114,7 +114,7 @@ _SIGNATURE = re.compile(r"(?:regards|greetings|wishes|sincerely|grüße|saludos|
 
 # A part of each cue, lower case, so texts without any are passed over quickly.
 _CUE_PARTS = (
-    "my name is", " called ", "real name", "name:", "keys are with", "signed:", "contact:", "ask for", "parcel for", "package for", "anyone know ", "do you know ", "and call ", "holder", "care of", "regards", "sincerely", "attn",
+    "my name is", " called ", "real name", "name:", "keys are with", "signed:", "contact:", "ask for", "parcel for", "package for", "anyone know ", "do you know ", "and call ", "holder", "is it true that", "care of", "regards", "sincerely", "attn",
     "greetings", "wishes", "electrician.", "plumber.", "is written on", "won the", " here", "caretaker", "janitor", "new neighbo", "new manager", "new teacher", "new doctor", "new coach", "new contact", "new member", "new admin", "new owner", "new plumber", "new tenant!",
     "ich heiße", "mein name", "paket für", "liegt bei", "heißt", "grüße", "me llamo", "mi nombre", "se llama", "paquete ", "las tiene", "saludos", "'appelle", "’appelle", "mon nom", "colis ", "sont chez", "cordialement",
     "me chamo", "meu nome", "chama-se", "зовут", "моё имя", "посылка для", "спросите у", "на имя", "уважением", "мене звати", "שמי", "קוראים לי", "החבילה של", "תשאלו את", "חבילה עבור", "اسمي", "اسمه", "طرد",
@@ -242,6 +242,8 @@ class Finder:
                 return j + 1 - i
             if "f" in kinds and j == k + 1 and initial(j):
                 return j + 1 - i
+            if "֐" <= first[0] <= "׿" and "f" in theirs and not kinds and shaped(i) and len(first) > 2 and j == k + 1:
+                return j + 1 - i
             if not shaped(j) or len(last) < 2:
                 return 0
             mixed = not (first.isupper() or last.isupper())
