@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.operators.dedup import kept_copies
+from chatlake.operators.hierarchy import LOCAL_ROWS, in_one_task, places
 from chatlake.operators.running import blocked_running_sum
 from chatlake.session import settle
 
@@ -19,6 +22,25 @@ def visible(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\p{Z}\p{Cc}\p{Cf}]"), F.lit(False))
 
 
+def _waves_locally(part: pd.DataFrame) -> pd.DataFrame:
+    """The remaining waves of a counted remainder, by the same doubling on arrays; what leads into a loop is left out."""
+    nodes, wave = part.node.to_numpy(), part.wave.to_numpy().copy()
+    ahead, none = places(nodes, part.ahead.astype("Int64")), np.iinfo(np.int64).min
+    root, waiting = part.root.astype("Int64").to_numpy(np.int64, na_value=none), -1
+    while True:
+        has = ahead >= 0
+        up = ahead[has]
+        root[has] = np.where(ahead[up] < 0, root[up], root[has])
+        wave[has] += wave[up]
+        ahead = np.where(has, ahead[ahead], -1)
+        left = int((ahead >= 0).sum())
+        if left in (0, waiting):
+            break
+        waiting = left
+    keep = (ahead < 0) & (root != none)
+    return pd.DataFrame({"node": nodes[keep], "root": root[keep], "wave": wave[keep], "flaw": part.flaw.to_numpy()[keep]})
+
+
 def kahn_waves(nodes: DataFrame) -> DataFrame:
     """Kahn's algorithm over reply graphs: settled ``nodes`` (node, parent, flaw; null parent for roots) to (node, root, wave, flaw).
 
@@ -38,11 +60,15 @@ def kahn_waves(nodes: DataFrame) -> DataFrame:
             (F.col("wave") + F.coalesce("its_wave", F.lit(0))).alias("wave"), (F.col("further").isNull() & F.col("asked").isNull()).alias("final"),
         )
         live = settle(moved)
-        emitted.append(live.where("final").drop("final"))
+        emitted.append(live.where("final").drop("final", "ahead"))
         live = live.where("not final").drop("final")
         left = live.where("ahead is not null").count()
-        if left in (0, waiting):
-            emitted.append(live.where("ahead is null"))
+        if left in (0, waiting) or left <= LOCAL_ROWS:
+            if left in (0, waiting):
+                rest = live.where("ahead is null").drop("ahead")
+            else:
+                rest = in_one_task(live.selectExpr("node", "flaw", "cast(ahead as string) as ahead", "cast(root as string) as root", "wave"), _waves_locally, "node long, root long, wave long, flaw boolean")
+            emitted.append(rest)
             whole = reduce(DataFrame.unionByName, emitted).where("root is not null")
             return whole.select("node", "root", "wave", "flaw").coalesce(int(live.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         waiting = left

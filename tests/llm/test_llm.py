@@ -39,7 +39,9 @@ def expected_turns(rows):
     return sorted(out)
 
 
-def test_conversations_match_brute_force(chat):
+@pytest.mark.parametrize("local", [100_000, -1])
+def test_conversations_match_brute_force(chat, monkeypatch, local):
+    monkeypatch.setattr("chatlake.llm.conversations.LOCAL_ROWS", local)
     rng = random.Random(4)
     rows = []
     for n in range(1, 400):
