@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import time as T
 from chatlake.functions.text import domain, script_words
+from chatlake.operators.running import beside
 
 
 def _n(name: str = "count") -> Column:
@@ -39,7 +40,7 @@ def overview(messages: DataFrame, start: int, end: int) -> DataFrame:
     t = F.col("date_unixtime")
     whole = rows.agg(_n("total_messages"), F.countDistinct("from_id").alias("active_users"), F.min(t).alias("first_message"), F.max(t).alias("last_message"))
     days = F.greatest(F.lit(1), F.floor((F.col("last_message") - F.col("first_message")) / T.DAY))
-    return whole.crossJoin(F.broadcast(per_day)).select(
+    return whole.transform(beside, per_day).select(
         "*", days.alias("days"), F.bround(F.col("total_messages") / days, 1).alias("messages_per_day"), F.bround(F.col("total_messages") / F.greatest(F.lit(1), F.col("active_users")), 1).alias("messages_per_user")
     )
 
@@ -66,7 +67,7 @@ def leaderboard(messages: DataFrame, participants: DataFrame, limit: int = 50, o
     role = F.when(F.col("is_creator") == 1, "creator").when(F.col("is_admin") == 1, "admin").when(F.col("is_bot") == 1, "bot")
     people = participants.select(F.col("user_id").alias("from_id"), F.trim(F.concat_ws(" ", "first_name", "last_name")).alias("full_name"), role.alias("role"))
     total = messages.agg(_n("all_messages"))
-    active = per_user(messages).join(people, "from_id", "left").crossJoin(F.broadcast(total)).select(
+    active = per_user(messages).join(people, "from_id", "left").transform(beside, total).select(
         "from_id", F.coalesce("name", F.lit("Unknown")).alias("name"), "message_count", "link_count", "media_count", "char_count", "active_days",
         F.bround(F.col("message_count") * 100.0 / F.col("all_messages"), 2).alias("percentage"), F.bround(F.col("message_count") / F.greatest(F.lit(1), F.col("active_days")), 1).alias("daily_average"), "role",
     )
@@ -86,7 +87,7 @@ def user_stats(messages: DataFrame, user_id: str) -> DataFrame:
     mine = messages.where(F.col("from_id") == user_id)
     received = messages.where("reply_to_message_id is not null").select(F.col("reply_to_message_id").alias("id")).join(mine.select("id"), "id").agg(_n("replies_received"))
     own = mine.agg(_n("message_count"), F.sum("has_links").alias("links"), F.sum("has_media").alias("media"), F.count("reply_to_message_id").alias("replies_sent"), F.min("date_unixtime").alias("first_message"), F.max("date_unixtime").alias("last_message"))
-    return own.crossJoin(F.broadcast(received))
+    return own.transform(beside, received)
 
 
 def user_profile(messages: DataFrame, user_id: str) -> DataFrame:
@@ -163,7 +164,7 @@ def top_links_of(messages: DataFrame, entities: DataFrame, user_id: str, limit:
 
 def table_stats(messages: DataFrame, entities: DataFrame) -> DataFrame:
     """One row: messages, users, entities, smallest and largest date text."""
-    return messages.agg(_n("messages"), F.countDistinct("from_id").alias("users"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).crossJoin(F.broadcast(entities.agg(_n("entities"))))
+    return messages.agg(_n("messages"), F.countDistinct("from_id").alias("users"), F.min("date").alias("first_date"), F.max("date").alias("last_date")).transform(beside, entities.agg(_n("entities")))
 
 
 def users_table(messages: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions.text import trigrams, unicode_words
 from chatlake.plans import fts_query as Q
+from chatlake.operators.running import beside
 
 WEIGHTS = {"text_plain": 1.0, "from_name": 0.5}
 # Constants of the two rankings.
@@ -109,7 +110,7 @@ def match(index: Index, query: str, columns: tuple[str, ...] = ("text_plain", "f
     total = index.documents.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
     share = hits.groupBy("leaf").agg(F.count("*").alias("n"))
     idf = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = share.crossJoin(F.broadcast(total)).select("leaf", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"), "mean_tokens")  # a row per leaf
+    idf = share.transform(beside, total).select("leaf", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"), "mean_tokens")  # a row per leaf
     scored = hits.join(F.broadcast(idf), "leaf").join(index.documents, "id")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_tokens")))
     flat = scored.groupBy("id").agg((-F.sum(part)).alias("score"), *[F.max(F.col("leaf") == n).alias(f"has_{n}") for n in range(len(parts))])
@@ -189,7 +190,7 @@ def fuzzy(messages: DataFrame, query: str, threshold: float = 0.3, limit: int =
     asked = F.broadcast(wanted)  # the trigrams of one query
     size = wanted.agg(F.count("*").alias("q"))
     shared = trigram_postings(messages).join(asked, "trigram").groupBy("id", "n_trigrams").agg(F.count("*").alias("c"))
-    scored = shared.crossJoin(F.broadcast(size)).select("id", (F.col("c") / (F.col("q") + F.col("n_trigrams") - F.col("c"))).alias("similarity"))
+    scored = shared.transform(beside, size).select("id", (F.col("c") / (F.col("q") + F.col("n_trigrams") - F.col("c"))).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
@@ -215,10 +216,10 @@ def okapi(index: OkapiIndex, query: str, limit: int = 20) -> DataFrame:
     if not asked:
         return index.documents.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
     total = index.documents.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
-    shares = index.terms.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).withColumn("idf", F.ln(F.col("n_docs") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5))
+    shares = index.terms.groupBy("term").agg(F.count("*").alias("n")).transform(beside, total).withColumn("idf", F.ln(F.col("n_docs") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5))
     mean = shares.agg(F.avg("idf").alias("mean_idf"))
     wanted = index.terms.sparkSession.createDataFrame(list(asked.items()), "term string, times long")
-    idf = shares.join(F.broadcast(wanted), "term").crossJoin(F.broadcast(mean)).select("term", "times", "mean_tokens", F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    idf = shares.join(F.broadcast(wanted), "term").transform(beside, mean).select("term", "times", "mean_tokens", F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (OKAPI_K1 + 1) / (F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("n_tokens") / F.col("mean_tokens")))
     scored = index.terms.join(F.broadcast(idf), "term").join(index.documents, "id").groupBy("id").agg(F.sum(part).alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)

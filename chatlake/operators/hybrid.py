@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chatlake.operators.fulltext import OkapiIndex, okapi
 from chatlake.operators.replies import around_many
 from chatlake.operators.vectors import hashing_encoder, nearest
+from chatlake.operators.running import beside
 
 # Question words and what they may be replaced by.
 SYNONYMS = {
@@ -61,5 +62,5 @@ def with_context(messages: DataFrame, hits: DataFrame, k: int = 3) -> DataFrame:
 def status(chunks: DataFrame, vectors: DataFrame, index: OkapiIndex) -> DataFrame:
     """One row: numbers of chunks, vectors and keyword documents, and whether each is available."""
     counts = [chunks.agg(F.count("*").alias("n_chunks")), vectors.agg(F.count("*").alias("n_vectors")), index.documents.agg(F.count("*").alias("n_documents"))]
-    row = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), counts)
+    row = reduce(lambda a, b: a.transform(beside, b), counts)
     return row.select("*", *[(F.col(c) > 0).alias(f"has_{c[2:]}") for c in row.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.operators.running import blocked_running_sum
+from chatlake.operators.running import beside, blocked_running_sum
 
 VALUE_BLOCK = 4096
 
@@ -25,7 +25,7 @@ def percentiles(rows: DataFrame, value: str, points: list[int], prefix: str = "p
     """
     ranked = _ranked(rows, value)
     total = ranked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    at = ranked.crossJoin(F.broadcast(total))  # total is one row
+    at = ranked.transform(beside, total)  # total is one row
 
     def element(index: Column) -> Column:
         return F.max(F.when((F.col("before") <= index) & (index < F.col("before") + F.col("n")), F.col("value")))
@@ -45,7 +45,7 @@ def time_histogram(rows: DataFrame, time: str, bucket: int) -> DataFrame:
     """bucket_start, count: buckets aligned to the smallest time, zero-filled to the largest. No rows: no buckets."""
     known = rows.where(F.col(time).isNotNull())
     span = known.agg(F.min(time).alias("low"), F.max(time).alias("high")).where("low is not null")
-    counted = known.crossJoin(F.broadcast(span)).groupBy((F.col("low") + F.floor((F.col(time) - F.col("low")) / bucket) * bucket).alias("bucket_start")).agg(F.count("*").alias("count"))
+    counted = known.transform(beside, span).groupBy((F.col("low") + F.floor((F.col(time) - F.col("low")) / bucket) * bucket).alias("bucket_start")).agg(F.count("*").alias("count"))
     spine = span.select(F.explode(F.sequence("low", "high", F.lit(bucket).cast("long"))).alias("bucket_start"))
     return spine.join(counted, "bucket_start", "left").select("bucket_start", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import time as T
 from chatlake.functions.text import preview
+from chatlake.operators.running import beside
 
 HITS = 1000
 """Longest result list whose surroundings are looked up in one query."""
@@ -63,8 +64,7 @@ def entity_messages(messages: DataFrame, entities: DataFrame, kind: str, limit:
 def around(messages: DataFrame, message_id: int, k: int, order: str = "date_unixtime") -> DataFrame:
     """The k messages before and after one message by time, and itself, with position -k..k; equal times are no neighbours."""
     target = messages.where(F.col("id") == message_id)
-    mark = F.broadcast(target.select(F.col(order).alias("mark")))  # one row
-    rows = messages.crossJoin(mark)
+    rows = messages.transform(beside, target.select(F.col(order).alias("mark")).limit(1))
     before = rows.where(F.col(order) < F.col("mark")).orderBy(F.desc(order), F.desc("id")).limit(k)
     after = rows.where(F.col(order) > F.col("mark")).orderBy(order, "id").limit(k)
     one = Window.partitionBy(F.lit(0))

@@ -22,3 +22,8 @@ def blocked_running_sum(df: DataFrame, keys: list[str], block: str, order: list[
     local = df.withColumns({f"__in_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in values.items()})
     joined = local.join(before, [*keys, block])
     return joined.withColumns({n: F.col(f"__in_{n}") + F.col(f"__to_{n}") for n in values}).drop(*[f"__{x}_{n}" for n in values for x in ("in", "to")])
+
+
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Each row with the columns of ``one``, the result of an aggregation without keys: a single row, so it is broadcast."""
+    return rows.join(F.broadcast(one), F.lit(True))
