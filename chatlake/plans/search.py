@@ -197,15 +197,17 @@ _add("hyb6_with_context", lambda s, d: hybrid.with_context(messages(s, d), hybri
 _add("hyb7_status", lambda s, d: hybrid.status(_chunks(s, d), _store(s, d), fulltext.okapi_index(messages(s, d))))
 
 # Styles
-_STYLE = ["from_id", "n_messages", *[F.round(c, 6).alias(c) for c in ("avg_message_length", "std_message_length", "hebrew_ratio", "comma_rate", "question_rate", "repeated_chars_rate", "short_message_ratio", "avg_words_per_message", "avg_word_length")]]
-_add("sty1_6_features", _m(lambda m: stylometry.scalar_features(m).select(*_STYLE)), r""", x AS (SELECT from_id, coalesce(text_plain, '') AS t, list_filter(regexp_split_to_array(coalesce(text_plain, ''), '[\p{Z}\s\x{85}\x{1C}-\x{1F}\v]+'), lambda w: w <> '') AS w FROM kept WHERE from_id <> '')
+def _style(rows: DataFrame) -> DataFrame:
+    names = ("avg_message_length", "std_message_length", "hebrew_ratio", "comma_rate", "question_rate", "short_message_ratio", "avg_words_per_message", "avg_word_length")
+    return stylometry.scalar_features(rows).select("from_id", "n_messages", *[F.round(c, 6).alias(c) for c in names])
+
+
+_add("sty1_6_features", _m(_style), r""", x AS (SELECT from_id, coalesce(text_plain, '') AS t, list_filter(regexp_split_to_array(coalesce(text_plain, ''), '[\p{Z}\s\x{85}\x{1C}-\x{1F}\v]+'), lambda w: w <> '') AS w FROM kept WHERE from_id <> '')
     SELECT from_id, count(*) AS n_messages, round(coalesce(avg(length(t)) FILTER (t <> ''), 0), 6) AS avg_message_length, round(coalesce(stddev_pop(length(t)) FILTER (t <> ''), 0), 6) AS std_message_length,
     round(CASE WHEN sum(length(t)) > 0 THEN sum(len(regexp_extract_all(t, '[\x{0590}-\x{05FF}]'))) / (sum(length(t)) + count(*) FILTER (t <> '') - 1) ELSE 0 END, 6) AS hebrew_ratio,
     round(sum(len(regexp_extract_all(t, ','))) / count(*), 6) AS comma_rate, round(sum(len(regexp_extract_all(t, '\?'))) / count(*), 6) AS question_rate,
     round(coalesce(sum(CASE WHEN len(w) < 5 AND t <> '' THEN 1 ELSE 0 END), 0) / count(*), 6) AS short_message_ratio, round(coalesce(avg(len(w)) FILTER (t <> ''), 0), 6) AS avg_words_per_message,
-    round(CASE WHEN sum(len(w)) > 0 THEN sum(list_sum(list_transform(w, lambda v: length(v)))) / sum(len(w)) ELSE 0 END, 6) AS avg_word_length, 0.0 AS repeated_chars_rate FROM x GROUP BY 1""")
-QUERIES["sty1_6_features"] = _m(lambda m: stylometry.scalar_features(m).select(*_STYLE).drop("repeated_chars_rate"))
-SQL["sty1_6_features"] = SQL["sty1_6_features"].replace(", 0.0 AS repeated_chars_rate FROM x", " FROM x")
+    round(CASE WHEN sum(len(w)) > 0 THEN sum(list_sum(list_transform(w, lambda v: length(v)))) / sum(len(w)) ELSE 0 END, 6) AS avg_word_length FROM x GROUP BY 1""")
 _add("sty7_8_features", _m(lambda m: stylometry.scalar_features(m).select("from_id", "unique_word_ratio", "hapax_ratio", "weekend_ratio", "night_owl_ratio", "leet_speak_rate", "slang_rate", "formality_score")))
 _add("sty9_bigrams", _m(lambda m: stylometry.ngrams(m.where("text_plain <> ''"), "bigrams").select("from_id", "gram", F.round("share", 8).alias("share"))))
 _add("sty9_word_bigrams", _m(lambda m: stylometry.ngrams(m.where("text_plain <> ''"), "word_bigrams").select("from_id", "gram", F.round("share", 8).alias("share"))))

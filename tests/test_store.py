@@ -1,6 +1,9 @@
 """Exports in, stored tables, streams, caches, questions, and the registry."""
 
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,5 +129,10 @@ def test_questions(spark):
     assert questions.dispatch("auto", lambda: {"error": "x"}, lambda: {"answer": "ctx"}, dict)["answer"] == "ctx"
 
 
+def test_the_entry_module_needs_no_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
 def test_every_sql_has_a_query():
     assert registry.oracle_sql().keys() <= registry.queries().keys()
