@@ -122,6 +122,17 @@ def _tile_pairs(keys: np.ndarray, codes: np.ndarray, scale: np.ndarray, rest: np
     return pairs.min(1), pairs.max(1), dense
 
 
+def _largest(product: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n largest values of each row; equal values by column. Only rows with a tie at the border are sorted."""
+    if product.shape[1] <= n:
+        return np.argsort(-product, axis=1, kind="stable")
+    best = np.argpartition(-product, n - 1, axis=1)[:, :n]
+    border = np.take_along_axis(product, best, axis=1).min(1)
+    tied = np.flatnonzero((product >= border[:, None]).sum(1) > n)
+    best[tied] = np.argsort(-product[tied], axis=1, kind="stable")[:, :n]
+    return best
+
+
 def _float_pairs(keys: np.ndarray, unit: np.ndarray, side: np.ndarray, least: float, nearest: int) -> tuple[np.ndarray, np.ndarray]:
     """As _tile_pairs, in float, at most ``nearest`` partners a row: the way for tiles too dense for the bound."""
     alone = not side.any()
@@ -133,7 +144,7 @@ def _float_pairs(keys: np.ndarray, unit: np.ndarray, side: np.ndarray, least: fl
             part = rows[begin : begin + 512]
             product = unit[part].astype(np.float64) @ unit[by_key].astype(np.float64).T
             product[keys[part][:, None] == keys[by_key][None, :]] = -9
-            best = np.argsort(-product, axis=1, kind="stable")[:, :nearest]
+            best = _largest(product, nearest)
             a = np.repeat(np.arange(len(part)), best.shape[1])
             b = best.ravel()
             good = product[a, b] >= least

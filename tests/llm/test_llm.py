@@ -109,6 +109,14 @@ def test_unusable_repeated_and_equal_vectors(spark):
     assert N.similar_pairs(both, 16).select("space").distinct().count() == 2
 
 
+def test_largest_with_ties():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        product = rng.integers(0, 4, (6, 12)).astype(float)
+        wanted = np.argsort(-product, axis=1, kind="stable")[:, :5]
+        assert [set(r) for r in N._largest(product, 5).tolist()] == [set(r) for r in wanted.tolist()]
+
+
 def test_recall_of_the_schedules():
     assert N.expected_recall(0.95, 120) > 0.99 and N.expected_recall(0.9, 120) > 0.97
 
