@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions import time as T
@@ -88,3 +88,20 @@ def around_many(messages: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     before = pairs.where("date_unixtime < mark").withColumn("n", F.row_number().over(near)).where(F.col("n") <= k).select("hit_id", "id", (-F.col("n")).alias("position"))
     after = pairs.where("date_unixtime > mark").withColumn("n", F.row_number().over(far)).where(F.col("n") <= k).select("hit_id", "id", F.col("n").alias("position"))
     return before.unionByName(after)
+
+
+def chat_page(messages: DataFrame, entities: DataFrame, condition: Column | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of the chat in the order of the date text: messages with reply preview, their entities as a sorted array, total and has_more.
+
+    The page is cut first; previews and entities are looked up for its rows only. Messages without entities have an empty array.
+    """
+    rows = messages.where(condition) if condition is not None else messages
+    total = rows.agg(F.count("*").alias("total"))
+    shown = rows.orderBy("date", "id").offset(offset).limit(limit)
+    parents = messages.select(F.col("id").alias("parent_id"), F.col("from_name").alias("reply_to_name"), preview(F.col("text_plain"), 100).alias("reply_to_text"))
+    answered_rows = shown.join(parents, shown["reply_to_message_id"] == parents["parent_id"], "left").drop("parent_id")
+    own = entities.join(F.broadcast(shown.select(F.col("id").alias("message_id"))), "message_id", "left_semi")
+    packed = own.groupBy(F.col("message_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("type", "value"))).alias("entities"))
+    full = answered_rows.join(packed, "id", "left").transform(beside, total)
+    empty = F.array().cast("array<struct<type:string,value:string>>")
+    return full.withColumn("entities", F.coalesce("entities", empty)).withColumn("has_more", F.lit(offset + limit) < F.col("total"))

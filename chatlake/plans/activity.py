@@ -172,3 +172,25 @@ _add("joi13_neighbours", _around, f""", mark AS (SELECT date_unixtime AS t, id A
     (SELECT id, -row_number() OVER (ORDER BY date_unixtime DESC, id DESC) AS position FROM kept, mark WHERE date_unixtime < t) UNION ALL
     (SELECT id, row_number() OVER (ORDER BY date_unixtime, id) FROM kept, mark WHERE date_unixtime > t) UNION ALL SELECT hub, 0 FROM mark) WHERE position BETWEEN -5 AND 5""")
 _add("ded2_first_copies", lambda s, d: first_copies(entities(s, d), ["message_id", "type", "value"], [F.col("id")]).select("id"), "SELECT min(id) AS id FROM entities GROUP BY message_id, type, value")
+
+
+# Details of profiles, pages and means; DuckDB rounds half to even with round_even
+_MINE = f"kept WHERE from_id = '{USER}'"
+_mine = lambda m: m.where(F.col("from_id") == USER)
+_add("agg6_last_active_days", _m(lambda m: A.series(_mine(m), "day").orderBy(F.desc("label")).limit(30)), f"SELECT {_DAY} AS label, count(*) AS value FROM {_MINE} GROUP BY 1 ORDER BY 1 DESC LIMIT 30")
+_add("agg7_daily", _m(lambda m: A.series(_mine(m), "day").orderBy(F.desc("label")).limit(90)), f"SELECT {_DAY} AS label, count(*) AS value FROM {_MINE} GROUP BY 1 ORDER BY 1 DESC LIMIT 90")
+_add("agg7_weekdays", _m(lambda m: A.by_weekday(_mine(m), dense=True)), f"SELECT d AS weekday, count(id) AS count FROM range(7) t(d) LEFT JOIN kept ON dayofweek({_AT}) = d AND from_id = '{USER}' GROUP BY d")
+_add("agg7_forward_names", _m(lambda m: order_stats.most_frequent(_mine(m), "forwarded_from", 5)), f"SELECT forwarded_from, count(*) AS count FROM {_MINE} AND forwarded_from IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+_add("vie2_chat_page", lambda s, d: replies.chat_page(messages(s, d), entities(s, d), filters.chat_matching(from_text="2016-01-10"), 50, 20).select("id", "reply_to_name", "reply_to_text", F.size("entities").cast("long").alias("n_entities"), "total", "has_more"), """, rows AS (SELECT * FROM kept WHERE date >= '2016-01-10'), page AS (SELECT * FROM rows ORDER BY date, id LIMIT 50 OFFSET 20)
+    SELECT page.id, p.from_name AS reply_to_name, substr(p.text_plain, 1, 100) AS reply_to_text, (SELECT count(DISTINCT (e.type, e.value)) FROM entities e WHERE e.message_id = page.id) AS n_entities,
+    (SELECT count(*) FROM rows) AS total, 70 < (SELECT count(*) FROM rows) AS has_more FROM page LEFT JOIN kept p ON page.reply_to_message_id = p.id""")
+_add("rnk7_percentile_above", _m(lambda m: ranking.user_ranks(m).select("from_id", F.col("percentile_above").alias("percentile"))), f"{_INDEX} SELECT from_id, round(100 * (k - dense_rank() OVER (ORDER BY n DESC) + 1) / k, 1) AS percentile FROM counts, total")
+SQL["agg2_overview_means"] = f"""WITH {KEPT_SQL}, r AS (SELECT * FROM kept WHERE date_unixtime BETWEEN {START} AND {END}), d AS (SELECT count(DISTINCT from_id) AS u FROM r GROUP BY {_DAY}),
+    t AS (SELECT count(*) AS n, count(DISTINCT from_id) AS u, greatest(1, (max(date_unixtime) - min(date_unixtime)) // 86400) AS days FROM r)
+    SELECT round_even(n / days, 1) AS messages_per_day, (SELECT round_even(avg(u), 1) FROM d) AS users_per_day, round_even(n / greatest(1, u), 1) AS messages_per_user FROM t"""
+SQL["agg4_leaderboard_means"] = f"""WITH {KEPT_SQL}, {_PER_USER}, board AS (SELECT from_id, char_count, active_days, message_count FROM per_user
+    UNION ALL SELECT user_id, 0, 0, 0 FROM participants WHERE user_id NOT IN (SELECT from_id FROM per_user))
+    SELECT from_id, char_count, active_days, round_even(message_count * 100 / (SELECT count(*) FROM kept), 2) AS percentage, round_even(message_count / greatest(1, active_days), 1) AS daily_average
+    FROM board ORDER BY message_count DESC, from_id LIMIT 50"""
+SQL["agg7_profile_means"] = f"""WITH {KEPT_SQL} SELECT round_even(avg(text_length), 1) AS avg_length, round_even(count(*) / count(DISTINCT {_DAY}), 1) AS daily_average,
+    round_even(count(*) / greatest(1, (max(date_unixtime) - min(date_unixtime)) / 86400), 1) AS messages_per_calendar_day, round_even(count(reply_to_message_id) * 100 / count(*), 1) AS reply_ratio FROM {_MINE}"""

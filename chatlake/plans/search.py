@@ -238,3 +238,20 @@ def _nlq3_gate(spark, folder) -> DataFrame:
 _add("nlq3_4_gate", _nlq3_gate, "SELECT from_id, count(*) AS n FROM kept GROUP BY from_id HAVING count(*) > 50")
 _add("nlq6_retrieve", lambda s, d: (lambda m: questions.retrieve(m, fulltext.build_index(m), "Kolbra", ["storm", "bill"]).select("id", "source"))(messages(s, d)))
 
+
+
+# More SQL for queries above
+_add("hyb4_single_vectors", lambda s, d: vectors.nearest(_store(s, d), _QUERY, "message_id", 20, -1.0).select("message_id", F.round("score", 5).alias("score")), f""", u AS (SELECT message_id, any_value(embedding::DOUBLE[]) AS v FROM message_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)
+    SELECT message_id, round(list_cosine_similarity(v, {_Q}), 5) AS score FROM u ORDER BY list_cosine_similarity(v, {_Q}) DESC, message_id LIMIT 20""")
+SQL["ftx4_search"] = f"WITH {KEPT_SQL}{_score(['storm'], 'true')}".replace("SELECT id, round(-sum(", "SELECT id FROM (SELECT id, (-sum(").replace(", 6) AS score FROM hit", ") AS score FROM hit") + ") JOIN kept USING (id) WHERE has_links = 0 ORDER BY round(score, 9), id LIMIT 30"
+SQL["hyb7_status"] = f"""WITH {KEPT_SQL}, ok AS (SELECT 1 AS x, chunk_id AS k FROM chunk_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    UNION ALL SELECT DISTINCT 2, message_id FROM message_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+    SELECT count(*) FILTER (x = 1) AS n_chunks, count(*) FILTER (x = 2) AS n_vectors, (SELECT count(*) FROM kept WHERE length(text_plain) > 5) AS n_documents, count(*) FILTER (x = 1) > 0 AS has_chunks, count(*) FILTER (x = 2) > 0 AS has_vectors, true AS has_documents FROM ok"""
+_WORDS = r"list_filter(regexp_split_to_array(lower(text_plain), '[\p{Z}\s\x{85}\x{1C}-\x{1F}\v]+'), lambda w: w <> '')"
+SQL["sty9_word_bigrams"] = f"""WITH {KEPT_SQL}, w AS (SELECT from_id, {_WORDS} AS w FROM kept WHERE from_id <> '' AND text_plain <> ''), g AS (SELECT from_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w),
+    c AS (SELECT from_id, gram, count(*) AS n FROM g GROUP BY 1, 2) SELECT from_id, gram, round(share, 8) AS share FROM (SELECT from_id, gram, n / sum(n) OVER (PARTITION BY from_id) AS share, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, gram) AS nth FROM c) WHERE nth <= 50"""
+SQL["sty9_bigrams"] = f"""WITH {KEPT_SQL}, w AS (SELECT from_id, regexp_replace(lower(text_plain), '[\\p{{Z}}\\s\\x{{85}}\\x{{1C}}-\\x{{1F}}\\v]+', ' ', 'g') AS t FROM kept WHERE from_id <> '' AND text_plain <> ''), g AS (SELECT from_id, unnest(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS gram FROM w),
+    c AS (SELECT from_id, gram, count(*) AS n FROM g WHERE trim(gram) <> '' GROUP BY 1, 2) SELECT from_id, gram, round(share, 8) AS share FROM (SELECT from_id, gram, n / sum(n) OVER (PARTITION BY from_id) AS share, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, gram) AS nth FROM c) WHERE nth <= 100"""
+SQL["sty10_samples"] = f"""WITH {KEPT_SQL}, x AS (SELECT from_id, text_plain, row_number() OVER (PARTITION BY from_id ORDER BY date_unixtime, id) AS nth FROM kept WHERE text_plain <> '')
+    SELECT from_id, least(5000, sum(length(text_plain)) + count(*) - 1)::INTEGER AS n FROM x WHERE nth <= 100 GROUP BY 1"""
+SQL["sty11_vectors"] = f"WITH {KEPT_SQL} SELECT DISTINCT from_id, 77 AS n FROM kept WHERE from_id <> ''"
