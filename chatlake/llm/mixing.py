@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.operators.running import blocked_running_sum
@@ -45,29 +45,35 @@ def canonical(source: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(source), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
 
-def mixed(documents: DataFrame, targets: DataFrame, budget: int | None = None, tokenizer: str = TOKENIZER, seed: int = 7) -> DataFrame:
+def mixed(documents: DataFrame, targets: DataFrame, budget: int | None = None, tokenizer: str = TOKENIZER, seed: int = 7, dry_share: float = 0.2) -> DataFrame:
     """The copies chosen for the mix: doc_id, source, repeat_no, n_tokens, finish.
 
     Each source's documents are shuffled by a seeded hash, once per allowed repeat, all first uses before the second ones. A
     copy's virtual finish time is its source's tokens so far divided by the target share; copies are taken in the order of
-    these times until the budget of tokens is spent (default: all tokens of the targeted sources, once). A source that runs out
-    leaves its share to the others in proportion. Documents without tokens, without a source or with one that has no target
+    these times until the budget of tokens is spent. A source that runs out leaves its share to the others in proportion. Without
+    a budget the mix ends when sources with more than ``dry_share`` of the weight of those that have documents have run out: up to
+    then all others keep their target proportions exactly, and no scarce source of little weight ends the mix early. Documents without tokens, without a source or with one that has no target
     above 0 aren't used; a null max_repeats counts as 1. Equal documents with different ids are different documents.
     """
     wanted = targets.where("source is not null and target_share > 0").select(canonical(F.col("source")).alias("source"), "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))
     known = documents.select("doc_id", canonical(F.col("source")).alias("source"), "text")
     sized = settle(with_tokens(known.join(wanted, "source", "left_semi"), tokenizer).where("n_tokens > 0").join(wanted, "source"))
-    if budget is None:
-        budget = sized.agg(F.sum("n_tokens")).first()[0] or 0
     copies = sized.where("max_repeats > 0").withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
     place = F.xxhash64("doc_id", "repeat_no", F.lit(seed))
     queued = copies.withColumn("place", place).withColumn("block", F.col("repeat_no") * SHUFFLE_BLOCKS + F.pmod("place", F.lit(SHUFFLE_BLOCKS)))
     timed = blocked_running_sum(queued, ["source"], "block", ["place", "doc_id"], {"before": "n_tokens"})
-    finished = settle(timed.select("doc_id", "source", "repeat_no", "n_tokens", ((F.col("before") + F.col("n_tokens")) / F.col("target_share")).alias("finish")))
+    finished = settle(timed.select("doc_id", "source", "repeat_no", "n_tokens", "target_share", ((F.col("before") + F.col("n_tokens")) / F.col("target_share")).alias("finish")))
+    chosen = ["doc_id", "source", "repeat_no", "n_tokens", "finish"]
+    if budget is None:
+        ends = finished.groupBy("source").agg(F.max("finish").alias("end"), F.first("target_share").alias("weight"))
+        by_end = Window.partitionBy(F.lit(0)).orderBy("end").rangeBetween(Window.unboundedPreceding, 0)
+        dry = ends.select("end", (F.sum("weight").over(by_end) / F.sum("weight").over(Window.partitionBy(F.lit(0)))).alias("dry"))
+        until = dry.agg(F.min(F.when(F.col("dry") > dry_share, F.col("end"))).alias("until")).first()["until"]
+        return finished.where(F.col("finish") <= (until if until is not None else -1.0)).select(*chosen)
     latest = finished.agg(F.max("finish")).first()[0] or 1.0
     slotted = finished.withColumn("slot", F.floor(F.col("finish") / latest * TIME_SLOTS))
     spent = blocked_running_sum(slotted, [], "slot", ["finish", "source", "doc_id", "repeat_no"], {"spent": "n_tokens"})
-    return spent.where(F.col("spent") + F.col("n_tokens") <= budget).select("doc_id", "source", "repeat_no", "n_tokens", "finish")
+    return spent.where(F.col("spent") + F.col("n_tokens") <= budget).select(*chosen)
 
 
 def share_report(mix: DataFrame, targets: DataFrame) -> DataFrame:

@@ -310,6 +310,15 @@ def test_shares_are_met_where_they_can_be(spark):
     assert mixed(documents.where("false"), targets).count() == 0
 
 
+def test_without_a_budget_proportions_hold_until_too_much_weight_is_dry(spark):
+    docs = [(n, "abc"[n % 3], "word " * 10) for n in range(600)] + [(1000 + n, "tiny", "word " * 10) for n in range(3)]
+    documents = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 1), ("c", 0.15, 1), ("tiny", 0.1, 1)], "source string, target_share double, max_repeats int")
+    tokens = {r.source: r.n_tokens for r in share_report(mixed(documents, targets), targets).collect()}
+    size = tokens["a"] / 200
+    assert abs(tokens["b"] - tokens["a"] / 2) <= size and abs(tokens["c"] - tokens["a"] * 0.3) <= size and tokens["tiny"] == 3 * size
+
+
 def test_token_counts_are_those_of_the_tokenizer(spark):
     rows = spark.createDataFrame([(1, "s", "Hello, wörld! שלום"), (2, "s", None)], "doc_id long, source string, text string")
     counts = {r.doc_id: r.n_tokens for r in with_tokens(rows).collect()}
