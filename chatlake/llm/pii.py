@@ -12,9 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatlake.operators.running import blocked_running_sum
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 NAME_SLOTS = 1 << 22
 """Slots of the tables of known given and family names; their size doesn't grow with the names."""
+NUMBERED = 1 << 40
+"""Attempts from here on are numbered surrogates: what is above is a number that no other entity of the kind has."""
 
 _DIGITS = {ord(c): str(i) for base in (0xFF10, 0x660, 0x6F0, 0x966) for i, c in enumerate(map(chr, range(base, base + 10)))} | {0xFF0B: "+", 0xFF20: "@", 0x2011: "-", 0xA0: " ", 0x202F: " "}
 
@@ -412,7 +416,13 @@ def _word(stream: _Stream, script: str, like: str) -> str:
 
 
 def surrogate(key: str, kind: str, entity: str, piece: str, attempt: int = 0) -> str:
-    """A replacement of the same kind: numbers keep length and separators, names keep script, case, order, initials and the ending that marks gender."""
+    """A replacement of the same kind: numbers keep length and separators, names keep script, case, order, initials and the ending that marks gender.
+
+    Attempts from NUMBERED on give the surrogate of attempt 0 with a number added, which no surrogate of an earlier attempt ends with.
+    """
+    if attempt >= NUMBERED:
+        plain, number = surrogate(key, kind, entity, piece), attempt - NUMBERED
+        return plain.replace("@", f"+{number}@") if kind == "email" else f"{plain} #{number}"
     stream = _Stream(key, kind, entity, attempt)
     if kind == "email":
         return f"{_word(stream, 'latin', 'x')}.{_word(stream, 'latin', 'x')}{stream.below(1000)}@{_DOMAIN}"
@@ -446,10 +456,11 @@ def surrogate(key: str, kind: str, entity: str, piece: str, attempt: int = 0) ->
 
 
 def surrogates(pieces: DataFrame, key: str, rounds: int = 4) -> DataFrame:
-    """Entities with the attempt whose surrogate no other entity of the kind has: kind, entity, attempt.
+    """Entities with the attempt whose surrogates, of all their spellings, no other entity of the kind has: kind, entity, attempt.
 
     Colliding entities, all but the smallest of each collision, move on to the next attempt, up to ``rounds`` times; what still
-    collides then gets its own number as attempt. Works on distinct entities only, with map-side pre-aggregation.
+    collides then, as in a space with fewer values than entities, gets its own number added (NUMBERED). Works on distinct
+    spellings only, with map-side pre-aggregation.
     """
     from chatlake.session import settle
 
@@ -457,21 +468,27 @@ def surrogates(pieces: DataFrame, key: str, rounds: int = 4) -> DataFrame:
         for batch in batches:
             yield batch.assign(entity=[canonical(k, p) for k, p in zip(batch.kind, batch.piece, strict=True)])
 
-    entities = pieces.select("kind", "piece").distinct().mapInPandas(named, "kind string, piece string, entity string").groupBy("kind", "entity").agg(F.min("piece").alias("piece"))
+    spellings = pieces.select("kind", "piece").distinct().mapInPandas(named, "kind string, piece string, entity string")
 
     def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(fake=[canonical(k, surrogate(key, k, e, p, a)) for k, e, p, a in zip(batch.kind, batch.entity, batch.piece, batch.attempt, strict=True)])
 
-    current = entities.withColumn("attempt", F.lit(0).cast("long"))
-    for _ in range(rounds):
-        made = settle(current.mapInPandas(tried, "kind string, entity string, piece string, attempt long, fake string"))
-        first = made.groupBy("kind", "fake").agg(F.min("entity").alias("owner"), F.count("*").alias("n"))
-        clash = first.where("n > 1")
+    current = spellings.withColumn("attempt", F.lit(0).cast("long"))
+    for done in range(rounds + 1):
+        made = settle(current.mapInPandas(tried, "kind string, piece string, entity string, attempt long, fake string"))
+        clash = made.groupBy("kind", "fake").agg(F.min("entity").alias("owner"), F.max("entity").alias("last")).where("owner <> last")
         if clash.isEmpty():
-            return made.select("kind", "entity", "attempt")
-        current = made.join(clash, ["kind", "fake"], "left").select("kind", "entity", "piece", F.when(F.col("n").isNotNull() & (F.col("owner") != F.col("entity")), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
-    return current.select("kind", "entity", "attempt")
+            break
+        moving = made.join(clash, ["kind", "fake"]).where("entity <> owner").select("kind", "entity").distinct()
+        if done < rounds:
+            moved = moving.withColumn("next", F.lit(1))
+        else:
+            moved = settle(moving.select("kind", "entity", F.pmod(F.xxhash64("kind", "entity"), F.lit(4096)).alias("block")))
+            moved = blocked_running_sum(moved, [], "block", ["kind", "entity"], {"before": F.lit(1)}).select("kind", "entity", (NUMBERED + 1 + F.col("before")).alias("next"))
+        current = made.join(moved, ["kind", "entity"], "left").select("kind", "piece", "entity", F.when(F.col("next") < NUMBERED, F.col("attempt") + F.col("next")).otherwise(F.coalesce("next", "attempt")).alias("attempt"))
+        made = current
+    return made.groupBy("kind", "entity").agg(F.max("attempt").alias("attempt"))
 
 
 def redacted(texts: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
@@ -480,13 +497,16 @@ def redacted(texts: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
     Only texts with pieces are rewritten; the others come out as they are, null texts as null. Rows are told apart by
     (field, record_key); of several rows with one key each is rewritten by itself.
     """
+    from chatlake.session import settle
+
+    pieces = settle(pieces.select("field", "record_key", "kind", "start", "end", "piece").distinct())
     attempts = surrogates(pieces, key)
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(entity=[canonical(k, p) for k, p in zip(batch.kind, batch.piece, strict=True)])
 
-    placed = pieces.select("field", "record_key", "kind", "start", "end", "piece").distinct().mapInPandas(named, "field string, record_key string, kind string, start long, end long, piece string, entity string")
+    placed = pieces.mapInPandas(named, "field string, record_key string, kind string, start long, end long, piece string, entity string")
     chosen = placed.join(attempts, ["kind", "entity"])
     edits = chosen.groupBy("field", "record_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "entity", "piece", "attempt"))).alias("edits"))
 

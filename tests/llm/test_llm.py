@@ -184,6 +184,29 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(fakes)) == len(fakes) == 18
 
 
+def test_surrogates_of_a_small_space_stay_distinct(spark):
+    streets = [("address", f"{n} {word} St") for word in ("Oak", "Elm", "Fir", "Ash", "Bay", "Ivy") for n in range(1, 10)]
+    spelled = [("address", "1 OAK ST."), ("email", "a@x.test"), ("phone", "+1 646 555 0177"), ("phone", "+1 (646) 555-0177")]
+    rows = spark.createDataFrame(streets + spelled, "kind string, piece string")
+    for key in ("k", "key", "other"):
+        attempts = {(r.kind, r.entity): r.attempt for r in P.surrogates(rows, key).collect()}
+        assert len(attempts) == len(streets) + 2
+        owners = {}
+        for kind, piece in streets + spelled:
+            entity = P.canonical(kind, piece)
+            owners.setdefault((kind, P.surrogate(key, kind, entity, piece, attempts[kind, entity])), set()).add(entity)
+        assert all(len(entities) == 1 for entities in owners.values())
+
+
+def test_more_entities_than_surrogates(spark):
+    streets = [f"{n} Oak St" for n in range(10)]
+    got = P.surrogates(spark.createDataFrame([("address", s) for s in streets], "kind string, piece string"), "key").collect()
+    attempts = {r.entity: r.attempt for r in got}
+    fakes = {P.surrogate("key", "address", P.canonical("address", s), s, attempts[P.canonical("address", s)]) for s in streets}
+    assert len(got) == len(fakes) == 10 and max(attempts.values()) > P.NUMBERED
+    assert P.surrogate("k", "email", "x", "a@b.test", P.NUMBERED + 7).endswith("+7@example.org")
+
+
 def test_surrogates_keep_script_case_and_format():
     assert re.fullmatch(r"[א-ת]+ [א-ת]+", P.surrogate("k", "name", "x", "טובריק קסטלמר"))
     assert P.surrogate("k", "name", "x", "TOVRIK KESTLEMAR").isupper() and P.surrogate("k", "name", "x", "Melda Zellanova").split()[1].endswith("na")
