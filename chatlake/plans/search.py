@@ -223,6 +223,7 @@ _add("src4_5_parse", lambda s, d: chat_export.parsed(_raw(s, d)).select("id", "t
 _add("src16_sample", _m(lambda m: sampled(m, 100).select("id")))
 _add("src17_probe", _m(lambda m: chat_export.probe(m)), "SELECT id, date, from_name, substr(text_plain, 1, 80) AS text FROM kept ORDER BY date_unixtime DESC, id LIMIT 50")
 _add("snk2_unseen", lambda s, d: store.unseen(messages(s, d).where("id % 2 = 0").select("id"), read_table(s, d, "message_embeddings").select(F.col("message_id").alias("id")), "id"), "SELECT id FROM kept WHERE id % 2 = 0 AND id NOT IN (SELECT message_id FROM message_embeddings)")
+_add("snk2_unseen_all", lambda s, d: store.unseen(messages(s, d).select("id"), read_table(s, d, "message_embeddings").select(F.col("message_id").alias("id")), "id"), "SELECT id FROM kept WHERE id NOT IN (SELECT message_id FROM message_embeddings WHERE message_id IS NOT NULL)")
 _add("snk14_users_export", _m(store.users_export), "SELECT from_id, max(from_name) AS name, count(*) AS messages, coalesce(sum(text_length), 0)::BIGINT AS characters, coalesce(sum(has_links), 0)::BIGINT AS links, coalesce(sum(has_media), 0)::BIGINT AS media, strftime(make_timestamp(min(date_unixtime) * 1000000), '%Y-%m-%dT%H:%M:%S') AS first_message, strftime(make_timestamp(max(date_unixtime) * 1000000), '%Y-%m-%dT%H:%M:%S') AS last_message FROM kept WHERE from_id IS NOT NULL GROUP BY 1")
 _add("snk15_messages_export", _m(lambda m: store.messages_export(m, 1000).select("id", "text")), "SELECT id, substr(text_plain, 1, 500) AS text FROM kept ORDER BY date_unixtime DESC, id LIMIT 1000")
 _add("snk16_json", _m(lambda m: store.as_json(m.where("has_photo = 1").select("id", "from_id"))), """SELECT to_json(CASE WHEN from_id IS NULL THEN {'id': id} END) AS json FROM kept WHERE false""".replace("SELECT to_json(CASE WHEN from_id IS NULL THEN {'id': id} END) AS json FROM kept WHERE false", "SELECT '{\"id\":' || id || coalesce(',\"from_id\":\"' || from_id || '\"', '') || '}' AS json FROM kept WHERE has_photo = 1"))

@@ -136,3 +136,10 @@ def test_the_entry_module_needs_no_session():
 
 def test_every_sql_has_a_query():
     assert registry.oracle_sql().keys() <= registry.queries().keys()
+
+
+def test_unseen_messages_of_every_id(spark, chat, tmp_path):
+    chat(*[{"id": n, "text_plain": "x"} for n in range(1, 8)]).write.parquet(f"{tmp_path}/messages.parquet")
+    spark.createDataFrame([(2,), (5,), (5,)], "message_id long").write.parquet(f"{tmp_path}/message_embeddings.parquet")
+    got = registry.queries()["snk2_unseen_all"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in got) == [1, 3, 4, 6, 7]
