@@ -52,6 +52,7 @@ _add("fil7_text_length", _m(lambda m: m.where(F.length("text_plain") > 150).sele
 _add("fil8_flags", _m(lambda m: m.agg(*[F.count_if(F.col(c) == 1).alias(c) for c in ("has_links", "has_photo", "is_edited")], F.count("forwarded_from").alias("forwards"))), "SELECT count(*) FILTER (has_links = 1) AS has_links, count(*) FILTER (has_photo = 1) AS has_photo, count(*) FILTER (is_edited = 1) AS is_edited, count(forwarded_from) AS forwards FROM kept")
 _add("fil9_in_given_order", _m(lambda m: filters.in_given_order(m, [500030, 500010, 1, 500020, 500010]).select("pos", "id")), "SELECT pos, id FROM (VALUES (0::BIGINT, 500030::BIGINT), (1, 500010), (2, 1), (3, 500020), (4, 500010)) v(pos, id) JOIN kept USING (id)")
 _add("fil10_exclude_self", _m(lambda m: _ids(m.where((F.col("from_id") != USER) & (F.length("text_plain") > 20) & (F.col("has_photo") == 1)))), f"SELECT id, date_unixtime FROM kept WHERE from_id <> '{USER}' AND length(text_plain) > 20 AND has_photo = 1")
+_add("fil10_exclude_self_all", _m(lambda m: _ids(m.where(F.col("from_id") != USER))), f"SELECT id, date_unixtime FROM kept WHERE from_id <> '{USER}'")
 _add("fil11_active_users", _m(lambda m: filters.active_users(m, 20, START)), f"SELECT from_id, max(from_name) AS name, count(*) AS msg_count FROM kept WHERE from_id <> '' AND text_plain <> '' AND date_unixtime >= {START} GROUP BY from_id HAVING count(*) >= 20")
 _add("fil13_previews", _m(lambda m: m.select("id", preview(F.col("text_plain"), 80).alias("text"), F.length("text_plain").cast("long").alias("n"))), "SELECT id, substr(text_plain, 1, 80) AS text, length(text_plain) AS n FROM kept")
 

@@ -147,6 +147,8 @@ _add("hyb3_okapi", lambda s, d: fulltext.okapi(fulltext.okapi_index(messages(s,
 # Similar texts
 _add("sim1_2_trigram_similarity", _m(lambda m: m.where("text_length between 30 and 60").select("id", F.round(jaccard(trigrams(F.col("text_plain")), trigrams(F.lit("the water bill before the storm"))), 6).alias("similarity"))), f""", x AS (SELECT id, {_CLEAN} AS c FROM kept WHERE text_length BETWEEN 30 AND 60), s AS (SELECT id, CASE WHEN length(c) >= 3 THEN {_TRI.format(c="c")} WHEN c <> '' THEN [c] ELSE [] END AS t FROM x), q AS (SELECT {_TRI.format(c="'the water bill before the storm'")} AS t)
     SELECT id, round(CASE WHEN len(s.t) = 0 THEN 0 ELSE len(list_intersect(s.t, q.t)) / len(list_distinct(list_concat(s.t, q.t))) END, 6) AS similarity FROM s, q""")
+_add("sim1_2_trigram_similarity_all", _m(lambda m: m.select("id", F.round(jaccard(trigrams(F.col("text_plain")), trigrams(F.lit("the water bill before the storm"))), 6).alias("similarity"))), f""", x AS (SELECT id, {_CLEAN} AS c FROM kept), s AS (SELECT id, CASE WHEN length(c) >= 3 THEN {_TRI.format(c="c")} WHEN c <> '' THEN [c] ELSE [] END AS t FROM x), q AS (SELECT {_TRI.format(c="'the water bill before the storm'")} AS t)
+    SELECT id, round(CASE WHEN len(s.t) = 0 THEN 0 ELSE len(list_intersect(s.t, q.t)) / len(list_distinct(list_concat(s.t, q.t))) END, 6) AS similarity FROM s, q""")
 _add("sim6_7_similar_sample", _m(lambda m: similarity.with_previews(similarity.similar_pairs(sampled(m.where(F.length("text_plain") >= 30), 500), 0.7, 30), m)))
 _add("sim8_reposts", _m(lambda m: similarity.reposts(m, 0.9)))
 _add("sim9_similar_to", _m(lambda m: similarity.similar_to(m, 500020)))
@@ -227,6 +229,7 @@ _add("snk2_unseen_all", lambda s, d: store.unseen(messages(s, d).select("id"), r
 _add("snk14_users_export", _m(store.users_export), "SELECT from_id, max(from_name) AS name, count(*) AS messages, coalesce(sum(text_length), 0)::BIGINT AS characters, coalesce(sum(has_links), 0)::BIGINT AS links, coalesce(sum(has_media), 0)::BIGINT AS media, strftime(make_timestamp(min(date_unixtime) * 1000000), '%Y-%m-%dT%H:%M:%S') AS first_message, strftime(make_timestamp(max(date_unixtime) * 1000000), '%Y-%m-%dT%H:%M:%S') AS last_message FROM kept WHERE from_id IS NOT NULL GROUP BY 1")
 _add("snk15_messages_export", _m(lambda m: store.messages_export(m, 1000).select("id", "text")), "SELECT id, substr(text_plain, 1, 500) AS text FROM kept ORDER BY date_unixtime DESC, id LIMIT 1000")
 _add("snk16_json", _m(lambda m: store.as_json(m.where("has_photo = 1").select("id", "from_id"))), """SELECT to_json(CASE WHEN from_id IS NULL THEN {'id': id} END) AS json FROM kept WHERE false""".replace("SELECT to_json(CASE WHEN from_id IS NULL THEN {'id': id} END) AS json FROM kept WHERE false", "SELECT '{\"id\":' || id || coalesce(',\"from_id\":\"' || from_id || '\"', '') || '}' AS json FROM kept WHERE has_photo = 1"))
+_add("snk16_json_all", _m(lambda m: store.as_json(m.select("id", "from_id"))), "SELECT '{' || concat_ws(',', '\"id\":' || id, '\"from_id\":' || to_json(from_id)) || '}' AS json FROM kept")
 
 
 def _nlq3_gate(spark, folder) -> DataFrame:

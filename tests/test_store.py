@@ -143,3 +143,14 @@ def test_unseen_messages_of_every_id(spark, chat, tmp_path):
     spark.createDataFrame([(2,), (5,), (5,)], "message_id long").write.parquet(f"{tmp_path}/message_embeddings.parquet")
     got = registry.queries()["snk2_unseen_all"](spark, str(tmp_path)).collect()
     assert sorted(r.id for r in got) == [1, 3, 4, 6, 7]
+
+
+def test_scores_exclusion_and_export_take_every_message(spark, chat, tmp_path):
+    texts = ["the water bill before the storm", "a", "", None, "the water bill before the storm, and a text of more than sixty characters"]
+    senders = ["user200000037", "b", "b", "b", "c"]
+    chat(*[{"id": n, "text_plain": t, "from_id": w} for n, (t, w) in enumerate(zip(texts, senders, strict=True), 1)]).write.parquet(f"{tmp_path}/messages.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    scores = {r.id: r.similarity for r in run("sim1_2_trigram_similarity_all")}
+    assert scores.keys() == {1, 2, 3, 4, 5} and scores[1] == 1 and scores[2] == scores[3] == scores[4] == 0 and 0 < scores[5] < 1
+    assert {r.id for r in run("fil10_exclude_self_all")} == {2, 3, 4, 5}
+    assert sorted(json.loads(r.json)["id"] for r in run("snk16_json_all")) == [1, 2, 3, 4, 5]
