@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,13 @@ from pyspark.sql import functions as F
 SAMPLE = 1000
 """Most rows a sample of texts may have; it is compared as a whole and sent to every task."""
 
+BAND = math.log(1.2)
+"""Texts of one band differ in length by less than 20 %; narrower bands mean more and smaller comparisons."""
+BLOCK = 2048
+"""About as many texts a block of a band has; two blocks at a time are compared in memory."""
+BUCKETS = 64
+"""Characters are counted by code point modulo this; characters that share a bucket only raise the bound."""
+
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence in code points, by bit vectors: a word operation covers 64 cells."""
@@ -109,6 +118,93 @@ def similar_pairs(sample: DataFrame, threshold: float = 0.7, min_length: int = 2
     return spark.range(len(texts), numPartitions=min(64, max(1, len(texts)))).mapInPandas(compare, "id_1 long, id_2 long, similarity double")
 
 
+def _codes(texts: list[str]) -> list[np.ndarray]:
+    return [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+
+
+def _lcs_lengths(one: np.ndarray, others: np.ndarray, symbols: int) -> np.ndarray:
+    """lcs_length of one text with each row of ``others``, in words of 64 bits; texts are symbols from 1, 0 fills up the rows."""
+    words = (len(one) + 63) // 64
+    masks = np.zeros((words, symbols + 1), np.uint64)
+    at = np.arange(len(one))
+    np.bitwise_or.at(masks, (at >> 6, one), np.uint64(1) << (at & 63).astype(np.uint64))
+    rows = np.full((words, len(others)), ~np.uint64(0))
+    for column in others.T:
+        carry = np.zeros(len(others), np.uint64)
+        for w in range(words):
+            row = rows[w]
+            hit = row & masks[w][column]
+            total = row + hit
+            over = total < row
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            rows[w] = total | (row ^ hit)
+    return 64 * words - np.bitwise_count(rows).sum(0, dtype=np.int64)
+
+
+def _compared(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float) -> pd.DataFrame:
+    """Pairs of two blocks (rep, text), or of one with itself, at the threshold."""
+    own = right is None
+    left = left.assign(n=left.text.str.len()).sort_values("n", kind="stable")
+    right = left if own else right.assign(n=right.text.str.len()).sort_values("n", kind="stable")
+    raw = _codes([*left.text, *right.text])
+    alphabet, flat = np.unique(np.concatenate(raw), return_inverse=True)
+    parts = np.split(flat.astype(np.int32) + 1, np.cumsum([len(r) for r in raw])[:-1])
+    counts = np.array([np.bincount(r % BUCKETS, minlength=BUCKETS) for r in raw], np.int32)
+    first, parts, ours, theirs = parts[: len(left)], parts[len(left) :], counts[: len(left)], counts[len(left) :]
+    lengths = right.n.to_numpy()
+    others = np.zeros((len(right), int(lengths[-1])), np.int32)
+    for i, part in enumerate(parts):
+        others[i, : len(part)] = part
+    a, b, keys, out = left.rep.to_numpy(), right.rep.to_numpy(), left.n.to_numpy(), []
+    for i, n in enumerate(keys):
+        low = i + 1 if own else int(np.searchsorted(lengths, math.floor(threshold * n - 1e-9), "left"))
+        high = int(np.searchsorted(lengths, math.ceil(n / threshold + 1e-9), "right"))
+        longer = np.maximum(lengths[low:high], n)
+        near = low + np.flatnonzero(np.minimum(ours[i], theirs[low:high]).sum(1) >= threshold * longer - 1e-9)
+        if len(near):
+            similarity = _lcs_lengths(first[i], others[near, : int(lengths[near[-1]])], len(alphabet)) / np.maximum(lengths[near], n)
+            kept = np.flatnonzero(similarity >= threshold)
+            out += [(a[i], b[j], s) for j, s in zip(near[kept], similarity[kept], strict=True)]
+    return pd.DataFrame(out, columns=["rep_1", "rep_2", "similarity"])
+
+
+def all_similar_pairs(messages: DataFrame, threshold: float = 0.7, min_length: int = 20) -> DataFrame:
+    """Every pair id_1 < id_2 of messages (id, text_plain) of at least ``min_length`` with similarity at the threshold; no sample, no limit.
+
+    Equal texts are compared once. The others stand in bands of like length, cut into blocks; only blocks whose lengths allow
+    the threshold meet, and in them the bounds of ``_possible`` come first. Work still grows with the square of the distinct texts.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    from chatlake.session import settle
+
+    rows = messages.where((F.length("text_plain") >= max(1, min_length)) & F.col("id").isNotNull()).select("id", F.col("text_plain").alias("text"))
+    members = settle(rows.join(rows.groupBy("text").agg(F.min("id").alias("rep")), "text").select("rep", "id", "text").distinct())
+    classes = members.where("id = rep").select("rep", "text", F.floor(F.log(F.length("text").cast("double")) / BAND).cast("long").alias("band"))
+    parts = classes.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    placed = classes.join(F.broadcast(parts), "band").select("rep", "text", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
+    reach = math.ceil(-math.log(threshold) / BAND) + 1
+    blocks = parts.select(F.col("band").alias("their_band"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("their_part"))
+    sent = placed.join(F.broadcast(blocks), F.abs(F.col("band") - F.col("their_band")) <= reach)
+    mine, theirs = F.struct("band", "part"), F.struct(F.col("their_band").alias("band"), F.col("their_part").alias("part"))
+    sent = sent.select("rep", "text", F.least(mine, theirs).alias("lower"), F.greatest(mine, theirs).alias("upper"), (mine > theirs).alias("above"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[~rows.above], rows[rows.above]
+        if rows.own.iloc[0]:
+            return _compared(left, None, threshold)
+        return _compared(left, right, threshold) if len(left) and len(right) else pd.DataFrame({"rep_1": [], "rep_2": [], "similarity": []})
+
+    keyed = sent.select("rep", "text", "above", (F.col("lower") == F.col("upper")).alias("own"), *[F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("lower", "upper") for y in ("band", "part")])
+    found = keyed.repartition(4 * int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lower_band", "lower_part", "upper_band", "upper_part")
+    found = found.groupBy("lower_band", "lower_part", "upper_band", "upper_part").applyInPandas(compare, "rep_1 long, rep_2 long, similarity double")
+    one, two = members.select(F.col("rep").alias("rep_1"), F.col("id").alias("a")), members.select(F.col("rep").alias("rep_2"), F.col("id").alias("b"))
+    across = found.join(one, "rep_1").join(two, "rep_2").select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"), "similarity")
+    equal = one.join(two, F.col("rep_1") == F.col("rep_2")).where("a < b").select(F.col("a").alias("id_1"), F.col("b").alias("id_2"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(equal)
+
+
 def reposts(messages: DataFrame, threshold: float = 0.9, newest: int = 500, min_length: int = 50) -> DataFrame:
     """Pairs of like texts of different senders among the newest longer messages."""
     recent = messages.where(F.length("text_plain") >= min_length).orderBy(F.desc("date_unixtime"), "id").limit(newest)

@@ -149,7 +149,8 @@ _add("sim1_2_trigram_similarity", _m(lambda m: m.where("text_length between 30 a
     SELECT id, round(CASE WHEN len(s.t) = 0 THEN 0 ELSE len(list_intersect(s.t, q.t)) / len(list_distinct(list_concat(s.t, q.t))) END, 6) AS similarity FROM s, q""")
 _add("sim1_2_trigram_similarity_all", _m(lambda m: m.select("id", F.round(jaccard(trigrams(F.col("text_plain")), trigrams(F.lit("the water bill before the storm"))), 6).alias("similarity"))), f""", x AS (SELECT id, {_CLEAN} AS c FROM kept), s AS (SELECT id, CASE WHEN length(c) >= 3 THEN {_TRI.format(c="c")} WHEN c <> '' THEN [c] ELSE [] END AS t FROM x), q AS (SELECT {_TRI.format(c="'the water bill before the storm'")} AS t)
     SELECT id, round(CASE WHEN len(s.t) = 0 THEN 0 ELSE len(list_intersect(s.t, q.t)) / len(list_distinct(list_concat(s.t, q.t))) END, 6) AS similarity FROM s, q""")
-_add("sim6_7_similar_sample", _m(lambda m: similarity.with_previews(similarity.similar_pairs(sampled(m.where(F.length("text_plain") >= 30), 500), 0.7, 30), m)))
+_add("sim6_7_similar_sample", _m(lambda m: similarity.with_previews(similarity.similar_pairs(sampled(m.where(F.length("text_plain") >= 30), 1000), 0.7, 30), m)))
+_add("sim6_all_similar_pairs", _m(similarity.all_similar_pairs))
 _add("sim8_reposts", _m(lambda m: similarity.reposts(m, 0.9)))
 _add("sim9_similar_to", _m(lambda m: similarity.similar_to(m, 500020)))
 _add("sim10_all_similar", _m(lambda m: similarity.similar_pairs(sampled(m.where(F.length("text_plain") > 30), 500, seed=1), 0.8, 31).orderBy(F.desc("similarity"), "id_1", "id_2").limit(50)))

@@ -111,6 +111,24 @@ def test_similar_pairs_and_reposts(chat):
     assert similarity.similar_to(rows, 12345).count() == 0
 
 
+def test_all_similar_pairs_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 60)
+    rng = random.Random(3)
+    base = ["".join(rng.choices("abcdefgh שלום🚲", k=rng.choice((20, 27, 60, 64, 65, 130, 200)))) for _ in range(100)]
+    texts = base + ["".join(c for c in rng.choice(base) if rng.random() > rng.choice((0.02, 0.2, 0.3))) for _ in range(900)] + base[:60] + ["short", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text_plain string")
+    got = [(r.id_1, r.id_2, r.similarity) for r in similarity.all_similar_pairs(rows).collect()]
+    wanted = {}
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            b = texts[j]
+            if a and b and min(len(a), len(b)) >= 20 and min(len(a), len(b)) >= 0.7 * max(len(a), len(b)) - 1e-9:
+                s = similarity.lcs_similarity(a, b)
+                if s >= 0.7:
+                    wanted[i, j] = s
+    assert len(texts) > similarity.SAMPLE and len(got) == len(wanted) and {(a, b): s for a, b, s in got} == wanted
+
+
 def test_vectors(spark):
     rows = [(1, "a", [1.0, 0.0], "m"), (2, "b", [0.9, 0.1], "m"), (3, "a", [0.0, 1.0], "m"), (4, "c", [0.0, 0.0], "m"), (5, "c", None, "m"), (6, "c", [float("nan"), 1.0], "m")]
     store = vectors.usable(spark.createDataFrame(rows, "message_id long, from_name string, embedding array<float>, model_name string"), 2)
