@@ -7,15 +7,15 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.operators.running import blocked_running_sum
+from chatlake.operators.running import beside, ranged_running_sum
 from chatlake.session import settle
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-SHUFFLE_BLOCKS = 4096
-TIME_SLOTS = 65_536
+BUDGET_SHARE = 0.5
+"""Share of the tokens of the target sources' documents that a mix without a stated budget may spend."""
 
 
 @cache
@@ -45,41 +45,49 @@ def canonical(source: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(source), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
 
-def mixed(documents: DataFrame, targets: DataFrame, budget: int | None = None, tokenizer: str = TOKENIZER, seed: int = 7, dry_share: float = 0.2) -> DataFrame:
+def _wanted(targets: DataFrame) -> DataFrame:
+    return targets.where("source is not null and target_share > 0").select(canonical(F.col("source")).alias("source"), "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))
+
+
+def mixed(documents: DataFrame, targets: DataFrame, budget: int | None = None, budget_share: float = BUDGET_SHARE, tokenizer: str = TOKENIZER, seed: int = 7) -> DataFrame:
     """The copies chosen for the mix: doc_id, source, repeat_no, n_tokens, finish.
 
     Each source's documents are shuffled by a seeded hash, once per allowed repeat, all first uses before the second ones. A
-    copy's virtual finish time is its source's tokens so far divided by the target share; copies are taken in the order of
-    these times until the budget of tokens is spent. A source that runs out leaves its share to the others in proportion. Without
-    a budget the mix ends when sources with more than ``dry_share`` of the weight of those that have documents have run out: up to
-    then all others keep their target proportions exactly, and no scarce source of little weight ends the mix early. Documents without tokens, without a source or with one that has no target
-    above 0 aren't used; a null max_repeats counts as 1. Equal documents with different ids are different documents.
+    copy's virtual finish time is its source's tokens so far divided by the target share. All copies are sorted by these times
+    (ties by source, document and repeat) in sampled ranges and taken until the budget of tokens is spent; the first copy
+    that doesn't fit ends the mix. ``budget`` is a number of tokens; without it the budget is ``budget_share`` of the tokens
+    that the documents of the target sources have, each counted once. A source that runs out leaves its share to the others
+    in proportion; ``share_report`` says which ones and why. Documents without tokens, without a source or with one that has
+    no target above 0 aren't used; a null max_repeats counts as 1. Equal documents with different ids are different documents.
     """
-    wanted = targets.where("source is not null and target_share > 0").select(canonical(F.col("source")).alias("source"), "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))
+    wanted = _wanted(targets)
     known = documents.select("doc_id", canonical(F.col("source")).alias("source"), "text")
     sized = settle(with_tokens(known.join(wanted, "source", "left_semi"), tokenizer).where("n_tokens > 0").join(wanted, "source"))
-    copies = sized.where("max_repeats > 0").withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
-    place = F.xxhash64("doc_id", "repeat_no", F.lit(seed))
-    queued = copies.withColumn("place", place).withColumn("block", F.col("repeat_no") * SHUFFLE_BLOCKS + F.pmod("place", F.lit(SHUFFLE_BLOCKS)))
-    timed = blocked_running_sum(queued, ["source"], "block", ["place", "doc_id"], {"before": "n_tokens"})
-    finished = settle(timed.select("doc_id", "source", "repeat_no", "n_tokens", "target_share", ((F.col("before") + F.col("n_tokens")) / F.col("target_share")).alias("finish")))
-    chosen = ["doc_id", "source", "repeat_no", "n_tokens", "finish"]
+    limit = F.lit(budget).cast("long")
     if budget is None:
-        ends = finished.groupBy("source").agg(F.max("finish").alias("end"), F.first("target_share").alias("weight"))
-        by_end = Window.partitionBy(F.lit(0)).orderBy("end").rangeBetween(Window.unboundedPreceding, 0)
-        dry = ends.select("end", (F.sum("weight").over(by_end) / F.sum("weight").over(Window.partitionBy(F.lit(0)))).alias("dry"))
-        until = dry.agg(F.min(F.when(F.col("dry") > dry_share, F.col("end"))).alias("until")).first()["until"]
-        return finished.where(F.col("finish") <= (until if until is not None else -1.0)).select(*chosen)
-    latest = finished.agg(F.max("finish")).first()[0] or 1.0
-    slotted = finished.withColumn("slot", F.floor(F.col("finish") / latest * TIME_SLOTS))
-    spent = blocked_running_sum(slotted, [], "slot", ["finish", "source", "doc_id", "repeat_no"], {"spent": "n_tokens"})
-    return spent.where(F.col("spent") + F.col("n_tokens") <= budget).select(*chosen)
-
-
-def share_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target source: source, target_share, actual_share, n_tokens, n_copies, n_documents, most_repeats; all targets appear."""
+        limit = F.floor(F.lit(budget_share) * F.coalesce(F.sum("n_tokens"), F.lit(0))).cast("long")
+    limits = sized.agg(limit.alias("budget"))
+    copies = sized.where("max_repeats > 0").withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
+    queued = copies.withColumn("place", F.xxhash64("doc_id", "repeat_no", F.lit(seed)))
+    timed = ranged_running_sum(queued, ["source"], ["repeat_no", "place", "doc_id"], {"before": "n_tokens"})
+    finished = timed.select("doc_id", "source", "repeat_no", "n_tokens", ((F.col("before") + F.col("n_tokens")) / F.col("target_share")).alias("finish"))
+    spent = ranged_running_sum(finished, [], ["finish", "source", "doc_id", "repeat_no"], {"spent": "n_tokens"})
+    return beside(spent, limits).where(F.col("spent") + F.col("n_tokens") <= F.col("budget")).select("doc_id", "source", "repeat_no", "n_tokens", "finish")
+
+
+def share_report(mix: DataFrame, targets: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Per target source: source, target_share, actual_share, n_tokens, n_copies, n_documents, most_repeats, missed; all targets appear.
+
+    ``missed`` needs the ``documents``: null for a source that had copies left, ``no documents`` for one without any, ``used up``
+    for one all of whose documents were used max_repeats times, which leaves its share to the others.
+    """
     used = mix.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_copies"), F.sum(F.when(F.col("repeat_no") == 1, 1).otherwise(0)).alias("n_documents"), F.max("repeat_no").alias("most_repeats"))
     total = used.agg(F.sum("n_tokens").alias("total"))
-    rows = targets.where("source is not null").select(canonical(F.col("source")).alias("source"), "target_share").join(used, "source", "left").join(total, F.lit(True), "left")
+    rows = targets.where("source is not null").select(canonical(F.col("source")).alias("source"), "target_share", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats")).join(used, "source", "left").join(total, F.lit(True), "left")
     zero = F.lit(0)
-    return rows.select("source", "target_share", F.coalesce(F.col("n_tokens") / F.col("total"), zero.cast("double")).alias("actual_share"), *[F.coalesce(c, zero).cast("long").alias(c) for c in ("n_tokens", "n_copies", "n_documents", "most_repeats")])
+    missed = F.lit(None).cast("string")
+    if documents is not None:
+        stock = documents.where(F.length("text") > 0).groupBy(canonical(F.col("source")).alias("source")).agg(F.count("*").alias("stock"))
+        rows = rows.join(stock, "source", "left")
+        missed = F.when(F.coalesce("stock", zero) * F.col("max_repeats") == 0, "no documents").when(F.col("n_copies") >= F.col("stock") * F.col("max_repeats"), "used up")
+    return rows.select("source", "target_share", F.coalesce(F.col("n_tokens") / F.col("total"), zero.cast("double")).alias("actual_share"), *[F.coalesce(c, zero).cast("long").alias(c) for c in ("n_tokens", "n_copies", "n_documents", "most_repeats")], missed.alias("missed"))

@@ -85,7 +85,7 @@ def p9_mixed_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_share_report(spark: SparkSession, folder: str) -> DataFrame:
-    return share_report(p9_mixed_documents(spark, folder), read_table(spark, folder, "source_targets"))
+    return share_report(p9_mixed_documents(spark, folder), read_table(spark, folder, "source_targets"), read_table(spark, folder, "documents"))
 
 
 def p10_sentences(spark: SparkSession, folder: str) -> DataFrame:

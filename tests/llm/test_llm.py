@@ -333,13 +333,24 @@ def test_shares_are_met_where_they_can_be(spark):
     assert mixed(documents.where("false"), targets).count() == 0
 
 
-def test_without_a_budget_proportions_hold_until_too_much_weight_is_dry(spark):
+def test_the_default_budget_is_a_share_of_the_tokens(spark):
     docs = [(n, "abc"[n % 3], "word " * 10) for n in range(600)] + [(1000 + n, "tiny", "word " * 10) for n in range(3)]
     documents = spark.createDataFrame(docs, "doc_id long, source string, text string")
-    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 1), ("c", 0.15, 1), ("tiny", 0.1, 1)], "source string, target_share double, max_repeats int")
-    tokens = {r.source: r.n_tokens for r in share_report(mixed(documents, targets), targets).collect()}
-    size = tokens["a"] / 200
-    assert abs(tokens["b"] - tokens["a"] / 2) <= size and abs(tokens["c"] - tokens["a"] * 0.3) <= size and tokens["tiny"] == 3 * size
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 1), ("c", 0.15, 1), ("tiny", 0.1, 2), ("absent", 0.1, 1)], "source string, target_share double, max_repeats int")
+    report = {r.source: r for r in share_report(mixed(documents, targets), targets, documents).collect()}
+    tokens = {s: r.n_tokens for s, r in report.items()}
+    size = tokens["tiny"] / 6
+    assert 603 * size / 2 - size < sum(tokens.values()) <= 603 * size / 2
+    assert abs(tokens["b"] - tokens["a"] * 0.5) <= 2 * size and abs(tokens["c"] - tokens["a"] * 0.3) <= 2 * size
+    assert {s: r.missed for s, r in report.items()} == {"a": None, "b": None, "c": None, "tiny": "used up", "absent": "no documents"}
+
+
+def test_one_source_of_little_weight_does_not_fill_one_range(spark):
+    docs = [(n, "a" if n else "small", "word " * 3) for n in range(2000)]
+    documents = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.999, 1), ("small", 0.001, 1)], "source string, target_share double, max_repeats int")
+    rows = mixed(documents, targets, budget=100_000).collect()
+    assert len(rows) == 2000 and [r.finish for r in sorted(rows, key=lambda r: r.finish)][-1] == max(r.finish for r in rows)
 
 
 def test_token_counts_are_those_of_the_tokenizer(spark):
