@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from chatlake.llm import language as L
 from chatlake.llm import neighbours as N
 from chatlake.llm import pii as P
 from chatlake.llm.conversations import conversations
-from chatlake.llm.leakage import leaked_passages, without_leaks, words_of
+from chatlake.llm.leakage import TestSuffixes, leaked_passages, without_leaks, words_of
 from chatlake.llm.mixing import mixed, share_report, with_tokens
 from chatlake.llm.sentences import sentences, split_sentences
 
@@ -302,10 +303,26 @@ def test_leaks_match_brute_force(spark):
     tests = spark.createDataFrame(items, "item_id long, text string")
     got = leaked_passages(documents, tests).collect()
     assert {(r.doc_id, r.item_id) for r in got} == wanted and all(r.n_words >= 12 for r in got)
+    sliced = leaked_passages(documents, tests, item_bytes=300).collect()
+    assert sorted(map(tuple, sliced), key=str) == sorted(map(tuple, got), key=str)
+    texts = dict(docs)
+    for r in got:
+        doc, item = words_of(texts[r.doc_id]), " ".join(words_of(dict(items)[r.item_id]))
+        runs = [(n, -i) for i in range(len(doc)) for n in range(12, len(doc) - i + 1) if f" {' '.join(doc[i : i + n])} " in f" {item} "]
+        assert max(runs) == (r.n_words, -r.word_pos)
     assert without_leaks(documents, tests).count() == len(docs) - len({d for d, _ in wanted})
     assert leaked_passages(documents.where("false"), tests).count() == 0 and leaked_passages(documents, tests.where("false")).count() == 0
 
 
+def test_leaks_of_one_word_repeated_take_linear_time():
+    suffixes = TestSuffixes([1, 2], ["echo " * 10_000, "other " * 30 + "echo " * 12], 12)
+    codes = np.array([suffixes.vocabulary["echo"]] * 10_000 + [0], np.int64)
+    began = time.time()
+    corpus, test, length = suffixes.search(codes)
+    assert time.time() - began < 5 and len(corpus) < 60_000
+    assert length[suffixes.owners[test] == 0].max() == 10_000 and length[suffixes.owners[test] == 1].max() == 12
+
+
 def test_disguised_words():
     assert words_of("pa​inted Ｎo⁠body—CAFÉ ﬁne x_y") == ["painted", "nobody", "cafe", "fine", "x", "y"]
 
