@@ -405,6 +405,19 @@ def test_sentence_boundaries(case, gap):
         assert [line[a:b] for a, b in split_sentences(line)] == [lead + wanted[0], *wanted[1:]]
 
 
+def test_abbreviations_of_one_language_do_not_bind_another():
+    for text in ("He told me. Then he left.", "Я сказал им. Потом мы ушли.", "This was his ex. Nobody was there."):
+        assert len(split_sentences(text)) == 2
+    assert len(split_sentences("Il est chez Me. Kestlemar avec une amie.")) == 1 and len(split_sentences("Мы идём в школу им. Пушкина и не на вокзал.")) == 1
+
+
+@pytest.mark.parametrize("unit", ["Dr. Orn left at 5 p.m. today. ", "a.b.c. ", "a.", "“ x. ", '"a. b" c. ', "x. ”y ", "ก ข. ", "🚲 ", ". ", ".   *"])
+def test_long_lines_take_linear_time(unit):
+    began = time.time()
+    assert split_sentences(unit * (1_000_000 // len(unit)))
+    assert time.time() - began < 8
+
+
 def test_thai_lines_and_layout():
     text = "คุณมะลุนมาถึงตอน 6.56 น. เมื่อวาน คุณซาเรลืม ดีมากเลย! ใครมีกุญแจเบอร์ 96 บ้าง"
     assert [text[a:b] for a, b in split_sentences(text)] == ["คุณมะลุนมาถึงตอน 6.56 น. เมื่อวาน", "คุณซาเรลืม", "ดีมากเลย!", "ใครมีกุญแจเบอร์ 96 บ้าง"]
