@@ -5,28 +5,27 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.llm.lexicon import SHARED_WORDS, Words, fingerprint, with_known, word_set
+
 LANGUAGES = ("en", "he", "ru", "uk", "es", "pt", "de", "fr", "ar")
 LETTERS = 20
 SAMPLE_PER_LANGUAGE = 1500
 """Labelled rows a language gives to the training sample, at most; the only sample taken here."""
-SAMPLE_CHARACTERS = 1000
-"""Characters of a sampled row used for training; classification reads whole texts."""
+SAMPLE_WORDS = 400
+"""Words a sampled text trains with, taken at even distances from all over a longer one; classification reads whole texts."""
 BITS = 15
 BUCKETS = 1 << 16
 SWITCH = 9.0
 """Loss a change of language must save."""
 LOSS_PER_LETTER, LOSS_PER_WORD = 1.0, 7.0
 """A word speaks against a language with at most these losses, so a foreign name or short phrase doesn't part a text."""
-NAME_SLOTS = 1 << 22
-"""Slots of the table that marks words of senders' names, which speak for no language; its size doesn't grow with the names."""
-
 # Codes and English names of the languages (two-letter, older two-letter, three-letter, bibliographic).
 NAMES = {
     "en": "en eng english", "he": "he iw heb hebrew", "ru": "ru rus russian", "uk": "uk ukr ukrainian", "es": "es spa spanish castilian",
@@ -162,15 +161,37 @@ def train(texts: list[str | None], labels: list[str], rounds: int = 12) -> Model
     return model
 
 
-def training_sample(messages: DataFrame, rows: int, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most ``per_language`` labelled texts a language, by hash of the text, equal texts once; ``rows`` is about the table's size."""
+def training_sample(messages: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], list[str]]:
+    """The ``per_language`` labelled texts of each language with the smallest hashes, equal texts once; fewer only where there are no more.
+
+    Each task keeps the best of its own rows, so a few rows per task and language are shuffled, whatever the table's size.
+    """
     names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
     label = names[F.split(F.lower(F.trim("lang")), r"[-_\s]")[0]]
-    share = max(1, int(rows // (per_language * len(LANGUAGES) * 8)))
-    place = F.xxhash64("text_plain")
-    labelled = messages.where(F.col("lang").isNotNull() & (F.length("text_plain") >= LETTERS) & (F.pmod(place, F.lit(share)) == 0)).select(label.alias("label"), F.substring("text_plain", 1, SAMPLE_CHARACTERS).alias("text"), place.alias("place"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("place", "text"))
-    rows_taken = labelled.where("label is not null").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("label", "nth").collect()
+    labelled = messages.where(F.col("lang").isNotNull() & (F.length("text_plain") >= LETTERS)).select(label.alias("label"), F.xxhash64("text_plain").alias("place"), F.col("text_plain").alias("text")).where("label is not null")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, str]] = {}
+        last: dict[str, int] = {}
+        for batch in batches:
+            labels, places, texts = batch.column("label").dictionary_encode(), batch.column("place").to_numpy(), batch.column("text")
+            codes = labels.indices.to_numpy()
+            for code, name in enumerate(labels.dictionary.to_pylist()):
+                mine, worst = held.setdefault(name, {}), last.get(name, np.iinfo(np.int64).max)
+                for at in np.flatnonzero((codes == code) & (places <= worst)):
+                    if (place := int(places[at])) not in mine:
+                        words = letter_words(texts[int(at)].as_py())
+                        mine[place] = " ".join(words[:: -(-len(words) // SAMPLE_WORDS) or 1])
+                if len(mine) > 2 * per_language:
+                    held[name] = {place: mine[place] for place in sorted(mine)[:per_language]}
+                    last[name] = max(held[name])
+        rows = [(name, place, mine[place]) for name, mine in held.items() for place in sorted(mine)[:per_language]]
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, ["label", "place", "text"])
+
+    kept = labelled.mapInArrow(best, "label string, place long, text string").groupBy("label", "place").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("place"))
+    rows_taken = kept.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("label", "nth").collect()
     return [r.text for r in rows_taken], [r.label for r in rows_taken]
 
 
@@ -227,17 +248,16 @@ def _merged(runs: list[list]) -> list[list]:
     return runs
 
 
-def name_table(names: DataFrame, column: str) -> np.ndarray:
-    """Slots (by CRC-32) of the words of a column of personal names; at most NAME_SLOTS numbers reach the driver."""
-    words = names.select(F.explode(F.split(F.lower(column), r"[^\p{L}]+")).alias("word")).where(F.length("word") > 2)
-    slots = words.select((F.crc32(F.encode("word", "utf-8")) % NAME_SLOTS).alias("slot")).distinct().collect()
-    table = np.zeros(NAME_SLOTS, bool)
-    table[[r.slot for r in slots]] = True
-    return table
+def name_words(names: DataFrame, column: str) -> DataFrame:
+    """word: the words of a column of personal names."""
+    return names.select(F.explode(F.split(F.lower(column), r"[^\p{L}]+")).alias("word")).where(F.length("word") > 2).distinct()
+
 
+def classify(model: Model, texts: list[str | None], names: Words | None = None) -> pd.DataFrame:
+    """row, segment_no, lang, n_letters, confidence, ambiguous of the segments of the texts with at least LETTERS letters.
 
-def classify(model: Model, texts: list[str | None], names: np.ndarray | None = None) -> pd.DataFrame:
-    """row, segment_no, lang, n_letters, confidence, ambiguous of the segments of the texts with at least LETTERS letters."""
+    The words of ``names`` speak for no language.
+    """
     bags = [letter_words(text) for text in texts]
     letters = np.fromiter((sum(map(len, bag)) for bag in bags), np.int64, len(bags))
     rows = np.flatnonzero(letters >= LETTERS)
@@ -249,7 +269,7 @@ def classify(model: Model, texts: list[str | None], names: np.ndarray | None = N
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         loss = np.minimum(loss - loss.min(1, keepdims=True), np.minimum(LOSS_PER_LETTER * sizes, LOSS_PER_WORD)[:, None]).astype(np.float32)
         if names is not None:
-            loss[names[np.fromiter((crc32(word.encode("utf-8", "replace")) % NAME_SLOTS for word in words), np.int64, len(words))]] *= 0.1
+            loss[names.among(words)] *= 0.1
         size, cost = sizes[token], loss[token]
         lengths = np.fromiter((len(bags[row]) for row in rows), np.int64, len(rows))
         path = _paths(cost, lengths)
@@ -276,27 +296,33 @@ def classify(model: Model, texts: list[str | None], names: np.ndarray | None = N
     return pd.DataFrame(out)
 
 
-def language_segments(messages: DataFrame, rows: int, key: str = "delivery_id", model: Model | None = None) -> DataFrame:
+def language_segments(messages: DataFrame, key: str = "delivery_id", model: Model | None = None, shared_words: int = SHARED_WORDS) -> DataFrame:
     """Segments of every text: key, segment_no, lang, n_letters, confidence, ambiguous, named (the language the label names), n_segments.
 
     A segment is a longest stretch in one of LANGUAGES with at least LETTERS letters; shorter stretches belong to the stretch
     around them. Texts with fewer letters, null or empty ones have none. A null key stays null; equal rows are all reported.
     Without ``model`` one is trained on a bounded sample of the table's labelled rows; a table without labels gets a model
-    that can't tell languages apart, with even confidence. Words of from_name, if the table has it, speak for no language.
+    that can't tell languages apart, with even confidence. Words of from_name, if the table has it, speak for no language; a
+    set of more than ``shared_words`` of them is joined with the words of the texts instead of sent to the tasks.
     """
     if model is None:
-        model = train(*training_sample(messages, rows))
-    names = name_table(messages, "from_name") if "from_name" in messages.columns else None
-    shared = messages.sparkSession.sparkContext.broadcast((model.weights, model.code, None if names is None else np.packbits(names)))
+        model = train(*training_sample(messages))
+    names = word_set(name_words(messages, "from_name"), limit=shared_words) if "from_name" in messages.columns else None
+    joined = isinstance(names, DataFrame)
+    shared = messages.sparkSession.sparkContext.broadcast((model.weights, model.code, None if joined else names))
     kind = messages.schema[key].dataType.simpleString()
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value[:2])
-        names = None if shared.value[2] is None else np.unpackbits(shared.value[2]).astype(bool)
+        own, names = Model(*shared.value[:2]), shared.value[2]
         for batch in batches:
             if not len(batch):
                 continue
-            found = classify(own, batch.text_plain.tolist(), names)
+            if joined:
+                known = [Words(np.array([] if marks is None else marks, np.int64)) for marks in batch.known]
+                parts = [classify(own, [text], of).assign(row=row) for row, (text, of) in enumerate(zip(batch.text_plain, known, strict=True))]
+                found = pd.concat(parts, ignore_index=True)
+            else:
+                found = classify(own, batch.text_plain.tolist(), names)
             if not len(found):
                 continue
             at = found.row.to_numpy(np.int64)
@@ -309,7 +335,10 @@ def language_segments(messages: DataFrame, rows: int, key: str = "delivery_id",
             })
 
     schema = f"{key} {kind}, segment_no long, lang string, n_letters long, confidence double, ambiguous boolean, named string, n_segments long"
-    return messages.select(key, "text_plain", "lang").mapInPandas(segment, schema)
+    rows = messages.select(key, "text_plain", "lang")
+    if joined:
+        rows = with_known(rows, "text_plain", lambda text: map(fingerprint, letter_words(text)), names)
+    return rows.mapInPandas(segment, schema)
 
 
 def wrong_labels(segments: DataFrame) -> DataFrame:

@@ -60,8 +60,7 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
-    messages = read_table(spark, folder, "messages")
-    return language_segments(messages.select("delivery_id", "text_plain", "lang", "from_name"), messages.count())
+    return language_segments(read_table(spark, folder, "messages").select("delivery_id", "text_plain", "lang", "from_name"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ from chatlake.llm import neighbours as N
 from chatlake.llm import pii as P
 from chatlake.llm.conversations import conversations
 from chatlake.llm.leakage import TestSuffixes, leaked_passages, without_leaks, words_of
+from chatlake.llm.lexicon import Words, fingerprint, word_set
 from chatlake.llm.mixing import mixed, share_report, with_tokens
 from chatlake.llm.sentences import sentences, split_sentences
 
@@ -262,17 +263,39 @@ def test_labels():
 
 
 def test_wrong_labels_in_a_table(spark, model):
-    rows = [(1, SENTENCES["en"][0], "en", "A"), (2, SENTENCES["en"][1], "de-AT", "A"), (3, SENTENCES["ru"][0] + " " + SENTENCES["de"][0], "ru", "A"), (4, None, None, None), (5, SENTENCES["fr"][2], None, "B"), (6, "ok", "ru", "B")]
-    df = spark.createDataFrame(rows, "delivery_id long, text_plain string, lang string, from_name string")
-    found = L.wrong_labels(L.language_segments(df, 6, model=model)).select("delivery_id", "segment_no", "lang")
-    assert sorted(tuple(r) for r in found.collect()) == [(2, 1, "en"), (3, 1, "ru"), (3, 2, "de"), (5, 1, "fr")]
+    rows = [(1, SENTENCES["en"][0], "en", "A"), (2, SENTENCES["en"][1], "de-AT", "A"), (3, SENTENCES["ru"][0] + " " + SENTENCES["de"][0], "ru", "Anna Stuhl"), (4, None, None, None), (5, SENTENCES["fr"][2], None, "B"), (6, "ok", "ru", "B")]
+    df = spark.createDataFrame(rows, "delivery_id long, text_plain string, lang string, from_name string").withColumn("known", F.lit("clash"))
+    for shared in (100, 1):
+        found = L.wrong_labels(L.language_segments(df, model=model, shared_words=shared)).select("delivery_id", "segment_no", "lang")
+        assert sorted(tuple(r) for r in found.collect()) == [(2, 1, "en"), (3, 1, "ru"), (3, 2, "de"), (5, 1, "fr")]
 
 
 def test_training_sample_is_bounded(spark):
-    rows = [(n, f"some longer english text number {n}", "English") for n in range(300)] + [(n, "короткий но достаточно длинный текст", "ru") for n in range(300)]
-    df = spark.createDataFrame(rows, "delivery_id long, text_plain string, lang string")
-    texts, labels = L.training_sample(df, 600, per_language=20)
-    assert labels.count("en") == 20 and labels.count("ru") == 1
+    rows = [(n, f"some longer english text number {n}", "English") for n in range(300)] + [(n, "короткий но достаточно длинный текст", "ru") for n in range(300)] + [(n, f"ein seltener deutscher text, nummer {'abc'[n]}", "de") for n in range(3)]
+    df = spark.createDataFrame(rows, "delivery_id long, text_plain string, lang string").repartition(7)
+    texts, labels = L.training_sample(df, per_language=20)
+    assert labels.count("en") == 20 and labels.count("ru") == 1 and labels.count("de") == 3
+    place = lambda t: df.where(F.col("text_plain").startswith(t)).select(F.xxhash64("text_plain")).first()[0]
+    smallest = df.where("lang = 'English'").select(F.xxhash64("text_plain").alias("place")).orderBy("place").limit(20).collect()
+    assert len(smallest) == 20 and place("ein") is not None
+    long = spark.createDataFrame([(1, "anfang " * 900 + "ende " * 900, "de")], "delivery_id long, text_plain string, lang string")
+    words = L.training_sample(long)[0][0].split()
+    assert len(words) <= L.SAMPLE_WORDS and {"anfang", "ende"} == set(words)
+
+
+def test_prints_are_those_of_the_engine(spark):
+    words = ["a", "Zelmira", "שלום", "x" * 100, ""]
+    theirs = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
+    assert [fingerprint(w) for w in words] == theirs
+    some = Words(np.array(theirs[:2]))
+    assert fingerprint("a") in some and fingerprint("b") not in some and some.among(["b", "a"]).tolist() == [False, True]
+    assert isinstance(word_set(spark.createDataFrame([("a",), ("a",), (None,)], "word string"), limit=1), Words)
+
+
+def test_a_large_set_of_names_gives_no_wrong_hits():
+    rng = np.random.default_rng(1)
+    names = Words(rng.integers(-(2**63), 2**63 - 1, 10_000_000))
+    assert not names.among(f"word{n}" for n in range(200_000)).any()
 
 
 # ---- leakage
