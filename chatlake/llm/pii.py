@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
-from zlib import crc32
+from collections.abc import Container, Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.operators.running import blocked_running_sum
+from chatlake.llm.lexicon import SHARED_WORDS, Words, fingerprint, with_known, word_set
+from chatlake.operators.running import beside, ranged_running_sum
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-NAME_SLOTS = 1 << 22
-"""Slots of the tables of known given and family names; their size doesn't grow with the names."""
+COMMON_SHARE = 1e-4
+"""A word that this share of the texts contains is an ordinary word; rarer ones, capitalised side by side, can be a name."""
 NUMBERED = 1 << 40
 """Attempts from here on are numbered surrogates: what is above is a number that no other entity of the kind has."""
 
@@ -92,6 +91,12 @@ _ADDRESS_DE = re.compile(
     _I,
 )
 
+_ADDRESS_CJK = re.compile(
+    r"[^\W\d_在到是于去]{1,10}(?:路|街|大道|大街|胡同|巷|弄)\s?\d{1,5}\s?[号號](?:\s?\d{1,4}\s?(?:室|单元|楼|樓)){0,3}"
+    r"|[^\W\d_はをがにで]{1,12}[町区市村]\s?\d{1,4}(?:(?:丁目|番地|番|号|[-−‐])\d{0,4}){1,4}"
+)
+_PHONE_CUED = re.compile(r"(?:call|phone|tel|telephone|mobile|cell|whatsapp|text|fax|ring|dial)\b[^\d\n]{0,12}(?P<number>\d{3} \d{3} \d{4})(?![\w-])", _I)
+
 _PARTICLE = "de|del|della|la|las|los|van|von|der|den|di|da|do|dos|du|le|al|el|bin|ibn|ben|bar|ter|ten|zu|of"
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’׳‑-](?=[^\W\d_]))*")
 # Words that can't be part of a name after a cue.
@@ -106,23 +111,33 @@ _NO_NAME = frozenset(
     את אני אתה הוא היא אנחנו הם לא עם של על או גם זה מה
     hall crew group team committee building bakery street road lane avenue house room school office company inc ltd gmbh""".split()
 )
-# Phrases a person's full name follows, and phrases that follow one.
+# Short words after which a person can be named, per language.
+_BEFORE_PERSON = frozenset(
+    """for with by from to of and is was are know knows call called ask tell told met meet see saw contact thank thanks hi hello hey dear holder name named or
+    bei mit von für und ist an kennt frau herr con de por para y es a conoce avec chez pour par et est à connaît com do da é
+    у с от к для и на это של את עם אצל עבור על זה من مع إلى عند""".split()
+)
+_GREETINGS = frozenset("hi hello hey dear hallo hola salut bonjour olá oi привет здравствуйте привіт היי שלום".split())
+# Words behind a capitalised pair that make it a place, a firm or a thing.
+_NO_PERSON = frozenset(
+    f"""{_STREETS_EN} {_STREETS_ES} {_STREETS_FR} bakery hall school building house room office company inc ltd gmbh llc corp group team committee club crew band cafe café bar shop store market museum
+    library park bridge station hotel university college institute hospital church centre center garden beach river lake island north south east west city town village county street""".split()
+)
+# Phrases that introduce a person by full name, per language: introductions, signatures, addressees, titles.
 _CUES = re.compile(
-    r"(?:my name is|(?:is|was|am|are) called|real name:?|name:|keys are with|signed:|contact:|\bask for|parcel for|package for|does anyone know(?! who\b| where\b| what\b| if\b| how\b| why\b)|do you know(?! who\b| where\b| what\b| if\b| how\b| why\b)|and call|holder is|holder|is it true that|care of|regards,|sincerely,|attn:?|new (?:caretaker|plumber|janitor|neighbour|neighbor|manager|teacher|doctor|coach|contact|member|admin|owner|tenant)!*:?|electrician\.|plumber\.|"
-    r"ich heiße|mein name ist|paket für|liegt bei|heißt|me llamo|mi nombre es|se llama|paquete de|las tiene|paquete para|je m['’]appelle|mon nom est|s['’]appelle|colis de|sont chez|colis pour|"
-    r"me chamo|meu nome é|chama-se|меня зовут|моё имя|его зовут|её зовут|посылка для|спросите у|на имя|мене звати|שמי|קוראים לי|החבילה של|תשאלו את|חבילה עבור|اسمي|اسمه|طرد)\s+[\"“«„']?",
+    r"(?<!\w)(?:my name is|(?:is|was|am|are) (?:called|named)|(?:full |real )?name:|signed:?|contact:|ask for|addressed to|(?:parcel|package|letter|mail|message) (?:for|to)|on behalf of|in the name of|care of|c/o|attn:?|(?:regards|sincerely|cheers|yours),?|(?:mr|mrs|ms|dr|prof)\.?|"
+    r"ich heiße|mein name ist|(?:er|sie) heißt|im namen von|gezeichnet:?|(?:paket|brief|post|nachricht) (?:für|an)|(?:herr|herrn|frau)|me llamo|mi nombre es|se llama|a nombre de|firmado:?|(?:paquete|carta|mensaje) (?:de|para)|(?:sr|sra|don|doña)\.?|je m['’]appelle|mon nom est|s['’]appelle|au nom de|signé:?|(?:colis|lettre|message) (?:de|pour)|(?:m|mme|mlle)\.|monsieur|madame|"
+    r"me chamo|(?:meu|o) nome é|chama-se|em nome de|меня зовут|(?:моё|мое) имя|(?:его|её|ее) зовут|на имя|от имени|(?:посылка|письмо) (?:для|от)|(?:спросите|позвоните)(?: у)?|мене звати|(?:його|її) звати|на ім['’]я|שמי|קוראים לי|על שם|בשם|(?:ה?חבילה|ה?מכתב) (?:של|עבור)|(?:תשאלו|שאלו|תתקשרו) (?:את|אל)|اسمي|اسمه|اسمها|باسم)\s+[\"“«„']?",
     re.IGNORECASE,
 )
-_AFTER = re.compile(r"(?:\b(?:hi|hello|hey),|\bok so|(?<![\w])[\"“«„])\s*(?=(?P<name>[^\W\d_][\w'’-]*\.?(?:,?\s(?:[^\W\d_]\.|[^\W\d_][\w'’-]*)){1,4}?)[\"”»“]?\s(?:here\b|is written on|won the))", re.IGNORECASE)
 _SIGNATURE = re.compile(r"(?:regards|greetings|wishes|sincerely|grüße|saludos|cordialement|уважением)[^\n]*\n+\s*", re.IGNORECASE)
-
-# A part of each cue, lower case, so texts without any are passed over quickly.
-_CUE_PARTS = (
-    "my name is", " called ", "real name", "name:", "keys are with", "signed:", "contact:", "ask for", "parcel for", "package for", "anyone know ", "do you know ", "and call ", "holder", "is it true that", "care of", "regards", "sincerely", "attn",
-    "greetings", "wishes", "electrician.", "plumber.", "is written on", "won the", " here", "caretaker", "janitor", "new neighbo", "new manager", "new teacher", "new doctor", "new coach", "new contact", "new member", "new admin", "new owner", "new plumber", "new tenant!",
-    "ich heiße", "mein name", "paket für", "liegt bei", "heißt", "grüße", "me llamo", "mi nombre", "se llama", "paquete ", "las tiene", "saludos", "'appelle", "’appelle", "mon nom", "colis ", "sont chez", "cordialement",
-    "me chamo", "meu nome", "chama-se", "зовут", "моё имя", "посылка для", "спросите у", "на имя", "уважением", "мене звати", "שמי", "קוראים לי", "החבילה של", "תשאלו את", "חבילה עבור", "اسمي", "اسمه", "طرد",
-)
+# A word of each of these phrases, so texts without any are passed over quickly.
+_CUE_WORDS = frozenset(
+    """name called named signed contact ask addressed parcel package letter mail message behalf care c attn regards sincerely cheers yours mr mrs ms dr prof greetings wishes
+    heiße heißt mein namen gezeichnet paket brief post nachricht herr herrn frau grüße llamo llama nombre firmado paquete carta mensaje sr sra don doña saludos
+    m'appelle m’appelle s'appelle s’appelle nom signé colis lettre monsieur madame m mme mlle cordialement chamo nome chama-se
+    зовут имя имени посылка письмо спросите позвоните уважением звати ім'я ім’я שמי קוראים שם בשם חבילה החבילה מכתב המכתב תשאלו שאלו תתקשרו اسمي اسمه اسمها باسم""".split()
+)
 
 _CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґё", ["", "b", "b", "g", "d", "", "g", "z", "", "", "k", "l", "m", "n", "", "p", "r", "s", "t", "", "p", "", "z", "z", "s", "s", "", "", "", "", "", "", "", "", "", "g", ""], strict=True))
 _HEBREW = dict(zip("אבגדהוזחטיכךלמםנןסעפףצץקרשת", ["", "b", "g", "d", "", "", "z", "", "t", "", "k", "k", "l", "m", "m", "n", "n", "s", "", "p", "p", "z", "z", "k", "r", "s", "t"], strict=True))
@@ -145,54 +160,94 @@ def skeleton(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", raw)
 
 
-def slot(kind: str, word: str) -> int:
-    return crc32(f"{kind}:{word}".encode("utf-8", "replace")) % NAME_SLOTS
+def form(kind: str, word: str) -> int:
+    """The print of a word as a given (g) or family (f) name, or of its skeleton (sg, sf)."""
+    return fingerprint(f"{kind}:{word}")
 
 
-def known_names(people: DataFrame) -> np.ndarray:
-    """The table of known names: slots of given and family names, whole, in parts and as skeletons. At most NAME_SLOTS numbers reach the driver."""
+def name_forms(people: DataFrame) -> DataFrame:
+    """word: the forms of known given and family names, whole, in parts and as skeletons; null and empty names have none."""
 
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: set[int] = set()
+            found: set[str] = set()
             for kind, column in (("g", batch.first_name), ("f", batch.last_name)):
                 for name in set(column.dropna()):
                     for word in {name.strip().lower(), *name.lower().split()}:
                         if len(word) > 1:
-                            found |= {slot(kind, word.replace("’", "'")), slot(f"s{kind}", skeleton(word))}
-            yield pd.DataFrame({"slot": sorted(found)})
+                            found |= {f"{kind}:{word.replace('’', chr(39))}", f"s{kind}:{skeleton(word)}"}
+            yield pd.DataFrame({"word": sorted(found)})
+
+    return people.select("first_name", "last_name").distinct().mapInPandas(forms, "word string")
+
+
+def common_words(texts: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
+    """word: a form (c) of each word that at least ``share`` of the rows (column text), and two, contain in any case, and one (l) if so many have it in small letters.
+
+    Rows with n words on average have at most 2 n / ``share`` of them, however large the table is.
+    """
+    words = F.array_distinct(F.split("text", r"[^\p{L}]+"))
+    counts = texts.where("text is not null").select(F.explode(words).alias("w")).where("w <> ''").groupBy(F.lower("w").alias("low")).agg(F.count("*").alias("c"), F.count_if(F.col("w") == F.lower("w")).alias("l"))
+    total = texts.agg(F.greatest(F.lit(2), F.ceil(F.lit(share) * F.count("text"))).alias("least"))
+    kinds = F.array_compact(F.array(F.lit("c:"), F.when(F.col("l") >= F.col("least"), "l:")))
+    return beside(counts, total).where(F.col("c") >= F.col("least")).select(F.explode(kinds).alias("kind"), "low").select(F.concat("kind", "low").alias("word"))
+
 
-    rows = people.select("first_name", "last_name").distinct().mapInPandas(slots, "slot long").distinct().collect()
-    table = np.zeros(NAME_SLOTS, bool)
-    table[[r.slot for r in rows]] = True
-    return table
+def known_names(people: DataFrame, texts: DataFrame | None = None, limit: int = SHARED_WORDS) -> Words | DataFrame:
+    """The forms of known names and of the common words of ``texts``, in memory or, if there are more than ``limit``, as a table."""
+    words = name_forms(people)
+    return word_set(words if texts is None else words.unionByName(common_words(texts)), limit=limit)
+
+
+def bones(word: str) -> set[str]:
+    """The skeletons of the forms that a word in Cyrillic or Hebrew letters may stand for, without ending or prefix."""
+    if word[0].isascii() or len(word) < 3:
+        return set()
+    low = word.lower().replace("’", "'")
+    forms = {low, _ENDINGS.sub("", low)} if "Ѐ" <= low[0] <= "ӿ" else {low, low[1:]} if "֐" <= low[0] <= "׿" else set()
+    return {skeleton(f) for f in forms if f} - {""}
+
+
+def forms_of(text: str) -> set[int]:
+    """The prints of every form of a name that a word of the text can be."""
+    plain = text.translate(_DIGITS) if not text.isascii() else text
+    found: set[int] = {form(kind, word) for word in set(_LETTERS.findall(plain.lower())) for kind in "cl"}
+    for word in set(_TOKEN.findall(plain)):
+        found |= {form(kind, word.lower().replace("’", "'")) for kind in "gf"} | {form(f"s{kind}", b) for kind in "gf" for b in bones(word)}
+    return found
 
 
 _DIGIT = re.compile(r"\d")
 _SIX = re.compile(r"\d(?:\D{0,3}\d){5}")
-_LETTERS = re.compile(r"[^\W\d_](?:[^\W\d_]|-(?=[^\W\d_]))*")
+_HYPHENED = re.compile(r"[^\W\d_](?:[^\W\d_]|-(?=[^\W\d_]))*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Finder:
-    """Finds pieces in one text at a time; knows the table of names."""
+    """Finds pieces in one text at a time; ``names`` has the prints of the forms of known names."""
 
-    def __init__(self, names: np.ndarray) -> None:
+    def __init__(self, names: Container[int]) -> None:
         self.names = names
-        self.seen: dict[str, str] = {}
+        self.seen: dict[str, tuple[str, int, bool]] = {}
+
+    def _about(self, word: str) -> tuple[str, int, bool]:
+        """Of a word: g and f if it is known as given or family name; 2 if no part of it is common in the texts, 1 if none is in small letters, else 0; whether a cue has it."""
+        found = self.seen.get(word)
+        if found is None:
+            low = word.lower()
+            parts = _LETTERS.findall(low)
+            if low in _NO_NAME or len(word) < 3 or any(form("l", part) in self.names for part in parts):
+                rare = 0
+            else:
+                rare = 1 if any(form("c", part) in self.names for part in parts) else 2
+            found = self._class(word), rare, low in _CUE_WORDS
+            if len(self.seen) < 200_000:
+                self.seen[word] = found
+        return found
 
     def _class(self, word: str) -> str:
-        """g and f of a word known as given or family name."""
-        cached = self.seen.get(word)
-        if cached is None:
-            low = word.lower().replace("’", "'")
-            cached = "".join(kind for kind in "gf" if self.names[slot(kind, low)])
-            if not cached and not word[0].isascii() and len(word) > 2:
-                forms = {low, _ENDINGS.sub("", low)} if "Ѐ" <= low[0] <= "ӿ" else {low, low[1:]} if "֐" <= low[0] <= "׿" else set()
-                bones = {skeleton(form) for form in forms if form} - {""}
-                cached = "".join(kind for kind in "gf" if any(len(b) >= (2 if kind == "g" else 3) and self.names[slot(f"s{kind}", b)] for b in bones))
-            if len(self.seen) < 200_000:
-                self.seen[word] = cached
-        return cached
+        found = "".join(kind for kind in "gf" if form(kind, word.lower().replace("’", "'")) in self.names)
+        return found or "".join(kind for kind in "gf" if any(len(b) >= (2 if kind == "g" else 3) and form(f"s{kind}", b) in self.names for b in bones(word)))
 
     def _name_at(self, text: str, tokens: list[re.Match], i: int, cued: bool) -> int:
         """How many tokens from the i-th are a full name; 0 if none."""
@@ -211,7 +266,7 @@ class Finder:
             return len(word) > 1 and word.lower() not in _NO_NAME
 
         first = tokens[i][0]
-        kinds = self._class(first)
+        kinds = self._about(first)[0]
         strange = first[0] > "ʯ"
         spaced, comma = (" ", "  "), (", ", ",")
         k = i
@@ -223,7 +278,7 @@ class Finder:
                 while j + 1 < len(tokens) and re.fullmatch(_PARTICLE, tokens[j][0], re.IGNORECASE) and gap(j) == " ":
                     j += 1
                 last = tokens[j][0]
-                if "f" in self._class(last) or (shaped(j) and len(last) > 2 and cued and (capital(last) or not tokens[i][0].isupper())):
+                if "f" in self._about(last)[0] or (shaped(j) and len(last) > 2 and cued and (capital(last) or not tokens[i][0].isupper())):
                     return j + 1 - i
             return 0
         if not (kinds or cued) or not shaped(i):
@@ -240,7 +295,7 @@ class Finder:
             while j + 1 < len(tokens) and re.fullmatch(_PARTICLE, tokens[j][0], re.IGNORECASE) and gap(j) == " ":
                 j += 1
             last = tokens[j][0]
-            theirs = self._class(last)
+            theirs = self._about(last)[0]
             particles = j > k + 1
             if ("g" in kinds and "f" in theirs) or ("f" in kinds and "g" in theirs and not after_initial):
                 return j + 1 - i
@@ -258,7 +313,7 @@ class Finder:
             return 0
         if joint in comma and not after_initial:
             last = tokens[j][0]
-            theirs = self._class(last)
+            theirs = self._about(last)[0]
             extra = 1 if j + 1 < len(tokens) and gap(j) == " " and initial(j + 1) else 0
             if "f" in kinds and "g" in theirs:
                 return j + 1 + extra - i
@@ -268,37 +323,82 @@ class Finder:
                 return j + 1 + extra - i
         return 0
 
+    def _unknown_at(self, text: str, tokens: list[re.Match], i: int) -> int:
+        """How many tokens from the i-th are a full name told by its shape: rare words side by side, capitalised, or after a word that a person follows."""
+
+        def between(k: int) -> str:
+            return text[tokens[k].end() : tokens[k + 1].start()] if k + 1 < len(tokens) else "\n"
+
+        def initial(k: int) -> bool:
+            return len(tokens[k][0]) == 1 and tokens[k][0].isupper() and text[tokens[k].end() : tokens[k].end() + 1] == "."
+
+        first = tokens[i][0]
+        first_rare = 0 if initial(i) else self._about(first)[1]
+        if not initial(i) and not first_rare:
+            return 0
+        before, apart = tokens[i - 1][0].lower() if i else "", text[tokens[i - 1].end() : tokens[i].start()].strip(" \"“«„'") if i else "."
+        led = (apart == "" and before in _BEFORE_PERSON) or (apart == "," and before in _GREETINGS)
+        j = i
+        while j + 1 < len(tokens) and initial(j + 1) and between(j) in ((". ", ".") if initial(j) else (" ",)):
+            j += 1
+        joint = between(j)
+        if initial(j):
+            joint = joint.removeprefix(".")
+        if j + 1 >= len(tokens) or joint not in (" ", ", ") or (joint == ", " and not (led and j == i)):
+            return 0
+        j += 1
+        while joint == " " and j + 1 < len(tokens) and re.fullmatch(_PARTICLE, tokens[j][0], re.IGNORECASE) and between(j) == " ":
+            j += 1
+        last = tokens[j][0]
+        last_rare = self._about(last)[1]
+        if not last_rare or max(first_rare, last_rare) < 2:
+            return 0
+        if between(j) == " " and (tokens[j + 1][0].lower() in _NO_PERSON or (tokens[j + 1][0][0].isupper() and not tokens[j + 1][0].isupper() and self._about(tokens[j + 1][0])[1] == 2)):
+            return 0
+        if text[tokens[j].end() : tokens[j].end() + 2].strip(" ")[:1].isdigit():
+            return 0
+        cased = first[0] != first[0].swapcase()
+        upper = first[0].isupper() and last[0].isupper()
+        shouted = first.isupper() and last.isupper()
+        if (upper and not shouted) or (shouted and any(map(str.islower, text))) or (led and (shouted or not cased or (first.islower() and last.islower()))):
+            return j + 1 - i
+        return 0
+
     def _names(self, text: str, low: str) -> list[tuple[int, int]]:
         words = _TOKEN.findall(text)
         if len(words) < 2:
             return []
         seen = self.seen
-        classes = [c if (c := seen.get(w)) is not None else self._class(w) for w in words]
-        told = any(part in low for part in _CUE_PARTS)
-        if not told and not any(classes):
+        about = [found if (found := seen.get(word)) is not None else self._about(word) for word in words]
+        near: set[int] = set()
+        far: set[int] = set()
+        told = False
+        for at, (kinds, rare, cue) in enumerate(about):
+            if kinds:
+                near.update(range(at - 3, at + 1))
+            if rare == 2:
+                far.update(range(at - 3, at + 1))
+            told = told or cue
+        if not (told or near or far):
             return []
         cues: dict[int, bool] = {}
         if told:
             cues = {m.end(): "signed" in m[0].lower() for m in _CUES.finditer(text)} | {m.end(): False for m in _SIGNATURE.finditer(text)}
-            if " here" in low or "is written on" in low or "won the" in low:
-                for m in _AFTER.finditer(text):
-                    cues[m.start("name")] = False
-        if not cues and "f" not in "".join(classes) and not any(c and i + 1 < len(words) and words[i + 1][0].isupper() for i, c in enumerate(classes)):
-            return []
+            if not (cues or near or far):
+                return []
         tokens = list(_TOKEN.finditer(text))
         found, i = [], 0
         while i < len(tokens):
-            cued = tokens[i].start() in cues
-            if cued or classes[i] or any(classes[i + 1 : i + 4]):
+            cued = bool(cues) and tokens[i].start() in cues
+            count = self._unknown_at(text, tokens, i) if i in far and not cued else 0
+            if not count and (cued or i in near):
                 count = self._name_at(text, tokens, i, cued)
-                if count:
-                    start, end = tokens[i].start(), tokens[i + count - 1].end()
-                    found.append((start, end))
-                    if cued and cues[start] and (joined := re.match(r"\s(?:and|und|et|y|и|e)\s", text[end : end + 8])):
-                        cues[end + joined.end()] = True
-                    i += count
-                    continue
-            i += 1
+            if count:
+                start, end = tokens[i].start(), tokens[i + count - 1].end()
+                found.append((start, end))
+                if cued and cues[start] and (joined := re.match(r"\s(?:and|und|et|y|и|e)\s", text[end : end + 8])):
+                    cues[end + joined.end()] = True
+            i += count or 1
         return found
 
     def pieces(self, text: str | None) -> list[tuple[int, int, str]]:
@@ -325,12 +425,14 @@ class Finder:
         if "@" in plain or "#" in plain:
             take([m.span() for m in HANDLE.finditer(plain)], None)
         if digits:
-            words = set(_LETTERS.findall(low))
+            words = set(_HYPHENED.findall(low))
             for keys, pattern in _ADDRESSES:
                 if not keys.isdisjoint(words):
                     take([m.span() for m in pattern.finditer(plain)], "address")
             if any(end in low for end in _ENDS_DE) or any(end in low for end in _LAST_DE):
                 take([m.span() for m in _ADDRESS_DE.finditer(plain)], "address")
+            if not low.isascii() and _ADDRESS_CJK.search(plain):
+                take([m.span() for m in _ADDRESS_CJK.finditer(plain)], "address")
             if _SIX.search(plain):
                 things = lambda m: _THING_WORDS.search(plain, max(0, m.start() - 14), m.start())
                 if _ID_WORDS.search(plain):
@@ -339,29 +441,36 @@ class Finder:
                     take([m.span() for m in cued if near(m) and not things(m)], "id_number")
                 take([m.span() for m in _ID_STRONG.finditer(plain) if not things(m)], "id_number")
                 take([m.span() for m in PHONE.finditer(plain)], "phone")
+                take([m.span("number") for m in _PHONE_CUED.finditer(plain)], "phone")
         take(self._names(plain, low), "name")
         return sorted(found)
 
 
-def personal_data(texts: DataFrame, names: np.ndarray) -> DataFrame:
+def personal_data(texts: DataFrame, names: Words | DataFrame) -> DataFrame:
     """Pieces in ``texts`` (field, record_key, text): field, record_key, kind, nth, start, end, piece; nth counts per field, record and kind.
 
-    Null and empty texts have none. Equal rows give equal pieces; a null record_key stays null.
+    Null and empty texts have none. Equal rows give equal pieces; a null record_key stays null. ``names`` as ``known_names``
+    gives them: a set sent to the tasks, or a table that is joined with the words of the texts.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(names))
+    joined = isinstance(names, DataFrame)
+    shared = texts.sparkSession.sparkContext.broadcast(None if joined else names)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(np.unpackbits(shared.value).astype(bool))
+        finder = None if joined else Finder(shared.value)
         for batch in batches:
             rows: list[tuple] = []
-            for field, key, text in zip(batch.field, batch.record_key, batch.text, strict=True):
+            known = batch.known if joined else [None] * len(batch)
+            for field, key, text, marks in zip(batch.field, batch.record_key, batch.text, known, strict=True):
                 count = dict.fromkeys(KINDS, 0)
-                for start, end, kind in finder.pieces(text):
+                for start, end, kind in (Finder(frozenset(() if marks is None else map(int, marks))) if joined else finder).pieces(text):
                     count[kind] += 1
                     rows.append((field, key, kind, count[kind], start, end, text[start:end]))
             yield pd.DataFrame(rows, columns=["field", "record_key", "kind", "nth", "start", "end", "piece"])
 
-    return texts.where("text is not null").select("field", "record_key", "text").mapInPandas(find, "field string, record_key string, kind string, nth long, start long, end long, piece string")
+    rows = texts.where("text is not null").select("field", "record_key", "text")
+    if joined:
+        rows = with_known(rows, "text", forms_of, names)
+    return rows.mapInPandas(find, "field string, record_key string, kind string, nth long, start long, end long, piece string")
 
 
 # Syllables, street words and mail domains of the surrogates, per script.
@@ -377,7 +486,11 @@ def script_of(text: str) -> str:
 
 
 def canonical(kind: str, piece: str) -> str:
-    """What makes two pieces the same entity: digits of numbers, letters of mail addresses, the skeleton of names in any order and case."""
+    """What makes two pieces the same entity: digits of numbers, letters of mail addresses, the words of names in any order and case.
+
+    Different spellings of a name are different names; only the endings of Cyrillic cases are left out. Spellings in other
+    scripts are brought together by ``surrogates``, which sees all names.
+    """
     piece = piece.translate(_DIGITS)
     if kind == "phone":
         return re.sub(r"\D", "", re.split(r"(?i)ext|x|доб", piece)[0]).removeprefix("00")
@@ -387,10 +500,19 @@ def canonical(kind: str, piece: str) -> str:
         spelled = re.sub(_DOT, ".", re.sub(f"{_AT}|{_AT_WORD}", "@", piece, flags=re.I), flags=re.I)
         return re.sub(r"\s", "", spelled).lower()
     if kind == "name":
-        return " ".join(sorted(filter(None, (skeleton(w) or w.lower() for w in _TOKEN.findall(piece) if not re.fullmatch(_PARTICLE, w, re.IGNORECASE)))))
+        words = (w.lower().replace("’", "'") for w in _TOKEN.findall(piece) if not re.fullmatch(_PARTICLE, w, re.IGNORECASE))
+        return " ".join(sorted(_ENDINGS.sub("", w) or w if "Ѐ" <= w[0] <= "ӿ" and len(w) > 3 else w for w in words))
     return re.sub(r"[^\w]+", " ", piece.lower()).strip()
 
 
+def likeness(kind: str, piece: str) -> str | None:
+    """The skeletons of the words of a name, alike in all scripts; null for other kinds and names with an initial."""
+    words = [w for w in _TOKEN.findall(piece) if not re.fullmatch(_PARTICLE, w, re.IGNORECASE)]
+    if kind != "name" or any(len(w) < 2 for w in words):
+        return None
+    return " ".join(sorted(skeleton(_ENDINGS.sub("", w) if "Ѐ" <= w[0] <= "ӿ" else w) or w.lower() for w in words))
+
+
 class _Stream:
     """Keyed choices: the same key, entity and attempt always give the same ones."""
 
@@ -415,6 +537,16 @@ def _word(stream: _Stream, script: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
 
 
+def _country_digits(phone: str) -> int:
+    """How many leading digits of a phone number name its country or the way out of it."""
+    bare = re.sub(r"[^\d+]", "", phone.translate(_DIGITS))
+    if bare.startswith("+"):
+        return 1 if bare[1:2] in ("1", "7") else 2
+    if bare.startswith("00"):
+        return 3 if bare[2:3] in ("1", "7") else 4
+    return 1 if bare.startswith("0") or (len(bare) == 11 and bare[0] in "178") else 0
+
+
 def surrogate(key: str, kind: str, entity: str, piece: str, attempt: int = 0) -> str:
     """A replacement of the same kind: numbers keep length and separators, names keep script, case, order, initials and the ending that marks gender.
 
@@ -428,8 +560,7 @@ def surrogate(key: str, kind: str, entity: str, piece: str, attempt: int = 0) ->
         return f"{_word(stream, 'latin', 'x')}.{_word(stream, 'latin', 'x')}{stream.below(1000)}@{_DOMAIN}"
     if kind in ("phone", "id_number"):
         body, tail = (re.split(r"(?i)(\s*(?:ext|x|доб).*)", piece, maxsplit=1) + [""])[:2] if kind == "phone" else (piece, "")
-        digits = len(re.findall(r"\d", body))
-        keep = max(0, digits - 7) if kind == "phone" else 0
+        keep = _country_digits(body) if kind == "phone" else 0
         seen, out = 0, []
         for c in body:
             if c.isdigit():
@@ -456,39 +587,45 @@ def surrogate(key: str, kind: str, entity: str, piece: str, attempt: int = 0) ->
 
 
 def surrogates(pieces: DataFrame, key: str, rounds: int = 4) -> DataFrame:
-    """Entities with the attempt whose surrogates, of all their spellings, no other entity of the kind has: kind, entity, attempt.
+    """Of each spelling its entity, and the attempt whose surrogates no other entity of the kind and no real piece has: kind, piece, entity, attempt.
 
-    Colliding entities, all but the smallest of each collision, move on to the next attempt, up to ``rounds`` times; what still
-    collides then, as in a space with fewer values than entities, gets its own number added (NUMBERED). Works on distinct
-    spellings only, with map-side pre-aggregation.
+    A name in another script is the entity of the one Latin name with its skeleton; where several have it, it stays a name of
+    its own. Colliding entities, all but the smallest of each collision, and those whose surrogate is a real piece move on to
+    the next attempt, up to ``rounds`` times; what still collides then, as in a space with fewer values than entities, gets its
+    own number added (NUMBERED). Works on distinct spellings only, with map-side pre-aggregation.
     """
     from chatlake.session import settle
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(entity=[canonical(k, p) for k, p in zip(batch.kind, batch.piece, strict=True)])
+            pairs = list(zip(batch.kind, batch.piece, strict=True))
+            yield batch.assign(own=[canonical(k, p) for k, p in pairs], bones=[likeness(k, p) for k, p in pairs], latin=[script_of(p) == "latin" for _, p in pairs])
 
-    spellings = pieces.select("kind", "piece").distinct().mapInPandas(named, "kind string, piece string, entity string")
+    spelled = settle(pieces.select("kind", "piece").distinct().mapInPandas(named, "kind string, piece string, own string, bones string, latin boolean"))
+    one = spelled.where("latin and bones is not null").groupBy("kind", "bones").agg(F.min("own").alias("entity"), F.max("own").alias("last")).where("entity = last").drop("last")
+    foreign = spelled.where("not latin and bones is not null").join(one, ["kind", "bones"]).select("kind", "piece", "entity")
+    spellings = settle(spelled.join(foreign, ["kind", "piece"], "left").select("kind", "piece", F.coalesce("entity", "own").alias("entity"), "own"))
+    real = spellings.select("kind", F.col("own").alias("fake"), F.lit(True).alias("real")).distinct()
 
     def tried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(fake=[canonical(k, surrogate(key, k, e, p, a)) for k, e, p, a in zip(batch.kind, batch.entity, batch.piece, batch.attempt, strict=True)])
 
-    current = spellings.withColumn("attempt", F.lit(0).cast("long"))
+    current = spellings.select("kind", "piece", "entity").withColumn("attempt", F.lit(0).cast("long"))
     for done in range(rounds + 1):
         made = settle(current.mapInPandas(tried, "kind string, piece string, entity string, attempt long, fake string"))
         clash = made.groupBy("kind", "fake").agg(F.min("entity").alias("owner"), F.max("entity").alias("last")).where("owner <> last")
-        if clash.isEmpty():
+        taken = made.join(real, ["kind", "fake"]).select("kind", "entity")
+        moving = settle(made.join(clash, ["kind", "fake"]).where("entity <> owner").select("kind", "entity").unionByName(taken).distinct())
+        if moving.isEmpty():
             break
-        moving = made.join(clash, ["kind", "fake"]).where("entity <> owner").select("kind", "entity").distinct()
         if done < rounds:
             moved = moving.withColumn("next", F.lit(1))
         else:
-            moved = settle(moving.select("kind", "entity", F.pmod(F.xxhash64("kind", "entity"), F.lit(4096)).alias("block")))
-            moved = blocked_running_sum(moved, [], "block", ["kind", "entity"], {"before": F.lit(1)}).select("kind", "entity", (NUMBERED + 1 + F.col("before")).alias("next"))
+            moved = ranged_running_sum(moving, [], ["kind", "entity"], {"before": F.lit(1)}).select("kind", "entity", (NUMBERED + 1 + F.col("before")).alias("next"))
         current = made.join(moved, ["kind", "entity"], "left").select("kind", "piece", "entity", F.when(F.col("next") < NUMBERED, F.col("attempt") + F.col("next")).otherwise(F.coalesce("next", "attempt")).alias("attempt"))
         made = current
-    return made.groupBy("kind", "entity").agg(F.max("attempt").alias("attempt"))
+    return made.select("kind", "piece", "entity", "attempt")
 
 
 def redacted(texts: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
@@ -500,14 +637,7 @@ def redacted(texts: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
     from chatlake.session import settle
 
     pieces = settle(pieces.select("field", "record_key", "kind", "start", "end", "piece").distinct())
-    attempts = surrogates(pieces, key)
-
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(entity=[canonical(k, p) for k, p in zip(batch.kind, batch.piece, strict=True)])
-
-    placed = pieces.mapInPandas(named, "field string, record_key string, kind string, start long, end long, piece string, entity string")
-    chosen = placed.join(attempts, ["kind", "entity"])
+    chosen = pieces.join(surrogates(pieces, key), ["kind", "piece"])
     edits = chosen.groupBy("field", "record_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "entity", "piece", "attempt"))).alias("edits"))
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

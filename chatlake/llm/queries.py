@@ -48,7 +48,8 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return personal_data(_texts(spark, folder), known_names(read_table(spark, folder, "participants")))
+    texts = _texts(spark, folder)
+    return personal_data(texts, known_names(read_table(spark, folder, "participants"), texts))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

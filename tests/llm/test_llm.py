@@ -151,12 +151,41 @@ CASES = [
     ("the plumber is called abbratem quitem, number unknown", "name"),
     ("меня зовут Товрик Кестлемар; спасибо Товрику", "name"),
     ("my name is Melda and I just joined", ""),
+    ("Yesterday I spoke to Margaret Whitfield", "name"),
+    ("Thanks to Paul Hargreaves and Anna Lindqvist for the ladder", "name name"),
+    ("hey, Maria da Quennova is looking for her bag", "name"),
+    ("please call 212 555 0147 after six", "phone"),
+    ("我住在中山路12号3室", "address"),
+    ("Dorvelly Street was closed, the Vorlen Bakery too", ""),
 ]
 
 
 @pytest.fixture(scope="module")
 def names(spark):
-    return P.known_names(spark.createDataFrame(PEOPLE, "first_name string, last_name string"))
+    chatter = spark.createDataFrame([(text.lower(),) for text, _ in CASES if "mar" not in text.lower() and "paul" not in text.lower() and "abbr" not in text] * 2, "text string")
+    return P.known_names(spark.createDataFrame(PEOPLE, "first_name string, last_name string"), chatter)
+
+
+def test_a_large_set_of_names_is_joined(spark, names):
+    people = spark.createDataFrame(PEOPLE, "first_name string, last_name string")
+    rows = spark.createDataFrame([("f", str(n), text) for n, (text, _) in enumerate(CASES)] + [("f", None, None), ("f", "x", "")], "field string, record_key string, text string")
+    joined = P.known_names(people, rows, limit=1)
+    assert not isinstance(joined, Words)
+    got, wanted = (P.personal_data(rows, n).select("field", "record_key", "kind", "nth", "start").collect() for n in (joined, P.known_names(people, rows)))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, wanted)) and len(got) > 20
+
+
+def test_common_words_are_a_share_of_the_rows(spark):
+    rows = spark.createDataFrame([("the Storm came",), ("the storm left",), ("The calm",), (None,), ("",)], "text string")
+    assert {r.word for r in P.common_words(rows).collect()} == {"c:the", "l:the", "c:storm"}
+
+
+def test_different_names_are_different_entities(spark):
+    people = ["hestra almasen", "istra almasen", "ostra almasen", "Dan Cohen", "Dana Kohn", "Don Cohn", "Tovrik Kestlemar", "Товрик Кестлемар", "Товрику Кестлемару", "KESTLEMAR, Tovrik"]
+    got = {r.piece: r for r in P.surrogates(spark.createDataFrame([("name", p) for p in people], "kind string, piece string"), "k").collect()}
+    assert len({got[p].entity for p in people[:6]}) == 6 and len({got[p].entity for p in people[6:]}) == 1
+    fakes = {P.canonical("name", P.surrogate("k", "name", r.entity, r.piece, r.attempt)) for p, r in got.items() if p in people[:6]}
+    assert len(fakes) == 6 and not fakes & {P.canonical("name", p) for p in people}
 
 
 @pytest.mark.parametrize(("text", "kinds"), CASES)
