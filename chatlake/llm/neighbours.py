@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +19,25 @@ from chatlake.session import settle
 DIMENSION = 64
 NEAREST = 5
 CELL_ROWS = 2048
-"""Rows an average block should have; the number of blocks follows from the number of rows."""
-TILE_ROWS = 8192
-"""A larger block is cut into tiles of about this many rows, each pair of tiles being a group of its own."""
-TABLES = 7
-"""Independent block schedules; a pair is multiplied if any schedule puts both into one block."""
+"""Rows that are multiplied with each other at a time, on average."""
+BLOCK_ROWS = (16_384, 262_144)
+"""Rows a block of a schedule has on average: at least and at most; in between a 64th of the table, so the schedules needed grow slowly."""
+BLOCK_PARTS = 64
+LEAST_SCHEDULES = 6
+TABLE_RECALL = 0.99
+"""Chance that a pair at the threshold meets in some schedule; the number of schedules follows from it and from the rows."""
+CELL_RECALL = 0.995
+"""Chance that such a pair meets within a block, from which the number of passes over the block follows."""
+CUT_BLOCKS = 4
+"""A block of more than this many times its average is cut, and all pairs of its cuts are multiplied."""
 BROADCAST_BLOCKS = 100_000
 """Large blocks up to this number are broadcast (two numbers each)."""
+BIG_CELL = 4
+"""Cells of more than this many times CELL_ROWS are remembered, so later passes multiply only what hasn't met in them."""
 DENSE = 256
-"""A row with more partners within the error bound in one tile has its block multiplied in float."""
+"""A row with more partners within the error bound in one cell has its cell multiplied in float."""
+SLACK = np.float32(1e-5)
+"""More than float32 rounds off in 64 products of scaled codes."""
 
 
 def usable(vectors: DataFrame, dimension: int = DIMENSION) -> DataFrame:
@@ -46,7 +57,7 @@ def usable(vectors: DataFrame, dimension: int = DIMENSION) -> DataFrame:
             flat, rows = flat[sound], rows.filter(pa.array(sound))
             flat = flat / np.abs(flat).max(1, keepdims=True) if len(flat) else flat
             unit = (flat / np.sqrt((flat * flat).sum(1, keepdims=True))).astype(np.float32)
-            binary = pa.array([row.tobytes() for row in unit], pa.binary())
+            binary = _binary(unit)
             yield pa.RecordBatch.from_arrays([rows.column("space"), rows.column("key"), binary], ["space", "key", "unit"])
 
     source = vectors.where("key is not null and embedding is not null").select("space", "key", "embedding")
@@ -55,31 +66,72 @@ def usable(vectors: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     return best.select(F.col("one.space").alias("space"), "key", F.col("one.unit").alias("unit"))
 
 
-def _schedules(rows: int, tables: int, cell_rows: int, seed: int) -> list[list[np.ndarray]]:
-    """Per schedule the rotations whose largest coordinates name a vector's block; together about rows / cell_rows blocks."""
-    random = np.random.default_rng(seed)
-    cells = max(1, round(rows / cell_rows))
-    plan = []
-    for _ in range(tables):
-        left, parts = float(cells), []
-        while left > 1.5:
-            wide = int(min(DIMENSION, max(1, round(left / 2))))
-            parts.append(np.linalg.qr(random.normal(size=(DIMENSION, DIMENSION)))[0][:, :wide].astype(np.float32))
-            left /= 2 * wide
-        plan.append(parts)
-    return plan
-
-
-def _block_of(unit: np.ndarray, parts: list[np.ndarray], table: int) -> np.ndarray:
-    code = np.full(len(unit), table, np.int64)
+def _rotations(cells: float, random: np.random.Generator) -> list[np.ndarray]:
+    """Rotations whose largest coordinates name a vector's cell; together about ``cells`` cells."""
+    left, parts = float(cells), []
+    while left > 1.5:
+        wide = int(min(DIMENSION, max(1, round(left / 2))))
+        parts.append(np.linalg.qr(random.normal(size=(DIMENSION, DIMENSION)))[0][:, :wide].astype(np.float32))
+        left /= 2 * wide
+    return parts
+
+
+def _cell_of(vectors: np.ndarray, parts: list[np.ndarray], start: int = 0) -> np.ndarray:
+    code = np.full(len(vectors), start, np.int64)
     for part in parts:
-        turned = unit @ part
+        turned = vectors @ part
         axis = np.abs(turned).argmax(1)
-        sign = turned[np.arange(len(unit)), axis] > 0
+        sign = turned[np.arange(len(vectors)), axis] > 0
         code = code * (2 * part.shape[1]) + 2 * axis + sign
     return code
 
 
+def meeting(similarity: float, cells: float, tries: int = 6, draws: int = 1500, seed: int = 5) -> float:
+    """Chance that two vectors of a cosine fall into one of about ``cells`` cells in one try, by simulation of random pairs."""
+    if cells <= 1.5:
+        return 1.0
+    random = np.random.default_rng(seed)
+    x = random.normal(size=(draws, DIMENSION))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = random.normal(size=(draws, DIMENSION))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = (similarity * x + math.sqrt(max(0.0, 1 - similarity * similarity)) * z).astype(np.float32)
+    x = x.astype(np.float32)
+    met = [float((_cell_of(x, parts) == _cell_of(y, parts)).mean()) for parts in (_rotations(cells, random) for _ in range(tries))]
+    return max(sum(met) / tries, 1 / draws)
+
+
+@dataclass
+class Plan:
+    """blocks: the rotations of each schedule; cells: those of each pass over a block; block_rows and recall as expected."""
+
+    blocks: list[list[np.ndarray]]
+    cells: list[list[np.ndarray]]
+    block_rows: int
+    recall: float
+
+
+def plan_for(rows: int, least: float, recall: float = TABLE_RECALL, cell_rows: int = CELL_ROWS, block_rows: tuple[int, int] = BLOCK_ROWS, seed: int = 11) -> Plan:
+    """Schedules and passes enough that a pair of cosine ``least`` meets with a chance of ``recall`` in a table of ``rows`` rows, whatever its size.
+
+    A schedule sends each row to one block, by random rotations; only schedules cost shuffle, and there are few since blocks
+    are large. Within a block several passes cut it into cells of about ``cell_rows`` rows, in memory.
+    """
+    random = np.random.default_rng(seed)
+    size = int(min(max(rows / BLOCK_PARTS, block_rows[0]), block_rows[1]))
+    n_blocks, n_cells = rows / size, min(rows, size) / cell_rows
+
+    def needed(chance: float, wanted: float) -> int:
+        return 1 if chance >= wanted else math.ceil(math.log(1 - wanted) / math.log(1 - chance))
+
+    within = meeting(least, n_cells)
+    passes = needed(within, CELL_RECALL)
+    per_schedule = meeting(least, n_blocks) * (1 - (1 - within) ** passes)
+    schedules = 1 if n_blocks <= 1.5 else max(LEAST_SCHEDULES, needed(per_schedule, recall))
+    return Plan([_rotations(n_blocks, random) for _ in range(schedules)], [_rotations(n_cells, random) for _ in range(passes)], size, 1 - (1 - per_schedule) ** schedules)
+
+
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales, and the length of what the codes leave out (rounded up)."""
     scale = np.abs(unit).max(1) / 127
@@ -88,38 +140,85 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale.astype(np.float32), (rest + 1e-6).astype(np.float32)
 
 
-def _tile_pairs(keys: np.ndarray, codes: np.ndarray, scale: np.ndarray, rest: np.ndarray, side: np.ndarray, least: float, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs that can be at least ``least`` similar and among the ``nearest`` of one of the two; whether the tile is too dense.
+def _cell_pairs(scaled: np.ndarray, rest: np.ndarray, rows: np.ndarray, others: np.ndarray, least: float, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (row, other) that can be at least ``least`` similar and among the ``nearest`` of the row; whether a row has too many for the bound.
 
-    float32 holds the sums of int8 products exactly. |x.y - x'.y'| <= rest_x + rest_y * (1 + rest_x), so a product less its
-    bound is sure and a product plus its bound is possible.
+    ``scaled`` are int8 codes times their scales. |x.y - x'.y'| <= rest_x + rest_y * (1 + rest_x), so a product less its bound
+    is sure and a product plus its bound is possible; SLACK covers the rounding of the float32 sums.
     """
-    ints = codes.astype(np.float32)
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(keys)),) * 2
-    alone = not side.any()
     found, dense = [], False
-    for rows, others in ((left, right),) if alone else ((left, right), (right, left)):
-        for begin in range(0, len(rows), 512):
-            part = rows[begin : begin + 512]
-            product = (ints[part] @ ints[others].T) * (scale[part][:, None] * scale[others][None, :])
-            bound = rest[part][:, None] + rest[others][None, :] * (1 + rest[part][:, None])
-            if alone:
-                product[np.arange(len(part)), np.arange(begin, begin + len(part))] = -9
-            possible = product + bound >= least
-            some = np.flatnonzero(possible.any(1))
-            if not len(some):
+    target = np.ascontiguousarray(scaled[others].T)
+    widest = float(rest[others].max())
+    for begin in range(0, len(rows), 512):
+        part = rows[begin : begin + 512]
+        product = scaled[part] @ target
+        a, b = np.nonzero(product >= (least - SLACK - rest[part] - widest * (1 + rest[part]))[:, None])
+        keep = part[a] != others[b]
+        a, b = a[keep], b[keep]
+        value = product[a, b]
+        bound = rest[part[a]] + rest[others[b]] * (1 + rest[part[a]]) + SLACK
+        keep = value + bound >= least
+        a, b, value, bound = a[keep], b[keep], value[keep], bound[keep]
+        counts = np.bincount(a, minlength=len(part))
+        many = np.flatnonzero(counts > nearest)
+        if len(many):
+            order = np.lexsort((bound - value, a))
+            ends = np.cumsum(counts)
+            sure = np.full(len(part), -9.0, np.float32)
+            sure[many] = (value - bound)[order[(ends - counts)[many] + nearest - 1]]
+            keep = value + bound >= sure[a]
+            a, b = a[keep], b[keep]
+            counts = np.bincount(a, minlength=len(part))
+        if counts.max(initial=0) > DENSE:
+            dense = True
+        found.append((part[a], others[b]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), dense
+
+
+def _block_pairs(keys: np.ndarray, codes: np.ndarray, scale: np.ndarray, rest: np.ndarray, side: np.ndarray, cells: list[list[np.ndarray]], least: float, nearest: int, cell_rows: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Candidate pairs of keys of one block, and the members of its cells that are too dense for the bound.
+
+    Each pass cuts the block into cells; rows that met in a dense or big cell aren't multiplied with each other again. With
+    rows on both sides, only pairs across are wanted.
+    """
+    scaled = codes.astype(np.float32) * scale[:, None]
+    low, high, thick = [], [], []
+    met = np.full(len(keys), -1, np.int64)
+    marks = 0
+    across = bool(side.any())
+    for parts in cells:
+        cell = _cell_of(scaled, parts)
+        order = np.argsort(cell, kind="stable")
+        ends = np.flatnonzero(np.r_[cell[order][1:] != cell[order][:-1], True]) + 1
+        for begin, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
+            members = order[begin:end]
+            if len(members) < 2:
                 continue
-            product, bound, possible = product[some], bound[some], possible[some]
-            if len(others) > nearest:
-                sure = np.partition(product - bound, len(others) - nearest, axis=1)[:, len(others) - nearest]
-                possible &= product + bound >= sure[:, None]
-            if possible.sum(1).max() > DENSE:
-                dense = True
+            groups = met[members]
+            if groups[0] >= 0 and (groups == groups[0]).all():
                 continue
-            a, b = np.nonzero(possible)
-            found.append(np.stack([keys[part[some[a]]], keys[others[b]]], 1))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    return pairs.min(1), pairs.max(1), dense
+            dense = False
+            a, b = [], []
+            for group in np.unique(groups):
+                own = groups == group
+                rows, others = members[own], members if group < 0 else members[~own]
+                for here, there in ([(rows[side[rows] == 0], others[side[others] == 1]), (rows[side[rows] == 1], others[side[others] == 0])] if across else [(rows, others)]):
+                    if len(here) and len(there):
+                        x, y, full = _cell_pairs(scaled, rest, here, there, least, nearest)
+                        a.append(x)
+                        b.append(y)
+                        dense = dense or full
+            if dense:
+                thick.append(members)
+            else:
+                low += a
+                high += b
+            if dense or len(members) > BIG_CELL * cell_rows:
+                met[members] = marks
+                marks += 1
+    x, y = (np.concatenate(part) if part else np.empty(0, np.int64) for part in (low, high))
+    pairs = np.unique(np.stack([np.minimum(keys[x], keys[y]), np.maximum(keys[x], keys[y])], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1], thick
 
 
 def _largest(product: np.ndarray, n: int) -> np.ndarray:
@@ -153,8 +252,8 @@ def _float_pairs(keys: np.ndarray, unit: np.ndarray, side: np.ndarray, least: fl
     return pairs.min(1), pairs.max(1)
 
 
-def _tiled(rows: DataFrame, counts: DataFrame, n_counts: int) -> DataFrame:
-    """Rows with tile (the group to multiply) and side. Blocks of more than TILE_ROWS are cut; every pair of cuts is a tile.
+def _cut(rows: DataFrame, counts: DataFrame, n_counts: int, most: int) -> DataFrame:
+    """Rows with tile (the group to multiply) and side. Blocks of more than ``most`` rows are cut; every pair of cuts is a tile.
 
     ``counts`` has the settled large blocks; only up to BROADCAST_BLOCKS of them are broadcast.
     """
@@ -162,43 +261,63 @@ def _tiled(rows: DataFrame, counts: DataFrame, n_counts: int) -> DataFrame:
         return rows.withColumn("tile", F.col("block")).withColumn("side", F.lit(0).cast("byte"))
     if n_counts <= BROADCAST_BLOCKS:
         counts = F.broadcast(counts)
-    cut = F.ceil(F.coalesce("n", F.lit(0)) / TILE_ROWS).cast("int")
+    cut = F.ceil(F.coalesce("n", F.lit(0)) / most).cast("int")
     joined = rows.join(counts, "block", "left").withColumn("cuts", F.greatest(cut, F.lit(1)))
     own = F.pmod(F.xxhash64("key", F.lit(3)), F.col("cuts")).cast("int")
     spread = joined.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     return spread.withColumn("tile", F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", (F.col("own") > F.col("other")).cast("byte")).drop("own", "other", "cuts", "n")
 
 
-def _by_tile(work):
+def _bytes_of(column: pa.Array, width: int) -> np.ndarray:
+    """The values of a binary column of one width as rows of bytes, without a Python object a value."""
+    flat = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.empty(0, np.uint8)
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+    return flat[start : start + len(column) * width].reshape(len(column), width)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows).view(np.uint8)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
+def _by_tile(work, columns: list[str]):
     """Feed whole tiles, which come sorted and in one piece, to ``work``; a tile may span Arrow batches but is bounded."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        tile = None
+
+        def whole() -> pa.RecordBatch:
+            return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            tiles = batch.tile.to_numpy()
+            tiles = batch.column("tile").to_numpy()
             if not len(tiles):
                 continue
-            ends = np.flatnonzero(tiles[1:] != tiles[:-1]) + 1
-            begins = np.r_[0, ends]
-            if len(ends):
-                yield work(batch, list(zip(begins[:-1].tolist(), ends.tolist(), strict=True)))
-            held = batch.iloc[begins[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield work(held, [(0, len(held))])
+            begins = np.r_[0, np.flatnonzero(tiles[1:] != tiles[:-1]) + 1, len(tiles)]
+            for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                if held and tiles[begin] != tile:
+                    yield from work(whole())
+                    held = []
+                tile = tiles[begin]
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from work(whole())
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: int = NEAREST, tables: int = TABLES, cell_rows: int = CELL_ROWS, seed: int = 11) -> DataFrame:
+def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: int = NEAREST, recall: float = TABLE_RECALL, exact: bool = False, cell_rows: int = CELL_ROWS, block_rows: tuple[int, int] = BLOCK_ROWS, seed: int = 11) -> DataFrame:
     """Pairs of vectors of one space with a cosine of at least ``least`` of which one is among the ``nearest`` of the other.
 
-    ``vectors`` has space (store/model), key and embedding; ``rows`` is about their number. The vectors are cut into blocks
-    by the largest coordinates after random rotations, in ``tables`` independent schedules; only vectors in a common block
-    are multiplied, as int8 tiles whose error bounds tell which pairs can count. These are recomputed in float and the best
-    ``nearest`` of each vector merged over all tiles; equal similarities go to the smaller key. Of vectors that are equal in
-    every number the seven smallest keys are multiplied; the others' nearest are the smallest keys of their group, so
-    a mass of copies costs no more than itself. Result: space, key_a < key_b, similarity.
+    ``vectors`` has space (store/model), key and embedding; ``rows`` is about their number. ``plan_for`` chooses how many
+    schedules send the vectors to blocks, and how many passes cut a block into cells, so that a pair at the threshold is
+    multiplied with a chance of ``recall`` at any number of rows. ``exact`` multiplies every block with every other instead,
+    which is quadratic. Products are of int8 codes, with error bounds that tell which pairs can count; these are recomputed in
+    float and the best ``nearest`` of each vector merged over all blocks; equal similarities go to the smaller key. Of vectors
+    that are equal in every number the seven smallest keys are multiplied; the others' nearest are the smallest keys of their
+    group, so a mass of copies costs no more than itself. Result: space, key_a < key_b, similarity.
     """
     unit = settle(usable(vectors))
     prints = unit.select("space", "key", F.xxhash64("unit").alias("print_1"), F.xxhash64(F.lit(1), "unit").alias("print_2"))
@@ -209,91 +328,73 @@ def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: in
     lead = counted.where(F.col("nth") <= nearest)
     of_copies = extra.select("space", "print_1", "print_2", F.col("key").alias("key_b")).join(lead.select("space", "print_1", "print_2", F.col("key").alias("key_a")), ["space", "print_1", "print_2"])
     leading = unit.join(extra.select("key", "space"), ["key", "space"], "left_anti") if copied else unit
-    plan = _schedules(rows, tables, cell_rows, seed)
+    plan = Plan([[]], [[]], block_rows[1], 1.0) if exact else plan_for(rows, least, recall, cell_rows, block_rows, seed)
+    most = plan.block_rows if exact else CUT_BLOCKS * plan.block_rows
 
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            matrix = np.frombuffer(b"".join(batch.unit), np.float32).reshape(len(batch), -1)
-            codes, scale, rest = quantise(matrix)
-            salt = batch.space_code.to_numpy()
-            packed = np.concatenate([codes.view(np.uint8), scale[:, None].view(np.uint8), rest[:, None].view(np.uint8)], axis=1)
-            code = [bytes(row) for row in packed]
-            for table, parts in enumerate(plan):
-                yield pd.DataFrame({"block": _block_of(matrix, parts, table) * 1_000_003 + salt, "key": batch.key, "code": code})
+    def blocks_of(batch: pa.RecordBatch, matrix: np.ndarray) -> Iterator[np.ndarray]:
+        salt = batch.column("space_code").to_numpy()
+        for number, parts in enumerate(plan.blocks):
+            yield _cell_of(matrix, parts, number + 1) * 1_000_003 + salt
 
-    salted = leading.select("key", F.xxhash64("space").alias("space_code"), "unit")
-    blocks = salted.mapInPandas(placed, "block long, key long, code binary")
-
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = _bytes_of(batch.column("unit"), 4 * DIMENSION).view(np.float32)
+            if len(matrix):
+                codes, scale, rest = quantise(matrix)
+                code = _binary(np.concatenate([codes.view(np.uint8), scale[:, None].view(np.uint8), rest[:, None].view(np.uint8)], axis=1))
+                for block in blocks_of(batch, matrix):
+                    yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("key"), code], ["block", "key", "code"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                matrix, salt = np.frombuffer(b"".join(batch.unit), np.float32).reshape(len(batch), -1), batch.space_code.to_numpy()
-                for table, parts in enumerate(plan):
-                    yield pd.DataFrame({"block": _block_of(matrix, parts, table) * 1_000_003 + salt})
+                for block in blocks_of(batch, _bytes_of(batch.column("unit"), 4 * DIMENSION).view(np.float32)):
+                    yield pa.RecordBatch.from_arrays([pa.array(block)], ["block"])
 
-    large = settle(salted.mapInPandas(named, "block long").groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS))
+    salted = leading.select("key", F.xxhash64("space").alias("space_code"), "unit")
+    large = settle(salted.mapInArrow(named, "block long").groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > most))
     n_large = large.count()
 
-    def multiply(batch: pd.DataFrame, tiles: list[tuple[int, int]]) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(batch.code), np.uint8).reshape(len(batch), DIMENSION + 8)
-        codes, scale, rest = raw[:, :DIMENSION].view(np.int8), np.ascontiguousarray(raw[:, DIMENSION : DIMENSION + 4]).view(np.float32).ravel(), np.ascontiguousarray(raw[:, DIMENSION + 4 :]).view(np.float32).ravel()
-        keys, side, block = batch.key.to_numpy(), batch.side.to_numpy(), batch.block.to_numpy()
-        low, high, dense = [], [], []
-        for begin, end in tiles:
-            a, b, full = _tile_pairs(keys[begin:end], codes[begin:end], scale[begin:end], rest[begin:end], side[begin:end], least, nearest)
-            low.append(a)
-            high.append(b)
-            if full:
-                dense.append(block[begin])
-        a, b = np.concatenate(low), np.concatenate(high)
-        return pd.DataFrame({"key_a": np.r_[a, dense].astype(np.int64), "key_b": np.r_[b, np.zeros(len(dense), np.int64)].astype(np.int64), "dense": np.r_[np.zeros(len(a), bool), np.ones(len(dense), bool)]})
-
-    tiles = _tiled(blocks, large, n_large).select("tile", "side", "key", "code", "block").repartition("tile").sortWithinPartitions("tile")
-    multiplied = settle(tiles.mapInPandas(_by_tile(multiply), "key_a long, key_b long, dense boolean").distinct())
-    thick = multiplied.where("dense").select(F.col("key_a").alias("block")).distinct()
-    candidates = [multiplied.where("not dense").select("key_a", "key_b")]
+    def multiply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        raw = _bytes_of(batch.column("code"), DIMENSION + 8)
+        codes = raw[:, :DIMENSION].view(np.int8)
+        scale, rest = (np.ascontiguousarray(raw[:, at : at + 4]).view(np.float32).ravel() for at in (DIMENSION, DIMENSION + 4))
+        keys = batch.column("key").to_numpy()
+        low, high, thick = _block_pairs(keys, codes, scale, rest, batch.column("side").to_numpy(), plan.cells, least, nearest, cell_rows)
+        none = np.zeros(len(low), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(none)], ["key_a", "key_b", "cell"])
+        for members in thick:
+            own = np.sort(keys[members])
+            name = xxhash.xxh64_intdigest(own.tobytes()) >> 1
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own), pa.array(np.full(len(own), name | 1, np.int64))], ["key_a", "key_b", "cell"])
+
+    tiles = _cut(salted.mapInArrow(placed, "block long, key long, code binary"), large, n_large, most).select("tile", "side", "key", "code").repartition("tile").sortWithinPartitions("tile")
+    multiplied = settle(tiles.mapInArrow(_by_tile(multiply, ["key", "code", "side"]), "key_a long, key_b long, cell long").distinct())
+    thick = multiplied.where("cell <> 0").select(F.col("cell").alias("block"), F.col("key_a").alias("key"))
+    candidates = [multiplied.where("cell = 0").select("key_a", "key_b")]
     if not thick.isEmpty():
-        members = blocks.select("block", "key").join(thick, "block", "left_semi").join(unit.select("key", "unit", "space"), "key")
+        sizes = settle(thick.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BIG_CELL * cell_rows))
 
-        def multiply_float(batch: pd.DataFrame, tiles: list[tuple[int, int]]) -> pd.DataFrame:
-            matrix = np.frombuffer(b"".join(batch.unit), np.float32).reshape(len(batch), -1)
-            pairs = [_float_pairs(batch.key.to_numpy()[a:b], matrix[a:b], batch.side.to_numpy()[a:b], least, nearest) for a, b in tiles]
-            return pd.DataFrame({"key_a": np.concatenate([p[0] for p in pairs]), "key_b": np.concatenate([p[1] for p in pairs])})
+        def multiply_float(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            a, b = _float_pairs(batch.column("key").to_numpy(), _bytes_of(batch.column("unit"), 4 * DIMENSION).view(np.float32), batch.column("side").to_numpy(), least, nearest)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["key_a", "key_b"])
 
-        again = _tiled(members.select("block", "key", "unit"), large, n_large).select("tile", "side", "key", "unit").repartition("tile").sortWithinPartitions("tile")
-        candidates.append(again.mapInPandas(_by_tile(multiply_float), "key_a long, key_b long").distinct())
+        again = _cut(thick.join(unit.select("key", "unit"), "key"), sizes, sizes.count(), BIG_CELL * cell_rows).select("tile", "side", "key", "unit").repartition("tile").sortWithinPartitions("tile")
+        candidates.append(again.mapInArrow(_by_tile(multiply_float, ["key", "unit", "side"]), "key_a long, key_b long").distinct())
     pairs = reduce(DataFrame.unionByName, candidates)
-    left = unit.select(F.col("key").alias("key_a"), "space", F.col("unit").alias("unit_a"))
-    right = unit.select(F.col("key").alias("key_b"), F.col("space").alias("space_b"), F.col("unit").alias("unit_b"))
+    ends = unit.select("key", "space", "unit")
+    left, right = ends.toDF("key_a", "space", "unit_a"), ends.toDF("key_b", "space_b", "unit_b")
 
-    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def recompute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = np.frombuffer(b"".join(batch.unit_a), np.float32).reshape(-1, DIMENSION).astype(np.float64)
-            b = np.frombuffer(b"".join(batch.unit_b), np.float32).reshape(-1, DIMENSION).astype(np.float64)
-            yield pd.DataFrame({"space": batch.space, "key_a": batch.key_a, "key_b": batch.key_b, "similarity": (a * b).sum(1)})
+            a, b = (_bytes_of(batch.column(c), 4 * DIMENSION).view(np.float32).astype(np.float64) for c in ("unit_a", "unit_b"))
+            yield pa.RecordBatch.from_arrays([batch.column("space"), batch.column("key_a"), batch.column("key_b"), pa.array((a * b).sum(1))], ["space", "key_a", "key_b", "similarity"])
 
     joined = pairs.join(left, "key_a").join(right, "key_b").where("space = space_b").select("space", "key_a", "key_b", "unit_a", "unit_b")
-    sure = joined.mapInPandas(exact, "space string, key_a long, key_b long, similarity double").where(F.col("similarity") >= least)
+    sure = joined.mapInArrow(recompute, "space string, key_a long, key_b long, similarity double").where(F.col("similarity") >= least)
     both = sure.withColumn("end", F.explode(F.array(F.struct(F.col("key_a").alias("me"), F.col("key_b").alias("other")), F.struct(F.col("key_b").alias("me"), F.col("key_a").alias("other")))))
     nth = F.row_number().over(Window.partitionBy("space", "end.me").orderBy(F.col("similarity").desc(), "end.other"))
     top = both.withColumn("nth", nth).where(F.col("nth") <= nearest).select("space", "key_a", "key_b", "similarity").distinct()
     if not copied:
         return top
     return top.unionByName(of_copies.select("space", F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), F.lit(1.0).alias("similarity")))
-
-
-def expected_recall(similarity: float, cells: int, tables: int = TABLES, draws: int = 4000, seed: int = 5) -> float:
-    """Share of pairs of the given cosine that meet in a block of at least one schedule, by simulation of random pairs."""
-    random = np.random.default_rng(seed)
-    x = random.normal(size=(draws, DIMENSION))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = random.normal(size=(draws, DIMENSION))
-    z -= (z * x).sum(1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = similarity * x + math.sqrt(1 - similarity * similarity) * z
-    met = np.zeros(draws, bool)
-    for table, parts in enumerate(_schedules(cells, tables, 1, 11)):
-        met |= _block_of(x.astype(np.float32), parts, table) == _block_of(y.astype(np.float32), parts, table)
-    return float(met.mean())

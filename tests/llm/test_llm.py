@@ -84,17 +84,31 @@ def pairs_of(df):
 
 def test_nearest_pairs_match_brute_force(spark):
     points = clustered(400)
-    assert pairs_of(N.similar_pairs(frame(spark, points), 400)) == brute(points)
     wanted = brute(points)
-    got = pairs_of(N.similar_pairs(frame(spark, points), 400, cell_rows=20))
+    assert pairs_of(N.similar_pairs(frame(spark, points), 400)) == wanted
+    assert pairs_of(N.similar_pairs(frame(spark, points), 400, exact=True, block_rows=(50, 50))) == wanted
+    got = pairs_of(N.similar_pairs(frame(spark, points), 400, cell_rows=10, block_rows=(60, 60)))
     assert got <= wanted and len(got) >= 0.97 * len(wanted)
 
 
-def test_large_blocks_are_tiled_and_dense_ones_multiplied_in_float(spark, monkeypatch):
-    monkeypatch.setattr(N, "TILE_ROWS", 64)
+def test_large_blocks_are_cut_and_dense_cells_multiplied_in_float(spark, monkeypatch):
+    monkeypatch.setattr(N, "CUT_BLOCKS", 1)
     monkeypatch.setattr(N, "DENSE", 8)
     points = np.concatenate([clustered(120), clustered(40, seed=2, size=40, noise=0.02)])
-    assert pairs_of(N.similar_pairs(frame(spark, points), len(points))) == brute(points)
+    assert pairs_of(N.similar_pairs(frame(spark, points), len(points), block_rows=(64, 64))) == brute(points)
+    assert pairs_of(N.similar_pairs(frame(spark, points), len(points), cell_rows=4, block_rows=(1000, 1000), recall=0.999)) >= {p for p in brute(points) if p[0] >= 120}
+
+
+def test_rows_that_met_in_a_big_cell_are_not_multiplied_again():
+    points = np.concatenate([clustered(60), clustered(40, seed=2, size=40, noise=0.01)])
+    unit = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
+    codes, scale, rest = N.quantise(unit)
+    keys, side = np.arange(len(unit)), np.zeros(len(unit), np.int8)
+    cells = N.plan_for(len(unit), 0.9, cell_rows=5).cells
+    low, high, thick = N._block_pairs(keys, codes, scale, rest, side, cells, 0.9, 5, 5)
+    assert len(cells) > 1 and len(thick) == 0
+    found = set(zip(low.tolist(), high.tolist(), strict=True))
+    assert {p for p in brute(points) if p[0] >= 60} <= found and len({p for p in brute(points)} - found) <= 0.03 * len(brute(points))
 
 
 def test_unusable_repeated_and_equal_vectors(spark):
@@ -119,8 +133,20 @@ def test_largest_with_ties():
         assert [set(r) for r in N._largest(product, 5).tolist()] == [set(r) for r in wanted.tolist()]
 
 
-def test_recall_of_the_schedules():
-    assert N.expected_recall(0.95, 120) > 0.99 and N.expected_recall(0.9, 120) > 0.97
+@pytest.mark.parametrize("rows", [25_000, 252_000, 2_500_000, 100_000_000, 1_000_000_000, 10_000_000_000])
+def test_the_plan_keeps_its_recall_at_any_size(rows):
+    plan = N.plan_for(rows, 0.9)
+    random_ = np.random.default_rng(8)
+    x = random_.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = random_.normal(size=(1500, 64))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = (0.9 * x + np.sqrt(1 - 0.81) * z).astype(np.float32)
+    x = x.astype(np.float32)
+    within = np.any([N._cell_of(x, parts) == N._cell_of(y, parts) for parts in plan.cells], axis=0)
+    met = np.any([N._cell_of(x, parts) == N._cell_of(y, parts) for parts in plan.blocks], axis=0) & within
+    assert met.mean() > 0.95 and plan.recall >= 0.99
 
 
 # ---- personal data
