@@ -140,7 +140,7 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale.astype(np.float32), (rest + 1e-6).astype(np.float32)
 
 
-def _cell_pairs(scaled: np.ndarray, rest: np.ndarray, rows: np.ndarray, others: np.ndarray, least: float, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _cell_pairs(scaled: np.ndarray, rest: np.ndarray, rows: np.ndarray, others: np.ndarray, least: float, nearest: int, dense_rows: int = DENSE) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs (row, other) that can be at least ``least`` similar and among the ``nearest`` of the row; whether a row has too many for the bound.
 
     ``scaled`` are int8 codes times their scales. |x.y - x'.y'| <= rest_x + rest_y * (1 + rest_x), so a product less its bound
@@ -169,13 +169,13 @@ def _cell_pairs(scaled: np.ndarray, rest: np.ndarray, rows: np.ndarray, others:
             keep = value + bound >= sure[a]
             a, b = a[keep], b[keep]
             counts = np.bincount(a, minlength=len(part))
-        if counts.max(initial=0) > DENSE:
+        if counts.max(initial=0) > dense_rows:
             dense = True
         found.append((part[a], others[b]))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), dense
 
 
-def _block_pairs(keys: np.ndarray, codes: np.ndarray, scale: np.ndarray, rest: np.ndarray, side: np.ndarray, cells: list[list[np.ndarray]], least: float, nearest: int, cell_rows: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _block_pairs(keys: np.ndarray, codes: np.ndarray, scale: np.ndarray, rest: np.ndarray, side: np.ndarray, cells: list[list[np.ndarray]], least: float, nearest: int, cell_rows: int, dense_rows: int = DENSE) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Candidate pairs of keys of one block, and the members of its cells that are too dense for the bound.
 
     Each pass cuts the block into cells; rows that met in a dense or big cell aren't multiplied with each other again. With
@@ -204,7 +204,7 @@ def _block_pairs(keys: np.ndarray, codes: np.ndarray, scale: np.ndarray, rest: n
                 rows, others = members[own], members if group < 0 else members[~own]
                 for here, there in ([(rows[side[rows] == 0], others[side[others] == 1]), (rows[side[rows] == 1], others[side[others] == 0])] if across else [(rows, others)]):
                     if len(here) and len(there):
-                        x, y, full = _cell_pairs(scaled, rest, here, there, least, nearest)
+                        x, y, full = _cell_pairs(scaled, rest, here, there, least, nearest, dense_rows)
                         a.append(x)
                         b.append(y)
                         dense = dense or full
@@ -308,7 +308,7 @@ def _by_tile(work, columns: list[str]):
     return run
 
 
-def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: int = NEAREST, recall: float = TABLE_RECALL, exact: bool = False, cell_rows: int = CELL_ROWS, block_rows: tuple[int, int] = BLOCK_ROWS, seed: int = 11) -> DataFrame:
+def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: int = NEAREST, recall: float = TABLE_RECALL, exact: bool = False, cell_rows: int = CELL_ROWS, block_rows: tuple[int, int] = BLOCK_ROWS, dense_rows: int = DENSE, seed: int = 11) -> DataFrame:
     """Pairs of vectors of one space with a cosine of at least ``least`` of which one is among the ``nearest`` of the other.
 
     ``vectors`` has space (store/model), key and embedding; ``rows`` is about their number. ``plan_for`` chooses how many
@@ -360,7 +360,7 @@ def similar_pairs(vectors: DataFrame, rows: int, least: float = 0.9, nearest: in
         codes = raw[:, :DIMENSION].view(np.int8)
         scale, rest = (np.ascontiguousarray(raw[:, at : at + 4]).view(np.float32).ravel() for at in (DIMENSION, DIMENSION + 4))
         keys = batch.column("key").to_numpy()
-        low, high, thick = _block_pairs(keys, codes, scale, rest, batch.column("side").to_numpy(), plan.cells, least, nearest, cell_rows)
+        low, high, thick = _block_pairs(keys, codes, scale, rest, batch.column("side").to_numpy(), plan.cells, least, nearest, cell_rows, dense_rows)
         none = np.zeros(len(low), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(none)], ["key_a", "key_b", "cell"])
         for members in thick:

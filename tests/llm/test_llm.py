@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chatlake.llm import conversations as C
 from chatlake.llm import language as L
 from chatlake.llm import neighbours as N
 from chatlake.llm import pii as P
@@ -41,8 +42,8 @@ def expected_turns(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("local", [100_000, -1])
-def test_conversations_match_brute_force(chat, monkeypatch, local):
+@pytest.mark.parametrize(("local", "queue"), [(100_000, 500_000), (-1, 20), (100_000, 20)])
+def test_conversations_match_brute_force(chat, monkeypatch, local, queue):
     monkeypatch.setattr("chatlake.llm.conversations.LOCAL_ROWS", local)
     rng = random.Random(4)
     rows = []
@@ -50,11 +51,17 @@ def test_conversations_match_brute_force(chat, monkeypatch, local):
         rows.append({"id": n, "from_id": rng.choice(["a", "b", "b", "c"] * 9 + ["", None]), "date_unixtime": n * 10 if rng.random() < 0.98 else rng.choice([0, 5]), "text_plain": rng.choice(["hi", "yes", "no"] * 6 + ["", " ‏", None]), "reply_to_message_id": rng.choice([None, rng.randrange(max(1, n - 9), n) if n > 1 else None, None if n % 40 else n + 3, 5000 if n % 50 == 0 else None])})
     rows += [{"id": 1000 + n, "from_id": "ab"[n % 2], "date_unixtime": 10_000 + n, "text_plain": "deep", "reply_to_message_id": 999 + n if n else None} for n in range(60)]
     rows += [{"id": 2000, "from_id": "a", "date_unixtime": 7, "text_plain": "x", "reply_to_message_id": 2001}, {"id": 2001, "from_id": "b", "date_unixtime": 7, "text_plain": "x", "reply_to_message_id": 2000}]
-    got = conversations(chat(*rows, {"id": None, "from_id": "z"}).withColumn("role", F.lit(1)).withColumn("node", F.lit(1)))
+    got = conversations(chat(*rows, {"id": None, "from_id": "z"}).withColumn("role", F.lit(1)).withColumn("node", F.lit(1)), queue)
     assert sorted((r.root_id, r.turn_no, r.message_id, r.role) for r in got.collect()) == expected_turns(rows)
     assert conversations(chat()).count() == 0
 
 
+def test_queues_emit_what_is_freed_and_leave_loops():
+    nodes, parents = np.array([1, 2, 3, 4, 7, 8, 9]), np.array([99, 1, 2, 1, 8, 7, 8])
+    top, wave = C._queued(nodes, parents, np.arange(7))
+    assert top.tolist() == [0, 0, 0, 0, -1, -1, -1] and wave.tolist()[:4] == [0, 1, 2, 1]
+
+
 # ---- similar vectors
 
 
@@ -93,10 +100,9 @@ def test_nearest_pairs_match_brute_force(spark):
 
 def test_large_blocks_are_cut_and_dense_cells_multiplied_in_float(spark, monkeypatch):
     monkeypatch.setattr(N, "CUT_BLOCKS", 1)
-    monkeypatch.setattr(N, "DENSE", 8)
     points = np.concatenate([clustered(120), clustered(40, seed=2, size=40, noise=0.02)])
-    assert pairs_of(N.similar_pairs(frame(spark, points), len(points), block_rows=(64, 64))) == brute(points)
-    assert pairs_of(N.similar_pairs(frame(spark, points), len(points), cell_rows=4, block_rows=(1000, 1000), recall=0.999)) >= {p for p in brute(points) if p[0] >= 120}
+    assert pairs_of(N.similar_pairs(frame(spark, points), len(points), block_rows=(64, 64), dense_rows=8)) == brute(points)
+    assert pairs_of(N.similar_pairs(frame(spark, points), len(points), cell_rows=4, block_rows=(1000, 1000), recall=0.999, dense_rows=8)) >= {p for p in brute(points) if p[0] >= 120}
 
 
 def test_rows_that_met_in_a_big_cell_are_not_multiplied_again():
