@@ -50,21 +50,18 @@ class SeenRanges:
 
     def add(self, numbers: np.ndarray) -> None:
         """Add sorted numbers, repeated or not."""
-        if not len(numbers):
-            return
-        cut = np.flatnonzero(np.diff(numbers) > 1)
-        low = np.concatenate([self.low, numbers[np.r_[0, cut + 1]]])
-        high = np.concatenate([self.high, numbers[np.r_[cut, len(numbers) - 1]]])
+        if len(numbers):
+            cut = np.flatnonzero(np.diff(numbers) > 1)
+            self.add_ranges(numbers[np.r_[0, cut + 1]], numbers[np.r_[cut, len(numbers) - 1]])
+
+    def add_ranges(self, low: np.ndarray, high: np.ndarray) -> None:
+        """Add closed ranges in any order, overlapping or not; touching ones merge."""
+        low, high = np.concatenate([self.low, low]), np.concatenate([self.high, high])
         order = np.argsort(low, kind="stable")
         low, high = low[order], np.maximum.accumulate(high[order])
         first = np.r_[True, low[1:] > high[:-1] + 1]
         self.low, self.high = low[first], high[np.r_[np.flatnonzero(first)[1:] - 1, len(high) - 1]]
 
-    def keep_from(self, number: int) -> None:
-        """Forget ranges that end before ``number``: in sorted input they can't be asked for again."""
-        keep = self.high >= number
-        self.low, self.high = self.low[keep], self.high[keep]
-
 
 def _best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Mark the rows that lose against another copy of their id within this task's input."""
@@ -86,47 +83,56 @@ def _best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _accept_uncovered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accept each number its producer's ranges don't cover; malformed identifiers are looked up by their exact key.
+    """Accept each number that its shard's ranges don't cover yet; malformed identifiers are looked up by their exact key.
 
-    Rows come sorted by (lost, producer, number, preference), so the first copy that asks for a number is the best one.
+    The rows of a shard come together: ranges seen before first, then its deliveries in the order of preference, whatever
+    their numbers, so the first copy that asks for a number is the best one and closes the number for the others. The rows
+    of a malformed identifier come one after the other, the best one first.
     """
-    producer, seen, last_key = None, SeenRanges(), None
+    shard, seen, last_key = None, SeenRanges(), None
     for batch in batches:
         accepted = np.zeros(len(batch), bool)
         candidate = ~batch.lost.to_numpy()
-        known, sound = batch.known.to_numpy(), batch.sound.to_numpy()
+        known, sound, stored = batch.known.to_numpy(), batch.sound.to_numpy(), batch.stored.to_numpy()
         accepted[candidate & ~known] = True
         for at in np.flatnonzero(candidate & known & ~sound):
             key = (batch.producer.iat[at], batch.number.iat[at])
             accepted[at] = key != last_key
             last_key = key
         rows = np.flatnonzero(candidate & known & sound)
-        who, numbers = batch.producer.to_numpy()[rows], batch.number.to_numpy()[rows]
-        for begin, end in _runs(who):
-            if who[begin] != producer:
-                producer, seen = who[begin], SeenRanges()
-            part = numbers[begin:end]
-            fresh = ~seen.covers(part) & np.r_[True, part[1:] != part[:-1]]
-            accepted[rows[begin:end][fresh]] = True
-            seen.add(part)
-            seen.keep_from(part[-1])
-        yield pd.DataFrame({"number": batch.number, "known": known, "delivery_id": batch.delivery_id, "numbered": batch.numbered, "accepted": accepted})
-
-
-def _runs(values: np.ndarray) -> list[tuple[int, int]]:
-    if not len(values):
+        producers, places = batch.producer.to_numpy()[rows], batch.place.to_numpy()[rows]
+        numbers, highs, stored = batch.number.to_numpy()[rows], batch.high.to_numpy()[rows], stored[rows]
+        for begin, end in _runs(producers, places):
+            if (producers[begin], places[begin]) != shard:
+                shard, seen = (producers[begin], places[begin]), SeenRanges()
+            split = begin + int(stored[begin:end].sum())
+            if split > begin:
+                seen.add_ranges(numbers[begin:split], highs[begin:split])
+            if split < end:
+                part = numbers[split:end]
+                wanted, at = np.unique(part, return_index=True)
+                accepted[rows[split:end][at[~seen.covers(wanted)]]] = True
+                seen.add(wanted)
+        kept = ~batch.stored.to_numpy()
+        yield pd.DataFrame({"number": batch.number[kept], "known": known[kept], "delivery_id": batch.delivery_id[kept], "numbered": batch.numbered[kept], "accepted": accepted[kept]})
+
+
+def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    if not len(keys[0]):
         return []
-    cut = np.flatnonzero(values[1:] != values[:-1]) + 1
-    return list(zip(np.r_[0, cut].tolist(), np.r_[cut, len(values)].tolist(), strict=True))
+    cut = np.flatnonzero(np.any([key[1:] != key[:-1] for key in keys], axis=0)) + 1
+    return list(zip(np.r_[0, cut].tolist(), np.r_[cut, len(keys[0])].tolist(), strict=True))
 
 
-def resolve_deliveries(deliveries: DataFrame, producer: Column | None = None) -> DataFrame:
+def resolve_deliveries(deliveries: DataFrame, producer: Column | None = None, seen: DataFrame | None = None) -> DataFrame:
     """Say of each delivered row whether it is the kept copy: columns id, delivery_id, accepted.
 
     Identifiers are numbers of a producer's sequence; without ``producer`` all come from one counter. Each task first marks
     the copies that lose within its own input; what is left goes to the shard of its number, where the numbers seen are kept
-    as disjoint ranges and each uncovered number is accepted once. Losers travel by their delivery id, so a hot id isn't
-    gathered anywhere. Numbers below 1 are malformed and settled by exact key; rows without id are all accepted.
+    as disjoint ranges and each uncovered number is accepted once, in the order of preference. ``seen`` has the ranges of
+    earlier loads (as ``seen_ranges`` gives them): numbers they cover are not accepted again. Losers travel by their delivery
+    id, so a hot id isn't gathered anywhere. Numbers below 1 are malformed and settled by exact key; rows without id are all
+    accepted.
     """
     source = deliveries.select(
         (F.lit(0) if producer is None else producer).cast("long").alias("producer"),
@@ -141,9 +147,13 @@ def resolve_deliveries(deliveries: DataFrame, producer: Column | None = None) ->
     )
     columns = ", ".join(f"{c} {kind}" for c, kind in source.dtypes)
     thinned = source.mapInPandas(_best_of_task, f"{columns}, lost boolean")
-    shard = F.xxhash64("producer", F.shiftright("number", SHARD_BITS))
-    routed = thinned.repartition(F.when(F.col("lost") | ~F.col("known"), F.xxhash64("delivery_id")).otherwise(shard))
-    ordered = routed.sortWithinPartitions("lost", "sound", "producer", "number", "rank_edit", "rank_time", "rank_date", "delivery_id")
+    placed = thinned.withColumns({"place": F.when(F.col("sound"), F.shiftright("number", SHARD_BITS)).otherwise(F.col("number")), "high": F.col("number"), "stored": F.lit(False)})
+    if seen is not None:
+        none = {c: F.lit(0).cast(kind) for c, kind in source.dtypes if c not in ("producer", "number", "known", "sound")}
+        ranges = seen.select("producer", F.col("low").alias("number"), F.lit(True).alias("known"), F.lit(True).alias("sound"), *[v.alias(c) for c, v in none.items()], F.lit(False).alias("lost"), F.col("shard").alias("place"), "high", F.lit(True).alias("stored"))
+        placed = placed.unionByName(ranges)
+    routed = placed.repartition(F.when(F.col("lost") | ~F.col("known"), F.xxhash64("delivery_id")).otherwise(F.xxhash64("producer", "place")))
+    ordered = routed.sortWithinPartitions("lost", "sound", "producer", "place", F.desc("stored"), "rank_edit", "rank_time", "rank_date", "delivery_id")
     settled = ordered.mapInPandas(_accept_uncovered, "number long, known boolean, delivery_id long, numbered boolean, accepted boolean")
     return settled.select(F.when(F.col("known"), F.col("number")).alias("id"), F.when(F.col("numbered"), F.col("delivery_id")).alias("delivery_id"), "accepted")
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.operators.running import blocked_running_sum
+from chatlake.operators.running import beside, blocked_running_sum
 from chatlake.session import settle
 
 SIBLING_BLOCK = 65_536
@@ -25,6 +25,12 @@ SIBLING_BLOCK = 65_536
 LOCAL_ROWS = 100_000
 """Waiting nodes that one task may finish: a few megabytes."""
 
+RANGE_BLOCK = 256
+"""Preorder places of a block in which asked ranges meet the nodes below them."""
+
+PATH_PIECE = 64
+"""Steps of a piece of a path."""
+
 
 @dataclass
 class Upward:
@@ -40,6 +46,13 @@ def distinct_links(links: DataFrame, parent: str = "parent_id", child: str = "ch
     return ends.where("node is not null and parent is not null").groupBy("node").agg(F.min("parent").alias("parent"))
 
 
+def conflicting_links(links: DataFrame, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
+    """node, parent of the links that ``distinct_links`` leaves out: those of a child with several parents to any but the smallest."""
+    ends = links.select(F.col(child).cast("long").alias("node"), F.col(parent).cast("long").alias("parent")).where("node is not null and parent is not null").distinct()
+    several = ends.groupBy("node").agg(F.min("parent").alias("kept"), F.count("*").alias("n")).where("n > 1").select("node", "kept")
+    return ends.join(several, "node").where("parent <> kept").select("node", "parent")
+
+
 def with_roots(links: DataFrame) -> DataFrame:
     """The links and, with a null parent, each parent that is nobody's child."""
     tops = links.select(F.col("parent").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
@@ -243,20 +256,60 @@ def hierarchy(links: DataFrame, parent: str = "parent_id", child: str = "child_i
     return nodes.unionByName(loops.select("node_id", "root_id", F.lit(-1).cast("long").alias("depth"), none.alias("first"), none.alias("last"), F.col("parent").alias("parent_id")))
 
 
+def _dyadic(low: str, high: str) -> str:
+    """SQL of the aligned blocks (level, block) that exactly cover the closed range ``low``..``high``: at most two a level."""
+    steps = f"sequence(0, greatest(0, cast(ceil(log2({high} - {low} + 2)) as int)))"
+    left = f"shiftright({low} + shiftleft(1L, l) - 1, l)"
+    right = f"shiftright({high} + 1, l)"
+    first = f"if({left} < {right} and {left} % 2 = 1, array(named_struct('level', l, 'block', {left})), array())"
+    last = f"if({left} < {right} and {right} % 2 = 1, array(named_struct('level', l, 'block', {right} - 1)), array())"
+    return f"array_distinct(flatten(transform({steps}, l -> concat({first}, {last}))))"
+
+
 def ancestors(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs (node_id, ancestor_id, steps) of the ids in ``of`` (node_id), by the nested-set ranges of ``nodes``: exact for any depth."""
-    asked = nodes.join(of.select("node_id").distinct(), "node_id").select("node_id", "root_id", F.col("depth").alias("d"), F.col("first").alias("f"))
-    above = nodes.select(F.col("node_id").alias("ancestor_id"), "root_id", "depth", "first", "last")
-    inside = (F.col("f") > F.col("first")) & (F.col("f") <= F.col("last"))
-    return asked.join(above, "root_id").where(inside).select("node_id", "ancestor_id", (F.col("d") - F.col("depth")).alias("steps"))
+    """Pairs (node_id, ancestor_id, steps) of the ids in ``of`` (node_id), by the nested-set ranges of ``nodes``: exact for any depth.
+
+    A node's range below it is cut into aligned blocks, at most two a level, and each asked place lies in one block a level,
+    so the join has only equal keys, and even one tree with all nodes is spread over as many keys as it has blocks. Nodes on
+    or below loops have no ancestors here.
+    """
+    asked = nodes.join(of.select("node_id").distinct(), "node_id").where("depth > 0").select("node_id", "root_id", F.col("depth").alias("d"), F.col("first").alias("f"))
+    places = asked.select("*", F.expr("explode(transform(sequence(0, 62), l -> named_struct('level', l, 'block', shiftright(f, l))))").alias("b")).select("node_id", "root_id", "d", "b.level", "b.block")
+    above = nodes.where("depth >= 0 and last > first").select(F.col("node_id").alias("ancestor_id"), "root_id", "depth", F.expr(f"explode({_dyadic('(first + 1)', 'last')})").alias("b")).select("ancestor_id", "root_id", "depth", "b.level", "b.block")
+    levels = above.agg(F.max("level").alias("top"))
+    places = beside(places, levels).where("level <= top").drop("top")
+    return places.join(above, ["root_id", "level", "block"]).select("node_id", "ancestor_id", (F.col("d") - F.col("depth")).alias("steps"))
 
 
 def descendants(nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """Pairs (node_id, descendant_id, steps) of the ids in ``of`` (node_id), by nested-set ranges."""
-    asked = nodes.join(of.select("node_id").distinct(), "node_id").select("node_id", "root_id", F.col("depth").alias("d"), F.col("first").alias("f"), F.col("last").alias("l"))
-    below = nodes.select(F.col("node_id").alias("descendant_id"), "root_id", "depth", "first")
+    """Pairs (node_id, descendant_id, steps) of the ids in ``of`` (node_id), by nested-set ranges, in blocks of RANGE_BLOCK places.
+
+    An asked range is sent to the blocks it touches, about its size over RANGE_BLOCK, so no key holds more than a block's nodes.
+    """
+    asked = nodes.join(of.select("node_id").distinct(), "node_id").where("depth >= 0 and last > first").select("node_id", "root_id", F.col("depth").alias("d"), F.col("first").alias("f"), F.col("last").alias("l"))
+    sent = asked.withColumn("block", F.explode(F.sequence(F.floor((F.col("f") + 1) / RANGE_BLOCK), F.floor(F.col("l") / RANGE_BLOCK))))
+    below = nodes.where("depth > 0").select(F.col("node_id").alias("descendant_id"), "root_id", "depth", "first", F.floor(F.col("first") / RANGE_BLOCK).alias("block"))
     inside = (F.col("first") > F.col("f")) & (F.col("first") <= F.col("l"))
-    return asked.join(below, "root_id").where(inside).select("node_id", "descendant_id", (F.col("depth") - F.col("d")).alias("steps"))
+    return sent.join(below, ["root_id", "block"]).where(inside).select("node_id", "descendant_id", (F.col("depth") - F.col("d")).alias("steps"))
+
+
+def path_pieces(nodes: DataFrame, piece: int = PATH_PIECE, separator: str = "/") -> DataFrame:
+    """The scalable form of paths: node_id, head_id and the path from the head (left out) to the node, of at most ``piece`` steps.
+
+    The head is the nearest ancestor whose depth is a multiple of ``piece``, null for a root, so the table grows with the nodes
+    only, and a full path is the chain of the pieces of its heads. Nodes on or below loops have no piece.
+    """
+    live = settle(nodes.where("depth >= 0").select("node_id", F.col("parent_id").alias("reach"), (F.col("depth") - 1).alias("at"), F.col("node_id").cast("string").alias("path")))
+    step = 1
+    while step < piece:
+        above = live.select(F.col("node_id").alias("reach"), F.col("reach").alias("next"), F.col("at").alias("next_at"), F.col("path").alias("before"))
+        done = (F.col("at") < 0) | (F.col("at") % piece == 0)
+        live = settle(live.join(above, "reach", "left").select(
+            "node_id", F.when(done, F.col("reach")).otherwise(F.col("next")).alias("reach"), F.when(done, F.col("at")).otherwise(F.col("next_at")).alias("at"),
+            F.when(done, F.col("path")).otherwise(F.concat_ws(separator, "before", "path")).alias("path"),
+        ))
+        step *= 2
+    return live.select("node_id", F.col("reach").alias("head_id"), "path")
 
 
 def paths(nodes: DataFrame, separator: str = "/") -> DataFrame:

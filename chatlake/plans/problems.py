@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.operators.dedup import kept_copies, resolve_deliveries, seen_ranges
-from chatlake.operators.hierarchy import hierarchy, paths
+from chatlake.operators.hierarchy import hierarchy, path_pieces, paths
+from chatlake.operators.running import beside
 from chatlake.operators.sessions import sessionize
 from chatlake.session import read_table
 
@@ -31,6 +32,10 @@ def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
     return paths(hierarchy(reply_links(spark, folder)))
 
 
+def p4_path_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return path_pieces(hierarchy(reply_links(spark, folder)), 16)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return resolve_deliveries(read_table(spark, folder, "messages")).where("not accepted").select("id", "delivery_id")
 
@@ -43,6 +48,13 @@ def p5_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return seen_ranges(read_table(spark, folder, "messages"))
 
 
+def p5_later_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The deliveries of the later half of the batches that are accepted against the stored ranges of the earlier half."""
+    messages = read_table(spark, folder, "messages")
+    marked = beside(messages, messages.agg((F.max("batch_no") / 2).alias("middle")))
+    return resolve_deliveries(marked.where("batch_no > middle"), seen=seen_ranges(marked.where("batch_no <= middle"))).where("accepted").select("id", "delivery_id")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return sessionize(kept_copies(read_table(spark, folder, "messages").select("id", "delivery_id", "is_edited", "edited_unixtime", "date_unixtime", "from_id")))
 
@@ -52,7 +64,7 @@ def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.groupBy("from_id").agg(F.count("*").alias("n_sessions"), F.max("duration").alias("longest_duration"), F.sum("n_messages").cast("long").alias("n_messages"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranges": p4_ranges, "p4_paths": p4_paths, "p5_found": p5_found, "p5_kept": p5_kept, "p5_ranges": p5_ranges, "p7_found": p7_found, "p7_summary": p7_summary}
+QUERIES = {"p4_found": p4_found, "p4_ranges": p4_ranges, "p4_paths": p4_paths, "p4_path_pieces": p4_path_pieces, "p5_found": p5_found, "p5_kept": p5_kept, "p5_ranges": p5_ranges, "p5_later_batches": p5_later_batches, "p7_found": p7_found, "p7_summary": p7_summary}
 
 _COPIES = """
     SELECT *, CASE WHEN id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY id ORDER BY coalesce(is_edited = 1, false) DESC,
@@ -85,11 +97,16 @@ SQL = {
         SELECT node AS node_id, root AS root_id, depth, first, first + coalesce(n, 0) AS last, coalesce(n, 0) AS n_descendants
         FROM placed LEFT JOIN below ON above = node UNION ALL SELECT node, root, -1, NULL, NULL, NULL FROM loops""",
     "p4_paths": f"WITH RECURSIVE {_LINKS}, {_DOWN} SELECT node AS node_id, array_to_string(path, '/') AS path FROM down",
+    "p4_path_pieces": f"""WITH RECURSIVE {_LINKS}, {_DOWN} SELECT node AS node_id, CASE WHEN depth > 0 THEN path[(depth - 1) // 16 * 16 + 1] END AS head_id,
+        array_to_string(CASE WHEN depth > 0 THEN path[(depth - 1) // 16 * 16 + 2 :] ELSE path END, '/') AS path FROM down""",
     "p5_found": f"SELECT id, delivery_id FROM ({_COPIES}) WHERE copy_no > 1",
     "p5_kept": f"SELECT id, delivery_id FROM ({_COPIES}) WHERE copy_no = 1",
     "p5_ranges": """SELECT 0::BIGINT AS producer, id // 65536 AS shard, min(id) AS low, max(id) AS high FROM (
         SELECT id, id - row_number() OVER (PARTITION BY id // 65536 ORDER BY id) AS island FROM (SELECT DISTINCT id FROM messages WHERE id > 0))
         GROUP BY id // 65536, island""",
+    "p5_later_batches": f"""WITH half AS (SELECT max(batch_no) / 2 AS middle FROM messages), m AS (SELECT messages.* FROM messages, half WHERE batch_no > middle)
+        SELECT id, delivery_id FROM ({_COPIES.replace("FROM messages", "FROM m")}) WHERE copy_no = 1 AND (id IS NULL OR id < 1
+        OR id NOT IN (SELECT id FROM messages, half WHERE id IS NOT NULL AND batch_no <= middle))""",
     "p7_found": f"{_SESSIONS} SELECT * FROM sessions",
     "p7_summary": f"""{_SESSIONS} SELECT from_id, count(*) AS n_sessions, max(end_unixtime - start_unixtime) AS longest_duration,
         sum(n_messages)::BIGINT AS n_messages FROM sessions GROUP BY from_id""",
