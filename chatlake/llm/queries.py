@@ -132,3 +132,17 @@ SQL = {
     near AS (SELECT *, row_number() OVER (PARTITION BY store, me ORDER BY s DESC, other) AS nth FROM pairs QUALIFY nth <= 5)
     SELECT DISTINCT store, least(me, other) AS key_a, greatest(me, other) AS key_b FROM near WHERE s >= 0.9""",
 }
+
+# Letters and digits of full width and the plain ones they stand for.
+_WIDE, _PLAIN = ("".join(chr(c + shift) for first, last in (("0", "9"), ("A", "Z"), ("a", "z")) for c in range(ord(first), ord(last) + 1)) for shift in (0xFEE0, 0))
+_WORDS = f"regexp_extract_all(regexp_replace(lower(strip_accents(translate(text, '{_WIDE}', '{_PLAIN}'))), '[\\p{{M}}\\p{{Cf}}]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+_LEAKS = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
+    dw AS (SELECT DISTINCT doc_id, hash(array_to_string(w[k:k + 11], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+    iw AS (SELECT DISTINCT item_id, hash(array_to_string(w[k:k + 11], ' ')) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+    found AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (h))"""
+SQL["p8_found"] = f"{_LEAKS} SELECT doc_id, item_id FROM found"
+SQL["p8_clean"] = f"{_LEAKS} SELECT doc_id, source, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)"
+SQL["p8_longest"] = _LEAKS.replace("DISTINCT doc_id, hash", "doc_id, k, hash").replace("DISTINCT item_id, hash", "item_id, k, hash") + """,
+    pairs AS (SELECT DISTINCT doc_id, item_id, dw.k AS a, dw.k - iw.k AS way FROM dw JOIN iw USING (h)), runs AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, way ORDER BY a) AS run FROM pairs),
+    whole AS (SELECT doc_id, item_id, count(*) + 11 AS n_words, min(a) - 1 AS word_pos FROM runs GROUP BY doc_id, item_id, way, run)
+    SELECT * FROM whole QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, word_pos) = 1"""
