@@ -39,6 +39,12 @@ def chat_matching(user_id: str | None = None, from_text: str | None = None, to_t
     return all_of(parts)
 
 
+def chat_view(messages: DataFrame, condition: Column, found: DataFrame | None = None) -> DataFrame:
+    """Messages of the chat view; with ``found`` (id), the hits of a text search, only those."""
+    rows = messages.where(condition)
+    return rows if found is None else rows.join(found.select("id").distinct(), "id", "left_semi")
+
+
 def within(start: int, end: int) -> Column:
     """Closed at both ends."""
     return F.col("date_unixtime").between(start, end)

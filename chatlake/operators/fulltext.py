@@ -20,6 +20,9 @@ WEIGHTS = {"text_plain": 1.0, "from_name": 0.5}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 OKAPI_K1, OKAPI_B, OKAPI_EPSILON = 1.5, 0.75, 0.25
 
+BUCKETS = 32
+"""Folders a stored index is cut into by the first character of its terms."""
+
 _RUN = re.compile(r"[^\W_]+")
 _HEBREW_MARKS = re.compile("[֑-ׇֽֿׁׂׅׄ]")
 
@@ -35,42 +38,105 @@ def tokenize(text: str | None, strict: bool = False) -> list[str]:
     return _RUN.findall(text.lower())
 
 
+def bucket_of(term: str) -> int:
+    """Where the postings of a term, or of all terms with a prefix, are stored: by the first character."""
+    return ord(term[0]) % BUCKETS
+
+
+def bucketed(rows: DataFrame, term: str) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.ascii(term), F.lit(BUCKETS)))
+
+
 @dataclass
 class Index:
-    """postings: id, col, term, pos; documents: id, n_tokens over all columns."""
+    """table: bucket, term, id, col, n_tokens of the document over all columns, positions; documents: id, n_tokens; totals: one row n_docs, mean_tokens.
 
-    postings: DataFrame
+    Built in the query by ``build_index``, or read from where it was stored, so that a look-up reads the buckets of its terms only.
+    """
+
+    table: DataFrame
     documents: DataFrame
+    totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """id, col, term, pos, n_tokens of every occurrence."""
+        return self.table.select("id", "col", "term", F.explode("positions").alias("pos"), "n_tokens")
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """The stored rows of the buckets of some terms or prefixes."""
+        return self.table.where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms if t})))
+
+
+def posting_table(messages: DataFrame, columns: tuple[str, ...] = ("text_plain", "from_name"), strict: bool = False) -> DataFrame:
+    """bucket, term, id, col, n_tokens, positions: one row per word of a column of a document. Null texts have none."""
+    places = "array<struct<term:string,positions:array<int>>>"
+
+    @F.pandas_udf(f"struct<n:int,{','.join(f'{c}:{places}' for c in columns)}>")
+    def tokens(*texts: pd.Series) -> pd.DataFrame:
+        out: dict[str, list] = {"n": [0] * len(texts[0])} | {c: [] for c in columns}
+        for column, series in zip(columns, texts, strict=True):
+            for row, text in enumerate(series):
+                found: dict[str, list[int]] = {}
+                words = tokenize(text, strict)
+                for at, word in enumerate(words):
+                    found.setdefault(word, []).append(at)
+                out["n"][row] += len(words)
+                out[column].append([{"term": word, "positions": where} for word, where in found.items()])
+        return pd.DataFrame(out)
+
+    parted = messages.select("id", tokens(*[F.col(c) for c in columns]).alias("t"))
+
+    def of_column(name: str) -> Column:
+        return F.transform(f"t.{name}", lambda p: F.struct(F.lit(name).alias("col"), p["term"].alias("term"), p["positions"].alias("positions")))
+
+    parts = F.flatten(F.array(*map(of_column, columns)))
+    rows = parted.select("id", F.col("t.n").cast("long").alias("n_tokens"), F.explode(parts).alias("p"))
+    return bucketed(rows.select("p.term", "id", "p.col", "n_tokens", "p.positions"), "term")
+
+
+def document_table(messages: DataFrame, columns: tuple[str, ...] = ("text_plain", "from_name"), strict: bool = False) -> DataFrame:
+    """id, n_tokens of every row: a document without a word has 0."""
+
+    @F.pandas_udf("long")
+    def count(*texts: pd.Series) -> pd.Series:
+        return sum(series.map(lambda t: len(tokenize(t, strict))) for series in texts)
+
+    return messages.select("id", count(*[F.col(c) for c in columns]).alias("n_tokens"))
+
+
+def totals_of(documents: DataFrame) -> DataFrame:
+    """n_docs, sum_tokens: the numbers of a set of documents, which add up over sets."""
+    return documents.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("sum_tokens"))
 
-def build_index(messages: DataFrame, columns: tuple[str, ...] = ("text_plain", "from_name"), strict: bool = False) -> Index:
-    """Postings of the text columns; null texts have none, but every row is a document."""
 
-    @F.pandas_udf("array<string>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: tokenize(t, strict))
+def mean_totals(parts: DataFrame) -> DataFrame:
+    """n_docs, mean_tokens from the totals of sets of documents."""
+    return parts.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), (F.sum("sum_tokens") / F.sum("n_docs")).alias("mean_tokens"))
 
-    parted = messages.select("id", *[tokens(c).alias(c) for c in columns])
-    documents = parted.select("id", reduce(lambda a, b: a + b, [F.size(c) for c in columns]).cast("long").alias("n_tokens"))
-    postings = [parted.select("id", F.lit(c).alias("col"), F.posexplode(c).alias("pos", "term")) for c in columns]
-    return Index(reduce(DataFrame.unionByName, postings), documents)
+
+def build_index(messages: DataFrame, columns: tuple[str, ...] = ("text_plain", "from_name"), strict: bool = False) -> Index:
+    """An index of the text columns that lives in the query; ``sinks.store`` keeps the same tables for many queries."""
+    documents = document_table(messages, columns, strict)
+    return Index(posting_table(messages, columns, strict), documents, mean_totals(totals_of(documents)))
 
 
 def _starts(index: Index, phrase: Q.Phrase) -> DataFrame:
-    """id, col, start of each occurrence of a phrase, by one aggregation over the postings of its words."""
+    """id, col, start, n_tokens of each occurrence of a phrase, by one aggregation over the postings of its words."""
     tests = []
     for i, token in enumerate(phrase.tokens):
         same = F.col("term").startswith(token) if phrase.prefix and i == len(phrase.tokens) - 1 else F.col("term") == token
         tests.append((i, same))
-    rows = index.postings.where(reduce(lambda a, b: a | b, [test for _, test in tests]))
+    rows = index.of(phrase.tokens).where(reduce(lambda a, b: a | b, [test for _, test in tests]))
     if phrase.columns is not None:
         rows = rows.where(F.col("col").isin(*phrase.columns))
+    rows = rows.select("id", "col", "term", F.explode("positions").alias("pos"), "n_tokens")
     if len(tests) == 1:
-        found = rows.select("id", "col", F.col("pos").alias("start"))
+        found = rows.select("id", "col", F.col("pos").alias("start"), "n_tokens")
     else:
         places = F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in tests]))
-        spread = rows.select("id", "col", "pos", F.explode(places).alias("place")).withColumn("start", F.col("pos") - F.col("place"))
-        found = spread.groupBy("id", "col", "start").agg(F.countDistinct("place").alias("n")).where(F.col("n") == len(tests)).drop("n")
+        spread = rows.select("id", "col", "pos", "n_tokens", F.explode(places).alias("place")).withColumn("start", F.col("pos") - F.col("place"))
+        found = spread.groupBy("id", "col", "start", "n_tokens").agg(F.countDistinct("place").alias("n")).where(F.col("n") == len(tests)).drop("n")
     return found.where("start = 0") if phrase.first else found
 
 
@@ -85,7 +151,7 @@ def _near(index: Index, near: Q.Near) -> DataFrame:
     for size in sorted({len(p.tokens) for p in near.phrases}):
         frame = Window.partitionBy("id", "col").orderBy("start").rangeBetween(0, near.distance + size)
         seen = rows.withColumn("seen", F.size(F.collect_set("number").over(frame)))
-        hits.append(seen.where((F.col("size") == size) & (F.col("seen") == len(near.phrases))).select("id", "col", "start"))
+        hits.append(seen.where((F.col("size") == size) & (F.col("seen") == len(near.phrases))).select("id", "col", "start", "n_tokens"))
     return reduce(DataFrame.unionByName, hits)
 
 
@@ -103,15 +169,14 @@ def match(index: Index, query: str, columns: tuple[str, ...] = ("text_plain", "f
         if isinstance(leaf, Q.Phrase) and not leaf.tokens:
             continue
         found = _near(index, leaf) if isinstance(leaf, Q.Near) else _starts(index, leaf)
-        counted.append(found.groupBy("id").agg(F.sum(weight).alias("f")).withColumn("leaf", F.lit(number)))
+        counted.append(found.groupBy("id", "n_tokens").agg(F.sum(weight).alias("f")).withColumn("leaf", F.lit(number)))
     if not counted:
         return index.documents.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
     hits = reduce(DataFrame.unionByName, counted)
-    total = index.documents.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
     share = hits.groupBy("leaf").agg(F.count("*").alias("n"))
     idf = F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = share.transform(beside, total).select("leaf", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"), "mean_tokens")  # a row per leaf
-    scored = hits.join(F.broadcast(idf), "leaf").join(index.documents, "id")
+    idf = share.transform(beside, index.totals).select("leaf", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"), "mean_tokens")  # a row per leaf
+    scored = hits.join(F.broadcast(idf), "leaf")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean_tokens")))
     flat = scored.groupBy("id").agg((-F.sum(part)).alias("score"), *[F.max(F.col("leaf") == n).alias(f"has_{n}") for n in range(len(parts))])
     number = iter(range(len(parts)))
@@ -142,14 +207,14 @@ def search(messages: DataFrame, index: Index, query: str, condition: Column | No
 def search_words(index: Index, words: list[str], every: bool) -> DataFrame:
     """Ids of the documents with every one, or any, of the words."""
     wanted = sorted({t for word in words for t in tokenize(word)})
-    hits = index.postings.where(F.col("term").isin(*wanted)).groupBy("id").agg(F.countDistinct("term").alias("n"))
+    hits = index.of(wanted).where(F.col("term").isin(*wanted)).groupBy("id").agg(F.countDistinct("term").alias("n"))
     return hits.where(F.col("n") == len(wanted)).select("id") if every else hits.select("id")
 
 
 def search_prefix(index: Index, prefix: str) -> DataFrame:
     """Ids of the documents with a word that starts so."""
     token = (tokenize(prefix) or [""])[0]
-    return index.postings.where(F.col("term").startswith(token)).select("id").distinct()
+    return index.of([token]).where(F.col("term").startswith(token)).select("id").distinct() if token else index.table.select("id").distinct()
 
 
 def keyword_fallback(messages: DataFrame, index: Index, query: str, limit: int = 20) -> DataFrame:
@@ -184,44 +249,81 @@ def trigram_postings(messages: DataFrame) -> DataFrame:
     return sets.select("id", F.size("set").alias("n_trigrams"), F.posexplode("set").alias("position", "trigram"))
 
 
-def fuzzy(messages: DataFrame, query: str, threshold: float = 0.3, limit: int = 50) -> DataFrame:
-    """Messages whose trigram set overlaps the query's by at least ``threshold`` (Jaccard), best first; ties by id."""
-    wanted = messages.sparkSession.range(1).select(F.explode(trigrams(F.lit(query))).alias("trigram"))
-    asked = F.broadcast(wanted)  # the trigrams of one query
-    size = wanted.agg(F.count("*").alias("q"))
-    shared = trigram_postings(messages).join(asked, "trigram").groupBy("id", "n_trigrams").agg(F.count("*").alias("c"))
-    scored = shared.transform(beside, size).select("id", (F.col("c") / (F.col("q") + F.col("n_trigrams") - F.col("c"))).alias("similarity"))
+def trigram_table(messages: DataFrame) -> DataFrame:
+    """bucket, trigram, id, n_trigrams, position: the trigram postings as they are stored."""
+    return bucketed(trigram_postings(messages), "trigram")
+
+
+def fuzzy(postings: DataFrame, query: str, threshold: float = 0.3, limit: int = 50) -> DataFrame:
+    """Messages whose trigram set overlaps the query's by at least ``threshold`` (Jaccard), best first; ties by id.
+
+    ``postings`` is a ``trigram_table``, stored or not; only the trigrams of the query are read.
+    """
+    spark = postings.sparkSession
+    asked = sorted(r[0] for r in spark.range(1).select(F.explode(trigrams(F.lit(query)))).collect())  # the trigrams of one query
+    own = postings.where(F.col("bucket").isin(sorted({bucket_of(t) for t in asked})) & F.col("trigram").isin(asked)) if asked else postings.where(F.lit(False))
+    shared = own.groupBy("id", "n_trigrams").agg(F.count("*").alias("c"))
+    scored = shared.select("id", (F.col("c") / (F.lit(len(asked)) + F.col("n_trigrams") - F.col("c"))).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
 @dataclass
 class OkapiIndex:
-    """terms: id, term, tf; documents: id, n_tokens."""
+    """terms: bucket, term, id, tf, n_tokens; documents: id, n_tokens; totals: n_docs, mean_tokens; idf: one row mean_idf over all terms."""
 
     terms: DataFrame
     documents: DataFrame
+    totals: DataFrame
+    mean_idf: DataFrame
 
 
-def okapi_index(messages: DataFrame, min_length: int = 5) -> OkapiIndex:
-    """Word counts of the messages with more than ``min_length`` characters."""
+def okapi_table(messages: DataFrame, min_length: int = 5) -> DataFrame:
+    """bucket, term, id, tf, n_tokens of the messages with more than ``min_length`` characters."""
     words = messages.where(F.length("text_plain") > min_length).select("id", unicode_words(F.col("text_plain")).alias("words"))
-    return OkapiIndex(words.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), words.select("id", F.size("words").cast("long").alias("n_tokens")))
+    counted = words.select("id", F.size("words").cast("long").alias("n_tokens"), F.explode("words").alias("term")).groupBy("id", "n_tokens", "term").agg(F.count("*").alias("tf"))
+    return bucketed(counted.select("term", "id", "tf", "n_tokens"), "term")
 
 
-def okapi(index: OkapiIndex, query: str, limit: int = 20) -> DataFrame:
-    """id, score above 0 by Okapi BM25; a repeated query word counts again; negative idf becomes a share of the mean idf of all words."""
-    asked: dict[str, int] = {}
-    for token in re.findall(r"\w+", query.lower()):
-        asked[token] = asked.get(token, 0) + 1
-    if not asked:
-        return index.documents.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
-    total = index.documents.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("mean_tokens"))
-    shares = index.terms.groupBy("term").agg(F.count("*").alias("n")).transform(beside, total).withColumn("idf", F.ln(F.col("n_docs") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5))
-    mean = shares.agg(F.avg("idf").alias("mean_idf"))
-    wanted = index.terms.sparkSession.createDataFrame(list(asked.items()), "term string, times long")
-    idf = shares.join(F.broadcast(wanted), "term").transform(beside, mean).select("term", "times", "mean_tokens", F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+def okapi_documents(messages: DataFrame, min_length: int = 5) -> DataFrame:
+    return messages.where(F.length("text_plain") > min_length).select("id", F.size(unicode_words(F.col("text_plain"))).cast("long").alias("n_tokens"))
+
+
+def term_counts(terms: DataFrame) -> DataFrame:
+    """term, n: how many documents have it; counts of parts add up."""
+    return terms.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def mean_idf(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row: the mean idf of all terms."""
+    return beside(counts, totals).agg(F.avg(F.ln(F.col("n_docs") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5)).alias("mean_idf"))
+
+
+def okapi_index(messages: DataFrame, min_length: int = 5) -> OkapiIndex:
+    """Word counts of the messages with more than ``min_length`` characters, in the query."""
+    terms, documents = okapi_table(messages, min_length), okapi_documents(messages, min_length)
+    totals = mean_totals(totals_of(documents))
+    return OkapiIndex(terms, documents, totals, mean_idf(term_counts(terms), totals))
+
+
+def okapi_many(index: OkapiIndex, queries: list[str]) -> DataFrame:
+    """query (number), id, score above 0 by Okapi BM25 for several queries in one look-up.
+
+    A repeated query word counts again; negative idf becomes a share of the mean idf of all words.
+    """
+    asked: dict[tuple[int, str], int] = {}
+    for number, query in enumerate(queries):
+        for token in re.findall(r"\w+", query.lower()):
+            asked[number, token] = asked.get((number, token), 0) + 1
+    terms = sorted({t for _, t in asked})
+    own = index.terms.where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(terms)) if terms else index.terms.where(F.lit(False))
+    wanted = F.broadcast(index.terms.sparkSession.createDataFrame([(n, t, times) for (n, t), times in asked.items()], "query int, term string, times long"))
+    raw = F.ln(F.col("n_docs") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5)
+    idf = term_counts(own).transform(beside, index.totals).withColumn("idf", raw).transform(beside, index.mean_idf).select("term", "mean_tokens", F.when(F.col("idf") < 0, OKAPI_EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (OKAPI_K1 + 1) / (F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("n_tokens") / F.col("mean_tokens")))
-    scored = index.terms.join(F.broadcast(idf), "term").join(index.documents, "id").groupBy("id").agg(F.sum(part).alias("score"))
-    return scored.where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+    scored = own.join(F.broadcast(idf), "term").join(wanted, "term").groupBy("query", "id").agg(F.sum(part).alias("score"))
+    return scored.where("score > 0")
 
 
+def okapi(index: OkapiIndex, query: str, limit: int = 20) -> DataFrame:
+    """id, score of the best messages of one query; ties by id."""
+    return okapi_many(index, [query]).select("id", "score").orderBy(F.desc("score"), "id").limit(limit)

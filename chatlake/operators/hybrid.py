@@ -6,10 +6,10 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.operators.fulltext import OkapiIndex, okapi
+from chatlake.operators.fulltext import OkapiIndex, okapi_many
 from chatlake.operators.replies import around_many
 from chatlake.operators.vectors import hashing_encoder, nearest
 from chatlake.operators.running import beside
@@ -45,8 +45,9 @@ def search(chunks: DataFrame, index: OkapiIndex, query: str, limit: int = 20, ve
         vector = [float(x) for x in encoder([text])[0]]
         hits = nearest(chunks, vector, "chunk_id", 2 * limit, -1.0)
         parts.append(hits.select(F.explode("message_ids").alias("message_id"), (F.col("score") * vector_weight).alias("vector_score"), zero.alias("keyword_score"), F.col("text").alias("chunk_text"), F.lit(number).alias("variant")))
-        words = okapi(index, text, 2 * limit)
-        parts.append(words.select(F.col("id").alias("message_id"), zero.alias("vector_score"), (F.col("score") * keyword_weight / 10).alias("keyword_score"), none.alias("chunk_text"), F.lit(number).alias("variant")))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    words = okapi_many(index, asked).withColumn("nth", nth).where(F.col("nth") <= 2 * limit)
+    parts.append(words.select(F.col("id").alias("message_id"), zero.alias("vector_score"), (F.col("score") * keyword_weight / 10).alias("keyword_score"), none.alias("chunk_text"), F.col("query").alias("variant")))
     best = reduce(DataFrame.unionByName, parts).groupBy("message_id").agg(
         F.greatest(zero, F.max("vector_score")).alias("vector_score"), F.greatest(zero, F.max("keyword_score")).alias("keyword_score"),
         F.min_by("chunk_text", F.when(F.col("chunk_text").isNotNull(), F.struct("variant", -F.col("vector_score"), "chunk_text"))).alias("chunk_text"),

@@ -70,3 +70,15 @@ def in_order(pairs: DataFrame) -> DataFrame:
 def top_in_range(messages: DataFrame, start: int, end: int, field: str, k: int) -> DataFrame:
     """The k messages of a closed time range with the largest field; ties by id."""
     return messages.where(F.col("date_unixtime").between(start, end)).orderBy(F.desc(field), "id").limit(k)
+
+
+def time_rank(messages: DataFrame, field: str, key: int) -> DataFrame:
+    """One row: rank, the number of distinct values of a field up to a key (1-based rank of a value that is there)."""
+    return rank_of(messages.where(F.col(field).isNotNull()).select(F.col(field).alias("key")), key)
+
+
+def record_at_rank(messages: DataFrame, field: str, k: int) -> DataFrame:
+    """The message whose value of a field is the k-th smallest distinct one; of several the one with the greatest id."""
+    rows = messages.where(F.col(field).isNotNull())
+    value = rows.select(field).distinct().orderBy(field).offset(k - 1).limit(1)
+    return rows.join(F.broadcast(value), field, "left_semi").orderBy(F.desc("id")).limit(1)

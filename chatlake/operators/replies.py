@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import time as T
 from chatlake.functions.text import preview
-from chatlake.operators.running import beside
-
-HITS = 1000
-"""Longest result list whose surroundings are looked up in one query."""
+from chatlake.operators.running import beside, ranged_running_sum
+from chatlake.session import settle
 
 
 def answered(messages: DataFrame) -> DataFrame:
@@ -77,17 +75,18 @@ def around(messages: DataFrame, message_id: int, k: int, order: str = "date_unix
 
 
 def around_many(messages: DataFrame, hits: DataFrame, k: int) -> DataFrame:
-    """For each of at most HITS hits (hit_id) the k messages strictly before and after it in time: hit_id, id, position.
+    """For each hit (hit_id) the k messages strictly before and after it in time: hit_id, id, position (-k..-1, 1..k).
 
-    The hits are a result list of bounded length and are broadcast; the rank windows keep k rows per hit before the exchange.
+    All messages are numbered by (date_unixtime, id) once; a hit asks for the k numbers on either side of those that share its
+    time, so hits of any number meet the messages by equal numbers. Hits without a message or time have no neighbours.
     """
-    times = hits.select("hit_id").join(messages.select(F.col("id").alias("hit_id"), F.col("date_unixtime").alias("mark")), "hit_id")
-    pairs = messages.select("id", "date_unixtime").join(F.broadcast(times.orderBy("hit_id").limit(HITS)), F.lit(True))
-    near = Window.partitionBy("hit_id").orderBy(F.desc("date_unixtime"), F.desc("id"))
-    far = Window.partitionBy("hit_id").orderBy("date_unixtime", "id")
-    before = pairs.where("date_unixtime < mark").withColumn("n", F.row_number().over(near)).where(F.col("n") <= k).select("hit_id", "id", (-F.col("n")).alias("position"))
-    after = pairs.where("date_unixtime > mark").withColumn("n", F.row_number().over(far)).where(F.col("n") <= k).select("hit_id", "id", F.col("n").alias("position"))
-    return before.unionByName(after)
+    timed = messages.select("id", "date_unixtime").where("date_unixtime is not null")
+    numbered = settle(ranged_running_sum(timed, [], ["date_unixtime", "id"], {"place": F.lit(1)}))
+    asked = settle(hits.select("hit_id").distinct().join(timed.select(F.col("id").alias("hit_id"), "date_unixtime"), "hit_id"))
+    same = numbered.join(asked.select("date_unixtime").distinct(), "date_unixtime", "left_semi").groupBy("date_unixtime").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    steps = asked.join(same, "date_unixtime").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    wanted = steps.select("hit_id", F.explode(F.array(F.struct((F.col("low") - F.col("n")).alias("place"), (-F.col("n")).alias("position")), F.struct((F.col("high") + F.col("n")).alias("place"), F.col("n").alias("position")))).alias("w"))
+    return wanted.select("hit_id", "w.place", "w.position").join(numbered.select("place", "id"), "place").select("hit_id", "id", "position")
 
 
 def chat_page(messages: DataFrame, entities: DataFrame, condition: Column | None = None, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 1000
-"""Most rows a sample of texts may have; it is compared as a whole and sent to every task."""
+"""A sample up to this size is sent to every task and compared there; more texts are compared in blocks."""
 
 BAND = math.log(1.2)
 """Texts of one band differ in length by less than 20 %; narrower bands mean more and smaller comparisons."""
@@ -90,14 +90,17 @@ def similar_to(messages: DataFrame, message_id: int, threshold: float = 0.7, lim
 
 
 def similar_pairs(sample: DataFrame, threshold: float = 0.7, min_length: int = 20, other_user: bool = False) -> DataFrame:
-    """Pairs id_1 < id_2 of a bounded sample (id, from_id, text_plain) with their similarity.
+    """Pairs id_1 < id_2 of a sample (id, from_id, text_plain) with their similarity; ``other_user`` leaves out pairs of one sender.
 
-    The sample, at most SAMPLE rows, is sent to every task and each row is compared with the later ones, so nothing is
-    shuffled; a larger sample is refused, not cut. ``other_user`` leaves out pairs of one sender.
+    Up to SAMPLE rows are sent to every task and each is compared with the later ones, so nothing is shuffled; a larger sample
+    is compared in blocks, as ``similar_texts`` does, with the same result.
     """
     rows = sample.where(F.length("text_plain") >= min_length).select("id", "from_id", "text_plain").orderBy("id").limit(SAMPLE + 1).collect()
     if len(rows) > SAMPLE:
-        raise ValueError(f"the sample has more than {SAMPLE} texts")
+        found = expanded(similar_texts(sample, threshold, min_length), text_classes(sample, min_length))
+        senders = sample.select("id", "from_id")
+        one, two = senders.toDF("id_1", "from_1"), senders.toDF("id_2", "from_2")
+        return found if not other_user else found.join(one, "id_1").join(two, "id_2").where("not (from_1 <=> from_2)").select("id_1", "id_2", "similarity")
     texts = [(r.id, r.from_id, r.text_plain, Counter(r.text_plain)) for r in rows]
     spark = sample.sparkSession
     shared = spark.sparkContext.broadcast(texts)
@@ -169,10 +172,24 @@ def _compared(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float)
     return pd.DataFrame(out, columns=["rep_1", "rep_2", "similarity"])
 
 
-def all_similar_pairs(messages: DataFrame, threshold: float = 0.7, min_length: int = 20) -> DataFrame:
-    """Every pair id_1 < id_2 of messages (id, text_plain) of at least ``min_length`` with similarity at the threshold; no sample, no limit.
+def text_classes(messages: DataFrame, min_length: int = 20) -> DataFrame:
+    """id, class_id: messages with one and the same text of at least ``min_length`` form a class, named by its smallest id. Null ids and texts have none."""
+    rows = messages.where((F.length("text_plain") >= max(1, min_length)) & F.col("id").isNotNull()).select("id", F.col("text_plain").alias("text"))
+    return rows.join(rows.groupBy("text").agg(F.min("id").alias("class_id")), "text").select("id", "class_id").distinct()
+
+
+def expanded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id_1 < id_2, similarity of single messages from pairs of classes and their members: for samples only, copies multiply."""
+    one, two = classes.select(F.col("class_id").alias("class_1"), F.col("id").alias("a")), classes.select(F.col("class_id").alias("class_2"), F.col("id").alias("b"))
+    across = pairs.join(one, "class_1").join(two, "class_2").select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"), "similarity")
+    equal = one.join(two, F.col("class_1") == F.col("class_2")).where("a < b").select(F.col("a").alias("id_1"), F.col("b").alias("id_2"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(equal)
 
-    Equal texts are compared once. The others stand in bands of like length, cut into blocks; only blocks whose lengths allow
+
+def similar_texts(messages: DataFrame, threshold: float = 0.7, min_length: int = 20) -> DataFrame:
+    """class_1 < class_2, similarity: every pair of different texts of at least ``min_length`` at the threshold; no sample, no limit.
+
+    Equal texts are one class (``text_classes``), so copies cost nothing. The others stand in bands of like length, cut into blocks; only blocks whose lengths allow
     the threshold meet, and in them the bounds of ``_possible`` come first. Work still grows with the square of the distinct texts.
     """
     if not 0 < threshold <= 1:
@@ -180,8 +197,8 @@ def all_similar_pairs(messages: DataFrame, threshold: float = 0.7, min_length: i
     from chatlake.session import settle
 
     rows = messages.where((F.length("text_plain") >= max(1, min_length)) & F.col("id").isNotNull()).select("id", F.col("text_plain").alias("text"))
-    members = settle(rows.join(rows.groupBy("text").agg(F.min("id").alias("rep")), "text").select("rep", "id", "text").distinct())
-    classes = members.where("id = rep").select("rep", "text", F.floor(F.log(F.length("text").cast("double")) / BAND).cast("long").alias("band"))
+    members = settle(rows.groupBy("text").agg(F.min("id").alias("rep")))
+    classes = members.select("rep", "text", F.floor(F.log(F.length("text").cast("double")) / BAND).cast("long").alias("band"))
     parts = classes.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
     placed = classes.join(F.broadcast(parts), "band").select("rep", "text", "band", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
     reach = math.ceil(-math.log(threshold) / BAND) + 1
@@ -199,10 +216,7 @@ def all_similar_pairs(messages: DataFrame, threshold: float = 0.7, min_length: i
     keyed = sent.select("rep", "text", "above", (F.col("lower") == F.col("upper")).alias("own"), *[F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("lower", "upper") for y in ("band", "part")])
     found = keyed.repartition(4 * int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lower_band", "lower_part", "upper_band", "upper_part")
     found = found.groupBy("lower_band", "lower_part", "upper_band", "upper_part").applyInPandas(compare, "rep_1 long, rep_2 long, similarity double")
-    one, two = members.select(F.col("rep").alias("rep_1"), F.col("id").alias("a")), members.select(F.col("rep").alias("rep_2"), F.col("id").alias("b"))
-    across = found.join(one, "rep_1").join(two, "rep_2").select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"), "similarity")
-    equal = one.join(two, F.col("rep_1") == F.col("rep_2")).where("a < b").select(F.col("a").alias("id_1"), F.col("b").alias("id_2"), F.lit(1.0).alias("similarity"))
-    return across.unionByName(equal)
+    return found.select(F.least("rep_1", "rep_2").alias("class_1"), F.greatest("rep_1", "rep_2").alias("class_2"), "similarity")
 
 
 def reposts(messages: DataFrame, threshold: float = 0.9, newest: int = 500, min_length: int = 50) -> DataFrame:

@@ -182,36 +182,86 @@ def _block_pairs(rows: DataFrame, n: int) -> DataFrame:
     return spread.withColumn("pair", F.least("own", "other") * blocks + F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
 
 
+def least_features(threshold: float) -> float:
+    """The smallest feature cosine with which two authors can reach a similarity, all other parts being 1."""
+    steps = [*STEPS, (-1.0, FAR)]
+    for low, factor in reversed(steps):
+        high = next((least for least, f in reversed(STEPS) if least > low), 1.0)
+        if overall(high - 1e-12, 1.0, 1.0) >= threshold or overall(low, 1.0, 1.0) >= threshold:
+            return low
+    return 2.0
+
+
 def similar_authors(found: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Pairs user_1 < user_2 of ``profiles`` with their similarity and its parts, at least ``threshold``; compared block by block."""
+    """Pairs user_1 < user_2 of ``profiles`` with their similarity, its parts and the traits they share, at least ``threshold``.
+
+    Authors meet block by block; one product of matrices gives the feature cosines of a pair of blocks, and only pairs whose
+    cosine can reach the threshold are compared further, by aligned columns of shares.
+    """
     found = settle(found)
-    columns = ["from_id", "vector", "hours", "bigrams", "trigrams", "word_bigrams"]
+    kinds = ("bigrams", "trigrams", "word_bigrams")
+    columns = ["from_id", "vector", "hours", *kinds]
+    least = least_features(threshold)
+
+    def aligned(maps: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        places: dict[str, int] = {}
+        rows = [dict(m) if m is not None else {} for m in maps]
+        for row in rows:
+            for gram in row:
+                places.setdefault(gram, len(places))
+        out = np.zeros((len(rows), max(1, len(places))))
+        for i, row in enumerate(rows):
+            out[i, [places[g] for g in row]] = list(row.values())
+        return out, out.sum(1)
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("from_id").reset_index(drop=True)
-        alone = part.side.nunique() == 1
+        side = part.side.to_numpy()
         unit = np.array(part.vector.tolist(), float)
         lengths = np.linalg.norm(unit, axis=1, keepdims=True)
         unit = np.divide(unit, lengths, out=np.zeros_like(unit), where=lengths > 0)
         cosines = unit @ unit.T
+        wanted = np.triu(cosines >= least - 1e-9, 1)
+        if side.any() and not side.all():
+            wanted &= side[:, None] != side[None, :]
         hours = np.array(part.hours.tolist(), float)
-        maps = {k: [dict(m) if m is not None else None for m in part[k]] for k in ("bigrams", "trigrams", "word_bigrams")}
+        tables = {k: aligned(part[k]) for k in kinds}
         out = []
-        for i in range(len(part)):
-            for j in range(i + 1, len(part)):
-                if not alone and part.side[i] == part.side[j]:
-                    continue
-                parts = {k: weighted_jaccard(m[i], m[j]) for k, m in maps.items()}
-                score = overall(float(cosines[i, j]), parts["bigrams"], parts["trigrams"])
+        for i in np.flatnonzero(wanted.any(1)):
+            others = np.flatnonzero(wanted[i])
+            parts = {}
+            for k, (shares, sums) in tables.items():
+                both = np.minimum(shares[i], shares[others]).sum(1)
+                most = sums[i] + sums[others] - both
+                parts[k] = np.divide(both, most, out=np.zeros(len(others)), where=(most > 0) & (sums[i] > 0) & (sums[others] > 0))
+            for at, j in enumerate(others):
+                values = [float(parts[k][at]) for k in kinds]
+                score = overall(float(cosines[i, j]), *values[:2])
                 if score >= threshold:
-                    out.append((part.from_id[i], part.from_id[j], score, float(cosines[i, j]), parts["bigrams"], parts["trigrams"], parts["word_bigrams"], float(hours[i] @ hours[j])))
-        return pd.DataFrame(out, columns=["user_1", "user_2", "similarity", "features", "bigrams", "trigrams", "word_bigrams", "hours"])
+                    out.append((part.from_id[i], part.from_id[j], score, float(cosines[i, j]), *values, float(hours[i] @ hours[j])))
+        return pd.DataFrame(out, columns=["user_1", "user_2", "similarity", "features", *kinds, "hours"])
 
     pairs = _block_pairs(found.select(*columns), found.count())
     schema = "user_1 string, user_2 string, similarity double, features double, bigrams double, trigrams double, word_bigrams double, hours double"
     return pairs.groupBy("pair").applyInPandas(compare, schema)
 
 
+TRAITS = ("avg_message_length", "hebrew_ratio", "emoji_ratio", "formality_score", "slang_rate", "repeated_chars_rate", "weekend_ratio", "night_owl_ratio")
+
+
+def explained(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs of ``similar_authors`` with ``shared``: the traits both have, by the rules of ``explanations``, as an array."""
+    own = found.select("from_id", F.struct(*TRAITS).alias("traits"))
+    joined = pairs.join(own.toDF("user_1", "a"), "user_1").join(own.toDF("user_2", "b"), "user_2")
+
+    @F.pandas_udf("array<string>")
+    def shared(a: pd.DataFrame, b: pd.DataFrame, hours: pd.Series, bigrams: pd.Series, word_bigrams: pd.Series) -> pd.Series:
+        rows = zip(a.to_dict("records"), b.to_dict("records"), hours, bigrams, word_bigrams, strict=True)
+        return pd.Series([explanations(x, y, {"hours": h, "bigrams": g, "word_bigrams": w}) for x, y, h, g, w in rows])
+
+    return joined.withColumn("shared", shared("a", "b", "hours", "bigrams", "word_bigrams")).drop("a", "b")
+
+
 def clusters(found: DataFrame, eps: float = EPS) -> DataFrame:
     """from_id, cluster (its smallest member) of the authors within ``eps`` cosine distance in standardised features.
 

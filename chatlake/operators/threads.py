@@ -27,9 +27,14 @@ def roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent_id").alias("node_id")).distinct().join(edges.select(F.col("child_id").alias("node_id")), "node_id", "left_anti")
 
 
-def _of(nodes: DataFrame, node: int) -> DataFrame:
-    """The one row of a node, to be broadcast."""
-    return F.broadcast(nodes.where(F.col("node_id") == node).select(F.col("root_id").alias("r"), F.col("depth").alias("d"), F.col("first").alias("f"), F.col("last").alias("l")))
+def _place(nodes: DataFrame, node: int) -> dict | None:
+    """Root, depth and range of one node; None if it isn't there. One row comes to the driver, so the tree is then read by its root alone."""
+    found = nodes.where(F.col("node_id") == node).select("root_id", "depth", "first", "last").first()
+    return found.asDict() if found else None
+
+
+def _tree(nodes: DataFrame, place: dict | None) -> DataFrame:
+    return nodes.where(F.col("root_id") == place["root_id"]) if place else nodes.where(F.lit(False))
 
 
 def subtree(nodes: DataFrame, node: int) -> DataFrame:
@@ -37,31 +42,37 @@ def subtree(nodes: DataFrame, node: int) -> DataFrame:
 
     Pre-order places are differences of nested-set numbers; level order is (depth, node_id). Nodes on loops have none.
     """
-    inside = nodes.join(_of(nodes, node), (F.col("root_id") == F.col("r")) & F.col("first").between(F.col("f"), F.col("l")))
-    return inside.select("node_id", (F.col("depth") - F.col("d")).alias("depth"), (F.col("first") - F.col("f")).alias("place"))
+    at = _place(nodes, node)
+    if not at or at["first"] is None:
+        return nodes.where(F.lit(False)).select("node_id", "depth", F.col("first").alias("place"))
+    return _tree(nodes, at).where(F.col("first").between(at["first"], at["last"])).select("node_id", (F.col("depth") - at["depth"]).alias("depth"), (F.col("first") - at["first"]).alias("place"))
 
 
 def whole_thread(nodes: DataFrame, node: int) -> DataFrame:
     """The tree of the root above a node, as subtree() gives it."""
-    inside = nodes.join(_of(nodes, node), F.col("root_id") == F.col("r"))
-    return inside.where("depth >= 0").select("node_id", "depth", F.col("first").alias("place"))
+    return _tree(nodes, _place(nodes, node)).where("depth >= 0").select("node_id", "depth", F.col("first").alias("place"))
 
 
 def ancestors_of(nodes: DataFrame, node: int) -> DataFrame:
     """node_id and steps (1 is the parent) of the nodes above one."""
-    above = nodes.join(_of(nodes, node), (F.col("root_id") == F.col("r")) & (F.col("first") < F.col("f")) & (F.col("last") >= F.col("f")))
-    return above.select("node_id", (F.col("d") - F.col("depth")).alias("steps"))
+    at = _place(nodes, node)
+    if not at or at["first"] is None:
+        return nodes.where(F.lit(False)).select("node_id", F.col("depth").alias("steps"))
+    return _tree(nodes, at).where((F.col("first") < at["first"]) & (F.col("last") >= at["first"])).select("node_id", (F.lit(at["depth"]) - F.col("depth")).alias("steps"))
 
 
 def line_of(nodes: DataFrame, node: int) -> DataFrame:
     """Ancestors, the node and its descendants, without siblings: node_id, depth in the tree."""
-    both = (F.col("root_id") == F.col("r")) & (F.col("first").between(F.col("f"), F.col("l")) | ((F.col("first") < F.col("f")) & (F.col("last") >= F.col("f"))))
-    return nodes.join(_of(nodes, node), both).select("node_id", "depth")
+    at = _place(nodes, node)
+    if not at or at["first"] is None:
+        return nodes.where(F.lit(False)).select("node_id", "depth")
+    both = F.col("first").between(at["first"], at["last"]) | ((F.col("first") < at["first"]) & (F.col("last") >= at["first"]))
+    return _tree(nodes, at).where(both).select("node_id", "depth")
 
 
 def context_of(nodes: DataFrame, hits: DataFrame, levels: int = 10) -> DataFrame:
-    """For a bounded result list (hit_id) the messages of its threads down to ``levels`` below the root: root_id, node_id, depth, is_thread_context."""
-    asked = nodes.join(F.broadcast(hits.select(F.col("hit_id").alias("node_id")).limit(1000)), "node_id", "left_semi").select("root_id").distinct()
+    """For each hit (hit_id) the messages of its thread down to ``levels`` below the root: root_id, node_id, depth, is_thread_context."""
+    asked = nodes.join(hits.select(F.col("hit_id").alias("node_id")), "node_id", "left_semi").select("root_id").distinct()
     inside = nodes.where(F.col("depth").between(0, levels)).join(asked, "root_id", "left_semi")
     return inside.join(hits.select(F.col("hit_id").alias("node_id"), F.lit(False).alias("context")).distinct(), "node_id", "left").select("root_id", "node_id", "depth", F.coalesce("context", F.lit(True)).alias("is_thread_context"))
 
@@ -71,15 +82,24 @@ def components(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("root_id").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("max_depth"))
 
 
-def threads(messages: DataFrame, nodes: DataFrame) -> DataFrame:
+def with_messages(nodes: DataFrame, messages: DataFrame) -> DataFrame:
+    """Nodes with date_unixtime, from_id and present (1) of their message (node_id, ...); null where the message is absent."""
+    return nodes.join(messages, "node_id", "left")
+
+
+def thread_rows(nodes: DataFrame) -> DataFrame:
     """Per thread (its root_id): n_nodes with absent parents, n_messages without, times and participants of the real messages."""
-    real = messages.select(F.col("id").alias("node_id"), "date_unixtime", "from_id", F.lit(1).alias("present"))
-    return nodes.join(real, "node_id", "left").groupBy("root_id").agg(
+    return nodes.groupBy("root_id").agg(
         F.count("*").alias("n_nodes"), F.count("present").alias("n_messages"), F.max("depth").alias("max_depth"), F.min("date_unixtime").alias("first_message"),
         F.max("date_unixtime").alias("last_message"), F.countDistinct("from_id").alias("n_participants"),
     )
 
 
+def threads(messages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """thread_rows of nodes and the messages they stand for."""
+    return thread_rows(with_messages(nodes, messages.select(F.col("id").alias("node_id"), "date_unixtime", "from_id", F.lit(1).alias("present"))))
+
+
 def graph_stats(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("n_nodes"), F.count("parent_id").alias("n_edges"), F.countDistinct("root_id").alias("n_components"), F.max("depth").alias("max_depth"))
 

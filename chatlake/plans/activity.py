@@ -11,7 +11,7 @@ from chatlake.operators import aggregates as A
 from chatlake.operators import filters, order_stats, ranking, replies
 from chatlake.operators.dedup import first_copies
 from chatlake.plans.problems import KEPT_SQL
-from chatlake.plans.tables import HUB_SQL, NOW, OTHER, USER, entities, hub, messages, participants
+from chatlake.plans.tables import HUB_SQL, NOW, OTHER, USER, count_ranks, entities, hub, messages, participants
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,8 +51,7 @@ _add("fil6_name_contains", lambda s, d: filters.named_like(participants(s, d), "
 _add("fil7_text_length", _m(lambda m: m.where(F.length("text_plain") > 150).select("id", F.length("text_plain").cast("long").alias("n"))), "SELECT id, length(text_plain) AS n FROM kept WHERE length(text_plain) > 150")
 _add("fil8_flags", _m(lambda m: m.agg(*[F.count_if(F.col(c) == 1).alias(c) for c in ("has_links", "has_photo", "is_edited")], F.count("forwarded_from").alias("forwards"))), "SELECT count(*) FILTER (has_links = 1) AS has_links, count(*) FILTER (has_photo = 1) AS has_photo, count(*) FILTER (is_edited = 1) AS is_edited, count(forwarded_from) AS forwards FROM kept")
 _add("fil9_in_given_order", _m(lambda m: filters.in_given_order(m, [500030, 500010, 1, 500020, 500010]).select("pos", "id")), "SELECT pos, id FROM (VALUES (0::BIGINT, 500030::BIGINT), (1, 500010), (2, 1), (3, 500020), (4, 500010)) v(pos, id) JOIN kept USING (id)")
-_add("fil10_exclude_self", _m(lambda m: _ids(m.where((F.col("from_id") != USER) & (F.length("text_plain") > 20) & (F.col("has_photo") == 1)))), f"SELECT id, date_unixtime FROM kept WHERE from_id <> '{USER}' AND length(text_plain) > 20 AND has_photo = 1")
-_add("fil10_exclude_self_all", _m(lambda m: _ids(m.where(F.col("from_id") != USER))), f"SELECT id, date_unixtime FROM kept WHERE from_id <> '{USER}'")
+_add("fil10_exclude_self", _m(lambda m: _ids(m.where(F.col("from_id") != USER))), f"SELECT id, date_unixtime FROM kept WHERE from_id <> '{USER}'")
 _add("fil11_active_users", _m(lambda m: filters.active_users(m, 20, START)), f"SELECT from_id, max(from_name) AS name, count(*) AS msg_count FROM kept WHERE from_id <> '' AND text_plain <> '' AND date_unixtime >= {START} GROUP BY from_id HAVING count(*) >= 20")
 _add("fil13_previews", _m(lambda m: m.select("id", preview(F.col("text_plain"), 80).alias("text"), F.length("text_plain").cast("long").alias("n"))), "SELECT id, substr(text_plain, 1, 80) AS text, length(text_plain) AS n FROM kept")
 
@@ -140,7 +139,7 @@ _add("snk6_users_table", _m(A.users_table), "SELECT from_id, arg_min(from_name,
 
 # Ranks
 _INDEX = ", counts AS (SELECT from_id, count(*) AS n FROM kept WHERE from_id <> '' GROUP BY 1), total AS (SELECT count(DISTINCT n) AS k FROM counts)"
-_add("rnk5_7_user_ranks", _m(lambda m: ranking.user_ranks(m).select("from_id", "message_count", "rank", "total_users", F.round("percentile", 6).alias("percentile"))), f"{_INDEX} SELECT from_id, n AS message_count, dense_rank() OVER (ORDER BY n DESC) AS rank, k AS total_users, round((k - dense_rank() OVER (ORDER BY n)) / k * 100, 6) AS percentile FROM counts, total")
+_add("rnk5_7_user_ranks", lambda s, d: count_ranks(s, d).select("from_id", "message_count", "rank", "total_users", F.round("percentile", 6).alias("percentile")), f"{_INDEX} SELECT from_id, n AS message_count, dense_rank() OVER (ORDER BY n DESC) AS rank, k AS total_users, round((k - dense_rank() OVER (ORDER BY n)) / k * 100, 6) AS percentile FROM counts, total")
 _add("rnk6_8_user_by_rank", _m(lambda m: ranking.user_by_rank(m, 5)), f"{_INDEX} SELECT max(from_id) AS from_id, n AS message_count FROM counts GROUP BY n ORDER BY n DESC LIMIT 1 OFFSET 4")
 _add("rnk9_competition", _m(ranking.competition_ranks), ", counts AS (SELECT from_id, count(*) AS n FROM kept GROUP BY 1) SELECT from_id, n, rank() OVER (ORDER BY n DESC) AS rank FROM counts")
 _pairs = _m(lambda m: m.select(F.col("text_length").alias("key"), F.col("id").alias("value"), F.col("id").alias("seq")).where("key is not null"))
@@ -185,7 +184,7 @@ _add("agg7_forward_names", _m(lambda m: order_stats.most_frequent(_mine(m), "for
 _add("vie2_chat_page", lambda s, d: replies.chat_page(messages(s, d), entities(s, d), filters.chat_matching(from_text="2016-01-10"), 50, 20).select("id", "reply_to_name", "reply_to_text", F.size("entities").cast("long").alias("n_entities"), "total", "has_more"), """, rows AS (SELECT * FROM kept WHERE date >= '2016-01-10'), page AS (SELECT * FROM rows ORDER BY date, id LIMIT 50 OFFSET 20)
     SELECT page.id, p.from_name AS reply_to_name, substr(p.text_plain, 1, 100) AS reply_to_text, (SELECT count(DISTINCT (e.type, e.value)) FROM entities e WHERE e.message_id = page.id) AS n_entities,
     (SELECT count(*) FROM rows) AS total, 70 < (SELECT count(*) FROM rows) AS has_more FROM page LEFT JOIN kept p ON page.reply_to_message_id = p.id""")
-_add("rnk7_percentile_above", _m(lambda m: ranking.user_ranks(m).select("from_id", F.col("percentile_above").alias("percentile"))), f"{_INDEX} SELECT from_id, round(100 * (k - dense_rank() OVER (ORDER BY n DESC) + 1) / k, 1) AS percentile FROM counts, total")
+_add("rnk7_percentile_above", lambda s, d: count_ranks(s, d).select("from_id", F.col("percentile_above").alias("percentile")), f"{_INDEX} SELECT from_id, round(100 * (k - dense_rank() OVER (ORDER BY n DESC) + 1) / k, 1) AS percentile FROM counts, total")
 SQL["agg2_overview_means"] = f"""WITH {KEPT_SQL}, r AS (SELECT * FROM kept WHERE date_unixtime BETWEEN {START} AND {END}), d AS (SELECT count(DISTINCT from_id) AS u FROM r GROUP BY {_DAY}),
     t AS (SELECT count(*) AS n, count(DISTINCT from_id) AS u, greatest(1, (max(date_unixtime) - min(date_unixtime)) // 86400) AS days FROM r)
     SELECT round_even(n / days, 1) AS messages_per_day, (SELECT round_even(avg(u), 1) FROM d) AS users_per_day, round_even(n / greatest(1, u), 1) AS messages_per_user FROM t"""
@@ -195,3 +194,6 @@ SQL["agg4_leaderboard_means"] = f"""WITH {KEPT_SQL}, {_PER_USER}, board AS (SELE
     FROM board ORDER BY message_count DESC, from_id LIMIT 50"""
 SQL["agg7_profile_means"] = f"""WITH {KEPT_SQL} SELECT round_even(avg(text_length), 1) AS avg_length, round_even(count(*) / count(DISTINCT {_DAY}), 1) AS daily_average,
     round_even(count(*) / greatest(1, (max(date_unixtime) - min(date_unixtime)) / 86400), 1) AS messages_per_calendar_day, round_even(count(reply_to_message_id) * 100 / count(*), 1) AS reply_ratio FROM {_MINE}"""
+
+_add("rnk12_time_rank", _m(lambda m: ranking.time_rank(m, "date_unixtime", START)), f"SELECT count(DISTINCT date_unixtime) FILTER (date_unixtime <= {START}) AS rank FROM kept")
+_add("rnk12_record_at_rank", _m(lambda m: ranking.record_at_rank(m, "date_unixtime", 500).select("id", "date_unixtime")), "SELECT id, date_unixtime FROM kept WHERE date_unixtime = (SELECT DISTINCT date_unixtime FROM kept WHERE date_unixtime IS NOT NULL ORDER BY 1 LIMIT 1 OFFSET 499) ORDER BY id DESC LIMIT 1")

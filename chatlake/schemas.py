@@ -9,6 +9,3 @@ ENTITIES = "message_id bigint, type string, value string"
 PARTICIPANTS = """user_id string, first_name string, last_name string, username string, phone string, is_bot int, is_admin int, is_creator int, is_premium int,
     join_date bigint, last_status string, last_online bigint, about string, updated_at bigint"""
 CHUNKS = "chunk_id bigint, chunk_type string, text string, message_ids array<bigint>, anchor_message_id bigint, start_date string, end_date string, embedding array<float>"
-# Entity types of the live source and states of a member.
-ENTITY_TYPES = ("link", "text_link", "mention", "bold", "italic", "code", "hashtag", "email", "phone", "bot_command")
-STATES = ("online", "offline", "recently", "last_week", "last_month", "unknown")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master == "local" or sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="chatlake-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="chatlake-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 

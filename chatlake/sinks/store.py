@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,73 +13,177 @@ from pyspark.sql import functions as F
 from chatlake.functions.time import at
 from chatlake.operators.aggregates import per_user, users_table
 from chatlake.operators.dedup import first_copies, unseen
+from chatlake.operators.fulltext import Index, OkapiIndex, document_table, mean_idf, mean_totals, okapi_documents, okapi_table, posting_table, term_counts, totals_of, trigram_table
 from chatlake.operators.hierarchy import hierarchy
-from chatlake.operators.threads import reply_edges, threads
+from chatlake.operators.running import ranged_running_sum
+from chatlake.operators.threads import reply_edges, thread_rows, with_messages
+from chatlake.operators.vectors import encoded, hashing_encoder, missing
+from chatlake.session import settle
+from chatlake.sources.chat_export import entities_of
 
 
 class Store:
-    """Tables under one folder. Each write makes a new version of a table and then moves the pointer to it, so readers see whole tables and a failed job changes nothing."""
+    """Tables under one folder, each a list of parquet parts. One manifest names the parts of all tables.
+
+    A load writes new parts and then one new manifest, which readers see at once for every table or not at all: a job that
+    fails before has changed nothing, and its retry starts from the same state. Loads append; only tables with a row per
+    user or per term are rewritten. Two loads at a time can't both publish: the second to name a version fails.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        self.files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
 
-    def version(self, name: str) -> str | None:
-        """Name of the current version of a table."""
-        pointers = self.files.globStatus(self._path(name, "_current_*"))
-        newest = sorted(str(p.getPath().getName()) for p in pointers or [])
-        return newest[-1].split("_", 3)[3] if newest else None
+    def manifest(self) -> dict:
+        """version, tables (name to parts) and numbers of the newest published state."""
+        found = self.files.globStatus(self._path("_manifest_*.json"))
+        names = sorted(str(p.getPath().getName()) for p in found or [])
+        if not names:
+            return {"version": 0, "tables": {}, "numbers": {}}
+        return json.loads(self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(self.files.open(self._path(names[-1]))).decode())
+
+    def publish(self, base: dict, changed: dict[str, list[str]], numbers: dict | None = None) -> None:
+        """The state after ``base`` with the parts of the changed tables; fails if another load came first."""
+        state = {"version": base["version"] + 1, "tables": base["tables"] | changed, "numbers": base["numbers"] | (numbers or {})}
+        name = f"_manifest_{state['version']:08d}.json"
+        draft = self._path(f"_draft_{uuid.uuid4().hex}")
+        out = self.files.create(draft, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self.files.exists(self._path(name)) or not self.files.rename(draft, self._path(name)):
+            raise RuntimeError(f"version {state['version']} was published by another load")
 
-    def write(self, name: str, rows: DataFrame, partition_by: list[str] | None = None) -> str:
-        serial = len(self.files.globStatus(self._path(name, "_current_*")) or [])
-        version = uuid.uuid4().hex[:12]
+    def part(self, name: str, rows: DataFrame, order: list[str] | None = None, bucketed: bool = False) -> str:
+        """Write rows as a new part of a table, which nobody sees before it is published; sorted by ``order`` in ranges."""
+        part = f"{name}/{uuid.uuid4().hex[:12]}"
+        if order:
+            by = (["bucket"] if bucketed else []) + order
+            rows = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
         writer = rows.write.mode("errorifexists")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.folder}/{name}/{version}")
-        self.files.create(self._path(name, f"_current_{serial:08d}_{version}")).close()
-        return version
+        (writer.partitionBy("bucket") if bucketed else writer).parquet(f"{self.folder}/{part}")
+        return part
+
+    def read(self, name: str, state: dict | None = None) -> DataFrame | None:
+        """A table as published; of nodes and threads the rows of the last load that touched their tree."""
+        parts = (state or self.manifest())["tables"].get(name)
+        if not parts:
+            return None
+        rows = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.folder}/{part}") for part in parts])
+        touched = (state or self.manifest())["tables"].get("touched") if name in ("nodes", "threads") else None
+        if not touched:
+            return rows
+        newest = self.read("touched", state).groupBy("root_id").agg(F.max("load").alias("newest"))
+        return rows.join(newest, "root_id", "left").where("load >= coalesce(newest, 0)").drop("newest")
 
-    def read(self, name: str) -> DataFrame | None:
-        version = self.version(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}/{version}") if version else None
+    def write(self, name: str, rows: DataFrame, order: list[str] | None = None, bucketed: bool = False) -> None:
+        """Publish a whole new content of one table."""
+        state = self.manifest()
+        self.publish(state, {name: [self.part(name, rows, order, bucketed)]})
+
+    def ensure(self, name: str, build: Callable[[], DataFrame], order: list[str] | None = None, bucketed: bool = False) -> DataFrame:
+        """The table, built first if the store lacks it."""
+        if name not in self.manifest()["tables"]:
+            rows = build()
+            self.write(name, rows, order, bucketed)
+        return self.read(name)
 
     def compact(self, name: str, files: int = 8) -> None:
-        """Rewrite a table in fewer files."""
+        """Rewrite a table as one part of fewer files."""
         self.write(name, self.read(name).coalesce(files))
 
     def index(self, parsed: DataFrame) -> dict[str, int]:
-        """First load: messages (of one id the first copy), entities, users, edges and threads, all from one parse."""
-        kept = first_copies(parsed.withColumn("arrival", F.monotonically_increasing_id()), ["id"], [F.col("arrival")])
-        self.write("entities", kept.select(F.col("id").alias("message_id"), F.explode("entities").alias("e")).select("message_id", "e.type", "e.value"))
-        self.write("messages", kept.withColumn("delivery_id", F.col("arrival")).drop("entities", "arrival"))
-        self._derive()
-        return {"messages": self.read("messages").count(), "entities": self.read("entities").count()}
+        """First load: of each id the first copy, with all tables derived from it; what the store had is replaced."""
+        state = self.manifest()
+        kept = {k: v for k, v in state["tables"].items() if k in ("participants", "embeddings", "chunks")}
+        found = self._add(parsed, state | {"tables": kept, "numbers": {}})
+        return {"messages": found["new_messages"], "entities": self.read("entities").count()}
 
     def update(self, parsed: DataFrame) -> dict[str, int]:
-        """Later load: only new ids are added, existing rows win; users, edges and threads are derived again from the whole table."""
-        messages, entities = self.read("messages"), self.read("entities")
-        if messages is None:
-            counts = self.index(parsed)
-            return {"new_messages": counts["messages"], "duplicates": 0}
+        """Later load: only new ids are added, existing rows win; every table and index grows by the new rows."""
+        return self._add(parsed, self.manifest())
+
+    def replace(self, parsed: DataFrame) -> dict[str, int]:
+        """Load that wins: messages whose ids the store has are replaced by the new copies, the others stay; all tables are built anew."""
+        state = self.manifest()
+        old, entities = self.read("messages", state), self.read("entities", state)
+        if old is None:
+            return self.index(parsed)
+        fresh = settle(first_copies(settle(parsed.withColumn("arrival", F.monotonically_increasing_id())), ["id"], [F.col("arrival")]))
+        kept = unseen(old, fresh, "id")
+        packed = entities.groupBy(F.col("message_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("type", "value"))).alias("entities"))
+        none = F.array().cast("array<struct<type:string,value:string>>")
+        whole = kept.drop("delivery_id").join(packed, "id", "left").withColumn("entities", F.coalesce("entities", none))
+        return self.index(whole.unionByName(fresh.drop("arrival").select(*whole.columns)))
+
+    def _add(self, parsed: DataFrame, state: dict) -> dict[str, int]:
+        """Settle the new rows once, write a part of every table, publish them together."""
+        numbers = state["numbers"]
         total = parsed.count()
-        first = first_copies(parsed.withColumn("arrival", F.monotonically_increasing_id()), ["id"], [F.col("arrival")])
-        fresh = unseen(first, messages, "id")
+        arrived = settle(parsed.withColumn("arrival", F.monotonically_increasing_id()))
+        first = first_copies(arrived, ["id"], [F.col("arrival")])
+        old = self.read("messages", state)
+        fresh = settle(first if old is None else unseen(first, old, "id"))
         added = fresh.count()
-        rows = fresh.withColumn("delivery_id", F.col("arrival"))
-        self.write("entities", entities.unionByName(rows.select(F.col("id").alias("message_id"), F.explode("entities").alias("e")).select("message_id", "e.type", "e.value")))
-        self.write("messages", messages.unionByName(rows.drop("entities", "arrival")))
-        self._derive()
+        if old is not None and not added:
+            return {"new_messages": 0, "duplicates": total}
+        begin = numbers.get("deliveries", 0)
+        rows = settle(ranged_running_sum(fresh, [], ["arrival"], {"before": F.lit(1)}).withColumn("delivery_id", (F.col("before") + 1 + begin).cast("long")).drop("before", "arrival"))
+        messages = rows.drop("entities")
+        new = {"messages": self.part("messages", messages, ["date_unixtime", "id"]), "entities": self.part("entities", entities_of(rows), ["message_id"])}
+        new["reply_graph"] = self.part("reply_graph", reply_edges(messages).withColumn("depth", F.lit(1)), ["parent_id"])
+        for name, (table, order, bucketed) in INDEXES.items():
+            new[name] = self.part(name, table(messages), order, bucketed)
+        load = state["version"] + 1
+        changed = {name: state["tables"].get(name, []) + [part] for name, part in new.items()} | self._trees(messages, state, load)
+        users = users_table(messages).withColumn("first_delivery", F.lit(begin + 1).cast("long"))
+        changed["users"] = [self.part("users", merged_users([users, *([self.read("users", state)] if old is not None else [])]))]
+        self.publish(state, changed, {"deliveries": begin + added, "loads": load})
         return {"new_messages": added, "duplicates": total - added}
 
-    def _derive(self) -> None:
-        messages = self.read("messages")
-        self.write("users", users_table(messages))
+    def _trees(self, messages: DataFrame, state: dict, load: int) -> dict[str, list[str]]:
+        """Parts of nodes and threads for the trees that the new messages touch; all other trees stay as they are."""
+        own = messages.select(F.col("id").alias("node_id"), "date_unixtime", "from_id", F.lit(1).alias("present"))
         edges = reply_edges(messages)
-        self.write("reply_graph", edges.withColumn("depth", F.lit(1)))
-        self.write("threads", threads(messages, hierarchy(edges)))
+        old = self.read("nodes", state)
+        touched: list[str] = []
+        known = own
+        if old is not None:
+            ends = edges.select(F.explode(F.array("parent_id", "child_id")).alias("node_id")).unionByName(own.select("node_id")).distinct()
+            roots = settle(old.join(ends, "node_id", "left_semi").select("root_id").distinct())
+            again = settle(old.join(roots, "root_id", "left_semi"))
+            edges = edges.unionByName(again.where("parent_id is not null").select("parent_id", F.col("node_id").alias("child_id")))
+            known = own.unionByName(again.where("present = 1").select("node_id", "date_unixtime", "from_id", "present"))
+            missing = ends.join(again.select("node_id"), "node_id", "left_anti")
+            stored = self.read("messages", state).select(F.col("id").alias("node_id"), "date_unixtime", "from_id", F.lit(1).alias("present"))
+            known = known.unionByName(stored.join(missing, "node_id", "left_semi"))
+            touched = [self.part("touched", roots.withColumn("load", F.lit(load)))]
+        nodes = settle(with_messages(hierarchy(edges), known).withColumn("load", F.lit(load)))
+        parts = {"nodes": self.part("nodes", nodes, ["root_id", "first", "node_id"]), "threads": self.part("threads", thread_rows(nodes).withColumn("load", F.lit(load)), ["root_id"])}
+        found = {name: state["tables"].get(name, []) + [part] for name, part in parts.items()}
+        return found | ({"touched": state["tables"].get("touched", []) + touched} if touched else {})
+
+    def fulltext(self) -> Index:
+        """The stored full-text index."""
+        state = self.manifest()
+        return Index(self.read("postings", state), self.read("documents", state), mean_totals(self.read("document_totals", state)))
+
+    def okapi(self) -> OkapiIndex:
+        """The stored keyword index."""
+        state = self.manifest()
+        totals = mean_totals(self.read("okapi_totals", state))
+        counts = self.read("okapi_counts", state).groupBy("term").agg(F.sum("n").alias("n"))
+        return OkapiIndex(self.read("okapi_terms", state), self.read("okapi_documents", state), totals, mean_idf(counts, totals))
+
+    def ensure_indexes(self, messages: Callable[[], DataFrame], names: list[str]) -> None:
+        """Build those of the named index tables that the store lacks, and publish them together."""
+        lacking = [n for n in names if n not in self.manifest()["tables"]]
+        if lacking:
+            rows = messages()
+            state = self.manifest()
+            self.publish(state, {n: [self.part(n, INDEXES[n][0](rows), *INDEXES[n][1:])] for n in lacking})
 
     def upsert_participants(self, new: DataFrame) -> None:
         """Of each member the row updated last; at equal times the new one."""
@@ -86,12 +193,41 @@ class Store:
             rows = rows.unionByName(old.withColumn("fresh", F.lit(0)))
         self.write("participants", first_copies(rows, ["user_id"], [F.desc("updated_at"), F.desc("fresh")]).drop("fresh"))
 
-    def append_vectors(self, vectors: DataFrame, key: str = "message_id") -> int:
-        """Add vectors of keys the store lacks."""
-        old = self.read("embeddings")
-        fresh = vectors if old is None else unseen(vectors, old, key)
-        self.write("embeddings", fresh if old is None else old.unionByName(fresh))
-        return self.read("embeddings").count()
+    def append_vectors(self, vectors: DataFrame, key: str = "message_id", name: str = "embeddings") -> int:
+        """Add vectors of keys the table lacks, as a new part."""
+        state = self.manifest()
+        old = self.read(name, state)
+        self.publish(state, {name: state["tables"].get(name, []) + [self.part(name, vectors if old is None else unseen(vectors, old, key))]})
+        return self.read(name).count()
+
+    def embed(self, messages: DataFrame, encoder: Callable = hashing_encoder, prefix: str = "passage: ") -> int:
+        """Add the vectors of messages that have none yet; the number of vectors."""
+        store = self.read("embeddings")
+        empty = messages.sparkSession.createDataFrame([], "message_id long")
+        rows = missing(messages, empty if store is None else store)
+        return self.append_vectors(encoded(rows, "text", encoder, prefix).drop("text"))
+
+    def embed_chunks(self, chunks: DataFrame, encoder: Callable = hashing_encoder, prefix: str = "passage: ") -> int:
+        """Write chunks with their vectors as the chunk table; the number of chunks."""
+        self.write("chunks", encoded(chunks, "text", encoder, prefix))
+        return self.read("chunks").count()
+
+
+def merged_users(parts: list[DataFrame]) -> DataFrame:
+    """One row per user from tables of users: the name of the earliest, times and counts over all."""
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("from_id").agg(
+        F.min_by("display_name", F.when(F.col("display_name").isNotNull(), F.col("first_delivery"))).alias("display_name"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("message_count").alias("message_count"), F.min("first_delivery").alias("first_delivery"),
+    )
+
+
+INDEXES = {
+    "postings": (posting_table, ["term", "id"], True), "documents": (document_table, ["id"], False), "document_totals": (lambda m: totals_of(document_table(m)), None, False),
+    "okapi_terms": (okapi_table, ["term", "id"], True), "okapi_documents": (okapi_documents, ["id"], False), "okapi_totals": (lambda m: totals_of(okapi_documents(m)), None, False),
+    "okapi_counts": (lambda m: term_counts(okapi_table(m)), ["term"], False), "trigrams": (trigram_table, ["trigram", "id"], True),
+}
+"""The index tables of messages: what makes their rows, their order, and whether they lie in buckets."""
 
 
 def users_export(messages: DataFrame) -> DataFrame:

@@ -2,29 +2,161 @@
 
 from __future__ import annotations
 
+import codecs
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ENDS = frozenset(" \t\r\n,]}")
+_BLANK = re.compile(r"[ \t\r\n]*")
+CHUNK = 4_000_000
+"""Characters of an export that are held at a time, besides the message that is being read."""
+
+
+def _open(path: str):
+    """A stream of bytes of a local path or of a URI of any file system pyarrow knows."""
+    from pyarrow import fs
+
+    files, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return files.open_input_stream(place)
+
+
+def elements(path: str, chunk: int = CHUNK) -> Iterator[str]:
+    """The JSON texts of the elements of a file's root array, or of its root's ``messages``, read piece by piece.
+
+    A file of any size is read with one chunk and one message in memory. ValueError if the root is neither, or ends too soon.
+    """
+    decode = json.JSONDecoder().raw_decode
+    with _open(path) as raw:
+        reader = codecs.getreader("utf-8-sig")(raw)
+        text, at, ended = "", 0, False
+
+        def more() -> None:
+            nonlocal text, at, ended
+            if ended:
+                raise ValueError(f"{path}: the JSON ends too soon")
+            fresh = reader.read(chunk)
+            ended = not fresh
+            text, at = text[at:] + fresh, 0
+
+        def skip() -> str:
+            """The next character that is no white space."""
+            nonlocal at
+            while True:
+                at = _BLANK.match(text, at).end()
+                if at < len(text):
+                    return text[at]
+                more()
+
+        def value() -> str:
+            nonlocal at
+            while True:
+                skip()
+                try:
+                    _, end = decode(text, at)
+                except json.JSONDecodeError:
+                    more()
+                    continue
+                if text[end - 1] not in '"}]' and text[end : end + 1] not in _ENDS:
+                    more()
+                    continue
+                found, at = text[at:end], end
+                return found
+
+        def array() -> Iterator[str]:
+            nonlocal at
+            at += 1
+            if skip() == "]":
+                at += 1
+                return
+            while True:
+                yield value()
+                mark = skip()
+                at += 1
+                if mark == "]":
+                    return
+                if mark != ",":
+                    raise ValueError(f"{path}: the JSON is broken")
+
+        root = skip()
+        if root == "[":
+            yield from array()
+            return
+        if root != "{":
+            raise ValueError(f"{path}: neither a list nor an object")
+        at += 1
+        while skip() != "}":
+            name = json.loads(value())
+            if skip() != ":":
+                raise ValueError(f"{path}: the JSON is broken")
+            at += 1
+            if skip() == "[" and name == "messages":
+                yield from array()
+                return
+            value()
+            if skip() == ",":
+                at += 1
+        raise ValueError(f"{path}: no list of messages")
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path, a folder or a pattern names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(place)
+    if not found:
+        raise FileNotFoundError(path)
+    listed = [f for status in found for f in (files.listStatus(status.getPath()) if status.isDirectory() else [status])]
+    return sorted(str(f.getPath()) for f in listed if not f.isDirectory())
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """message (variant): one row per element of the root array or of the root's ``messages``.
+    """message (variant): one row per element of the root array or of the root's ``messages`` of each file; files of any size.
 
-    A JSON document can't be split, so one export is one task; several exports, or JSON lines (``read_lines``), are read in parallel.
+    A JSON document can't be split, so one export is read by one task, piece by piece; several exports, or JSON lines
+    (``read_lines``), are read in parallel. An export without such a list, or one that is cut off, fails the job.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("root"))
-    listed = F.coalesce(F.expr("try_variant_get(root, '$.messages', 'array<variant>')"), F.expr("try_cast(root as array<variant>)"))
-    return whole.select(F.explode(listed).alias("message"))
+    names = _files(spark, path)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch.file:
+                held, size = [], 0
+                for text in elements(name):
+                    held.append(text)
+                    size += len(text)
+                    if size >= CHUNK:
+                        yield pd.DataFrame({"value": held})
+                        held, size = [], 0
+                yield pd.DataFrame({"value": pd.Series(held, dtype=object)})
+
+    listed = spark.createDataFrame([(n, name) for n, name in enumerate(names)], "n int, file string").repartition(len(names), "n")
+    return listed.mapInPandas(read, "value string").select(F.parse_json("value").alias("message"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """message (variant) of each line of JSON-lines files; broken lines are left out."""
+    """message (variant) of each line of JSON-lines files; broken lines are left out, ``broken_lines`` gives them."""
     return spark.read.text(path).select(F.try_parse_json("value").alias("message")).where("message is not null")
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines, other than blank ones, that ``read_lines`` leaves out."""
+    return spark.read.text(path).where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+
+
 def structure(spark: SparkSession, path: str) -> str:
-    """``list`` or ``object``, by the first character that isn't white space."""
-    first = spark.read.option("wholetext", True).text(path).select(F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("c")).first()
-    return "list" if first and first["c"] == "[" else "object"
+    """``list`` or ``object``, by the first character that isn't white space; reads no more than it needs."""
+    with _open(_files(spark, path)[0]) as raw:
+        reader = codecs.getreader("utf-8-sig")(raw)
+        while text := reader.read(4096):
+            if text.strip():
+                return "list" if text.lstrip()[0] == "[" else "object"
+    return "object"
 
 
 def _text(path: str, column: str = "message") -> Column:

@@ -21,7 +21,7 @@ QUERIES = ["water", "water bill", "water OR storm", "bill NOT water", '"water bi
 def index(spark):
     rows = spark.createDataFrame([(n, t, w) for n, (t, w) in enumerate(TEXTS, 1)], "id long, text_plain string, from_name string")
     found = fulltext.build_index(rows)
-    return fulltext.Index(found.postings.cache(), found.documents.cache())
+    return fulltext.Index(found.table.cache(), found.documents.cache(), found.totals.cache())
 
 
 @pytest.mark.parametrize("query", QUERIES)
@@ -53,7 +53,7 @@ def test_words_prefix_autocomplete_fuzzy(spark, index, chat):
     keys = spark.createDataFrame([("ann",), ("Anna",), ("annabel",), ("bob",), (None,)], "key string")
     assert [(r.key, r["count"]) for r in fulltext.autocomplete(keys, "AN").collect()] == [("ann", 3), ("anna", 2), ("annabel", 1)]
     rows = chat({"id": 1, "text_plain": "water bill"}, {"id": 2, "text_plain": "water"}, {"id": 3, "text_plain": ""}, {"id": 4})
-    assert [r.id for r in fulltext.fuzzy(rows, "water bil", 0.3).collect()] == [1, 2]
+    assert [r.id for r in fulltext.fuzzy(fulltext.trigram_table(rows), "water bil", 0.3).collect()] == [1, 2]
 
 
 def test_okapi_negative_idf_and_repeats(chat):
@@ -117,7 +117,11 @@ def test_all_similar_pairs_match_brute_force(spark, monkeypatch):
     base = ["".join(rng.choices("abcdefgh שלום🚲", k=rng.choice((20, 27, 60, 64, 65, 130, 200)))) for _ in range(100)]
     texts = base + ["".join(c for c in rng.choice(base) if rng.random() > rng.choice((0.02, 0.2, 0.3))) for _ in range(900)] + base[:60] + ["short", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text_plain string")
-    got = [(r.id_1, r.id_2, r.similarity) for r in similarity.all_similar_pairs(rows).collect()]
+    pairs, classes = similarity.similar_texts(rows).cache(), similarity.text_classes(rows)
+    assert {r.class_id for r in classes.where("id <> class_id").collect()} <= set(range(60)) and pairs.where("class_1 >= class_2").count() == 0
+    got = [(r.id_1, r.id_2, r.similarity) for r in similarity.expanded(pairs, classes).collect()]
+    other = similarity.similar_pairs(rows.withColumn("from_id", F.col("id") % 2), other_user=True).collect()
+    assert {(r.id_1, r.id_2) for r in other} == {(a, b) for a, b, _ in got if (a - b) % 2}
     wanted = {}
     for i, a in enumerate(texts):
         for j in range(i + 1, len(texts)):
