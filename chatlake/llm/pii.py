@@ -236,6 +236,7 @@ class Finder:
         if found is None:
             low = word.lower()
             parts = _LETTERS.findall(low)
+            parts = parts[1:] if len(parts) > 1 and parts[0] in ("al", "el") else parts
             if low in _NO_NAME or len(word) < 3 or any(form("l", part) in self.names for part in parts):
                 rare = 0
             else:
@@ -344,21 +345,22 @@ class Finder:
         joint = between(j)
         if initial(j):
             joint = joint.removeprefix(".")
-        if j + 1 >= len(tokens) or joint not in (" ", ", ") or (joint == ", " and not (led and j == i)):
+        if j + 1 >= len(tokens) or joint not in (" ", ", ") or (joint == ", " and j > i):
             return 0
+        listed = joint == ", " and not led
         j += 1
         while joint == " " and j + 1 < len(tokens) and re.fullmatch(_PARTICLE, tokens[j][0], re.IGNORECASE) and between(j) == " ":
             j += 1
         last = tokens[j][0]
         last_rare = self._about(last)[1]
-        if not last_rare or max(first_rare, last_rare) < 2:
+        if not last_rare or max(first_rare, last_rare) < 2 or (listed and min(first_rare, last_rare) < 2):
             return 0
         if between(j) == " " and (tokens[j + 1][0].lower() in _NO_PERSON or (tokens[j + 1][0][0].isupper() and not tokens[j + 1][0].isupper() and self._about(tokens[j + 1][0])[1] == 2)):
             return 0
         if text[tokens[j].end() : tokens[j].end() + 2].strip(" ")[:1].isdigit():
             return 0
         cased = first[0] != first[0].swapcase()
-        upper = first[0].isupper() and last[0].isupper()
+        upper = first[0].isupper() and (last[3:] if last[:3].lower() in ("al-", "el-") else last)[:1].isupper()
         shouted = first.isupper() and last.isupper()
         if (upper and not shouted) or (shouted and any(map(str.islower, text))) or (led and (shouted or not cased or (first.islower() and last.islower()))):
             return j + 1 - i
