@@ -147,7 +147,7 @@ def _loops_locally(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node_id": nodes, "root_id": np.where(on, low, low[jump])})
 
 
-def sizes_upward(nodes: DataFrame) -> Upward:
+def sizes_upward(nodes: DataFrame, local_rows: int = LOCAL_ROWS) -> Upward:
     """Subtree sizes of settled ``nodes`` (node, parent; null for roots), leaves to roots.
 
     Round k adds, to each node, the sizes gathered by the nodes exactly 2**k below it. When a round frees no node though some
@@ -169,7 +169,7 @@ def sizes_upward(nodes: DataFrame) -> Upward:
         if left in (0, waiting):
             done.append(live.where("reach is null").select("node", "parent", "size"))
             return Upward(_union(done), live.where("reach is not null").select("node", "parent", "reach") if left else None)
-        if left <= LOCAL_ROWS:
+        if left <= max(local_rows, 0):
             rest = settle(in_one_task(live.selectExpr("node", _exact("parent"), _exact("reach"), "size"), _sizes_locally, "node long, parent long, reach long, size long"))
             done.append(rest.where("reach is null").select("node", "parent", "size"))
             left_over = rest.where("reach is not null").select("node", "parent", "reach")
@@ -177,7 +177,7 @@ def sizes_upward(nodes: DataFrame) -> Upward:
         waiting = left
 
 
-def ranges_downward(sizes: DataFrame) -> DataFrame:
+def ranges_downward(sizes: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Nested-set numbers of the nodes of ``sizes``: node_id, root_id, depth, first, last (preorder numbers within the root's tree), parent_id.
 
     Each node's number is its parent's plus one plus the sizes of its earlier siblings (by id); the sums along the path to
@@ -201,7 +201,7 @@ def ranges_downward(sizes: DataFrame) -> DataFrame:
         done.append(live.where("final").drop("final", "reach"))
         live = live.where("not final").drop("final")
         left = live.where("reach is not null").count()
-        if left <= LOCAL_ROWS:
+        if left <= max(local_rows, 0):
             if left:
                 live = in_one_task(live.selectExpr("node", _exact("parent"), "size", _exact("reach"), _exact("root"), "depth", "first"), _ranges_locally, "node long, parent long, size long, root long, depth long, first long")
             done.append(live.drop("reach"))
@@ -209,14 +209,14 @@ def ranges_downward(sizes: DataFrame) -> DataFrame:
     return _union(done).select(F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", "first", (F.col("first") + F.col("size") - 1).alias("last"), F.col("parent").alias("parent_id"))
 
 
-def resolve_loops(unprocessed: DataFrame) -> DataFrame:
+def resolve_loops(unprocessed: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """node_id and root_id, the smallest id of its loop, of the nodes on or below loops (node, parent, reach).
 
     Doubling ``reach`` until its image stops shrinking leaves exactly the nodes on loops in the image; their smallest id is
     then spread around each loop by doubling as well.
     """
     jump = settle(unprocessed)
-    if jump.count() <= LOCAL_ROWS:
+    if jump.count() <= local_rows:
         return in_one_task(jump, _loops_locally, "node_id long, root_id long")
     size = jump.select("reach").distinct().count()
     while True:
@@ -239,20 +239,21 @@ def resolve_loops(unprocessed: DataFrame) -> DataFrame:
     return low.unionByName(below).select(F.col("node").alias("node_id"), F.col("low").alias("root_id"))
 
 
-def hierarchy(links: DataFrame, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
+def hierarchy(links: DataFrame, parent: str = "parent_id", child: str = "child_id", local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Each id of any link: node_id, root_id, depth, first, last, parent_id.
 
     A node's descendants are the nodes of the same root whose ``first`` lies above its own and up to its ``last``. Ids on or
     below a loop have depth -1, null ranges and, as root_id, the loop's smallest id; an id that is its own parent is a loop.
-    Repeated links count once, links with a null end not at all, and no links give no rows.
+    Repeated links count once, links with a null end not at all, and no links give no rows. A counted remainder of at most
+    ``local_rows`` waiting nodes finishes in one task; with 0 every round is distributed.
     """
     edges = settle(distinct_links(links, parent, child))
-    up = sizes_upward(settle(with_roots(edges)))
-    nodes = ranges_downward(up.sizes)
+    up = sizes_upward(settle(with_roots(edges)), local_rows)
+    nodes = ranges_downward(up.sizes, local_rows)
     if up.unprocessed is None:
         return nodes
     none = F.lit(None).cast("long")
-    loops = resolve_loops(up.unprocessed).join(edges.withColumnRenamed("node", "node_id"), "node_id")
+    loops = resolve_loops(up.unprocessed, local_rows).join(edges.withColumnRenamed("node", "node_id"), "node_id")
     return nodes.unionByName(loops.select("node_id", "root_id", F.lit(-1).cast("long").alias("depth"), none.alias("first"), none.alias("last"), F.col("parent").alias("parent_id")))
 
 

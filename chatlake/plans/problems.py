@@ -28,6 +28,11 @@ def p4_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.select("node_id", "root_id", "depth", "first", "last", (F.col("last") - F.col("first")).alias("n_descendants"))
 
 
+def p4_in_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """p4_ranges with every round distributed, as a table too large for one task's remainder runs."""
+    return hierarchy(reply_links(spark, folder), local_rows=0).select("node_id", "root_id", "depth", "first", "last")
+
+
 def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
     return paths(hierarchy(reply_links(spark, folder)))
 
@@ -64,7 +69,7 @@ def p7_summary(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.groupBy("from_id").agg(F.count("*").alias("n_sessions"), F.max("duration").alias("longest_duration"), F.sum("n_messages").cast("long").alias("n_messages"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ranges": p4_ranges, "p4_paths": p4_paths, "p4_path_pieces": p4_path_pieces, "p5_found": p5_found, "p5_kept": p5_kept, "p5_ranges": p5_ranges, "p5_later_batches": p5_later_batches, "p7_found": p7_found, "p7_summary": p7_summary}
+QUERIES = {"p4_found": p4_found, "p4_ranges": p4_ranges, "p4_in_rounds": p4_in_rounds, "p4_paths": p4_paths, "p4_path_pieces": p4_path_pieces, "p5_found": p5_found, "p5_kept": p5_kept, "p5_ranges": p5_ranges, "p5_later_batches": p5_later_batches, "p7_found": p7_found, "p7_summary": p7_summary}
 
 _COPIES = """
     SELECT *, CASE WHEN id IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY id ORDER BY coalesce(is_edited = 1, false) DESC,
@@ -111,3 +116,4 @@ SQL = {
     "p7_summary": f"""{_SESSIONS} SELECT from_id, count(*) AS n_sessions, max(end_unixtime - start_unixtime) AS longest_duration,
         sum(n_messages)::BIGINT AS n_messages FROM sessions GROUP BY from_id""",
 }
+SQL["p4_in_rounds"] = f"SELECT node_id, root_id, depth, first, last FROM ({SQL['p4_ranges']})"

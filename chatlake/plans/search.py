@@ -377,3 +377,21 @@ _add("nlq8_lines_around", lambda s, d: service_of.lines_around(messages(s, d), _
     SELECT hit_id, position::INTEGER AS position, id, md5('[' || coalesce(date, '') || '] ' || coalesce(from_name, '?') || ': ' || CASE WHEN position = 0 THEN coalesce(text_plain, '') ELSE substr(coalesce(text_plain, ''), 1, 100) END) AS line FROM c JOIN kept USING (id)""")
 _add("nlq9_thread_context", lambda s, d: service_of.thread_context(messages(s, d), nodes(s, d), _newest_hits(s, d)).select("id", "is_thread_context"), f"""{_TREE}{_HITS20.replace(", h AS", ", hh AS")}, c AS (SELECT node AS id, true AS ctx FROM t WHERE depth <= 3 AND root IN (SELECT t2.root FROM nodes t2 JOIN hh ON t2.node = hit) UNION ALL SELECT hit, false FROM hh)
     SELECT id, bool_and(ctx) AS is_thread_context FROM c WHERE id IN (SELECT id FROM kept WHERE text_plain <> '') GROUP BY 1""", True)
+
+
+def _exported(rows: DataFrame) -> DataFrame:
+    """The kept messages as an export writes them, texts as lists of pieces."""
+    piece = F.array(F.struct(F.lit("bold").alias("type"), F.col("text_plain").alias("text")))
+    found = F.array_compact(F.array(F.when(F.col("has_links") == 1, F.struct(F.lit("link").alias("type"), F.lit("https://x").alias("text"))), F.when(F.col("has_mentions") == 1, F.struct(F.lit("mention").alias("type"), F.lit("@x").alias("text")))))
+    fields = [
+        F.col("id"), F.lit("message").alias("type"), F.col("date"), F.col("date_unixtime").cast("string").alias("date_unixtime"), F.col("from_name").alias("from"), F.col("from_id"), F.col("reply_to_message_id"),
+        piece.alias("text"), found.alias("text_entities"), F.when(F.col("has_photo") == 1, "p.jpg").alias("photo"), F.when(F.col("has_media") == 1, "video").alias("media_type"), F.when(F.col("is_edited") == 1, "yes").alias("edited"),
+    ]
+    return rows.select(F.parse_json(F.to_json(F.struct(*fields))).alias("message"))
+
+
+_add("src4_5_parse_all", _m(lambda m: chat_export.parsed(_exported(m)).select("id", "date", "date_unixtime", "from_name", "from_id", "reply_to_message_id", F.md5("text_plain").alias("text"), F.col("text_length").cast("long").alias("text_length"), "has_media", "has_photo", "has_links", "has_mentions", "is_edited", F.size("entities").alias("n_entities"))), """SELECT id, date, coalesce(date_unixtime, 0) AS date_unixtime, coalesce(from_name, '') AS from_name, coalesce(from_id, '') AS from_id, reply_to_message_id, md5(coalesce(text_plain, '')) AS text, length(coalesce(text_plain, '')) AS text_length,
+    CASE WHEN has_media = 1 OR has_photo = 1 THEN 1 ELSE 0 END AS has_media, CASE WHEN has_photo = 1 THEN 1 ELSE 0 END AS has_photo, CASE WHEN has_links = 1 THEN 1 ELSE 0 END AS has_links, CASE WHEN has_mentions = 1 THEN 1 ELSE 0 END AS has_mentions, CASE WHEN is_edited = 1 THEN 1 ELSE 0 END AS is_edited,
+    CASE WHEN has_links = 1 THEN 1 ELSE 0 END + CASE WHEN has_mentions = 1 THEN 1 ELSE 0 END AS n_entities FROM kept""")
+_add("vec7_full_text", lambda s, d: service_of.semantic_hits(messages(s, d), _store(s, d), "", 20, lambda texts: [_QUERY]).select("id", F.round("score", 5).alias("score"), F.md5("text_plain").alias("text")), f""", u AS (SELECT message_id, any_value(embedding::DOUBLE[]) AS v FROM message_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
+    b AS (SELECT message_id, list_cosine_similarity(v, {_Q}) AS s FROM u ORDER BY s DESC, message_id LIMIT 20) SELECT id, round(s, 5) AS score, md5(text_plain) AS text FROM b JOIN kept ON id = message_id""")

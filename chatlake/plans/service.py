@@ -48,6 +48,11 @@ class ChatService:
         name = f"count_ranks_{self.store.manifest()['numbers'].get('loads', 0)}"
         return self.store.ensure(name, lambda: user_ranks(self.store.read("messages")), ["from_id"])
 
+    def vector_status(self) -> dict:
+        """n_vectors, n_models, available; a store without vectors answers too, with none."""
+        store = self.store.read("embeddings")
+        return {"n_vectors": 0, "n_models": 0, "available": False} if store is None else vectors.store_stats(store).first().asDict()
+
     def answer_with_search(self, question: str, model: questions.Model, chunks: DataFrame, limit: int = 5, k: int = 2) -> dict:
         """answer and sources from the best hybrid hits, each with its chunk and the messages around it."""
         return answer_from_hits(self.store.read("messages"), chunks, self.store.okapi(), question, model, limit, k)

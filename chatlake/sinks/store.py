@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chatlake.functions.time import at
 from chatlake.operators.aggregates import per_user, users_table
@@ -33,21 +34,22 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.files = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+        self._schemas: dict[str, str] = {}
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
 
     def manifest(self) -> dict:
-        """version, tables (name to parts) and numbers of the newest published state."""
+        """version, tables (name to parts), their schemas, and numbers of the newest published state."""
         found = self.files.globStatus(self._path("_manifest_*.json"))
         names = sorted(str(p.getPath().getName()) for p in found or [])
         if not names:
-            return {"version": 0, "tables": {}, "numbers": {}}
+            return {"version": 0, "tables": {}, "schemas": {}, "numbers": {}}
         return json.loads(self.spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(self.files.open(self._path(names[-1]))).decode())
 
     def publish(self, base: dict, changed: dict[str, list[str]], numbers: dict | None = None) -> None:
         """The state after ``base`` with the parts of the changed tables; fails if another load came first."""
-        state = {"version": base["version"] + 1, "tables": base["tables"] | changed, "numbers": base["numbers"] | (numbers or {})}
+        state = {"version": base["version"] + 1, "tables": base["tables"] | changed, "schemas": base["schemas"] | {n: self._schemas[n] for n in changed if n in self._schemas}, "numbers": base["numbers"] | (numbers or {})}
         name = f"_manifest_{state['version']:08d}.json"
         draft = self._path(f"_draft_{uuid.uuid4().hex}")
         out = self.files.create(draft, False)
@@ -59,6 +61,7 @@ class Store:
     def part(self, name: str, rows: DataFrame, order: list[str] | None = None, bucketed: bool = False) -> str:
         """Write rows as a new part of a table, which nobody sees before it is published; sorted by ``order`` in ranges."""
         part = f"{name}/{uuid.uuid4().hex[:12]}"
+        self._schemas[name] = rows.schema.json()
         if order:
             by = (["bucket"] if bucketed else []) + order
             rows = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
@@ -68,11 +71,13 @@ class Store:
 
     def read(self, name: str, state: dict | None = None) -> DataFrame | None:
         """A table as published; of nodes and threads the rows of the last load that touched their tree."""
-        parts = (state or self.manifest())["tables"].get(name)
+        state = state or self.manifest()
+        parts = state["tables"].get(name)
         if not parts:
             return None
-        rows = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.folder}/{part}") for part in parts])
-        touched = (state or self.manifest())["tables"].get("touched") if name in ("nodes", "threads") else None
+        schema = StructType.fromJson(json.loads(state["schemas"][name]))
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.folder}/{part}") for part in parts])
+        touched = state["tables"].get("touched") if name in ("nodes", "threads") else None
         if not touched:
             return rows
         newest = self.read("touched", state).groupBy("root_id").agg(F.max("load").alias("newest"))

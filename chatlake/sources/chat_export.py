@@ -18,12 +18,12 @@ CHUNK = 4_000_000
 """Characters of an export that are held at a time, besides the message that is being read."""
 
 
-def _open(path: str):
-    """A stream of bytes of a local path or of a URI of any file system pyarrow knows."""
+def open_input(path: str):
+    """A file of bytes: a local path, or a URI of any file system pyarrow knows."""
     from pyarrow import fs
 
     files, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return files.open_input_stream(place)
+    return files.open_input_file(place)
 
 
 def elements(path: str, chunk: int = CHUNK) -> Iterator[str]:
@@ -32,7 +32,7 @@ def elements(path: str, chunk: int = CHUNK) -> Iterator[str]:
     A file of any size is read with one chunk and one message in memory. ValueError if the root is neither, or ends too soon.
     """
     decode = json.JSONDecoder().raw_decode
-    with _open(path) as raw:
+    with open_input(path) as raw:
         reader = codecs.getreader("utf-8-sig")(raw)
         text, at, ended = "", 0, False
 
@@ -151,7 +151,7 @@ def broken_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def structure(spark: SparkSession, path: str) -> str:
     """``list`` or ``object``, by the first character that isn't white space; reads no more than it needs."""
-    with _open(_files(spark, path)[0]) as raw:
+    with open_input(_files(spark, path)[0]) as raw:
         reader = codecs.getreader("utf-8-sig")(raw)
         while text := reader.read(4096):
             if text.strip():

@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-SCHEMA = "id bigint, date_unixtime bigint, payload string"
+from chatlake.sources.chat_export import open_input
 
+SCHEMA = "id bigint, date_unixtime bigint, payload string"
 
-def _client(path: str) -> Callable[[], list[dict]]:
-    """The stand-in client: a JSON-lines drop file written by whatever fetches the chat."""
 
-    def fetch() -> list[dict]:
-        with open(path, encoding="utf-8") as lines:
-            return [json.loads(line) for line in lines if line.strip()]
+def _rows(path: str, start: int, end: int | None = None) -> tuple[list[dict], int]:
+    """The stand-in client: rows of a JSON-lines drop file that whatever fetches the chat appends to, from a byte on, and the byte after the last whole line.
 
-    return fetch
+    The path may be a URI of any file system that all executors reach; only the bytes from ``start`` are read.
+    """
+    with open_input(path) as raw:
+        raw.seek(start)
+        data = raw.read() if end is None else raw.read(end - start)
+    whole = data.rfind(b"\n") + 1 if end is None else len(data)
+    rest = data[whole:]
+    if rest.strip() and end is None:
+        try:
+            json.loads(rest)
+            whole = len(data)
+        except ValueError:
+            pass
+    return [json.loads(line) for line in data[:whole].splitlines() if line.strip()], start + whole
 
 
 def _recent(rows: list[dict], since: int) -> Iterator[tuple]:
@@ -32,28 +43,28 @@ class _Reader(DataSourceReader):
         self.path, self.since = options["path"], int(options.get("since", 0))
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from _recent(_client(self.path)(), self.since)
+        yield from _recent(_rows(self.path, 0)[0], self.since)
 
 
 class _StreamReader(SimpleDataSourceStreamReader):
-    """Offsets are numbers of lines of the drop file already read."""
+    """Offsets are bytes of the drop file already read, so a batch reads what was appended and nothing else."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.since = options["path"], int(options.get("since", 0))
 
     def initialOffset(self) -> dict:
-        return {"line": 0}
+        return {"byte": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = _client(self.path)()
-        return _recent(rows[start["line"] :], self.since), {"line": len(rows)}
+        rows, end = _rows(self.path, start["byte"])
+        return _recent(rows, self.since), {"byte": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return _recent(_client(self.path)()[start["line"] : end["line"]], self.since)
+        return _recent(_rows(self.path, start["byte"], end["byte"])[0], self.since)
 
 
 class LiveChat(DataSource):
-    """format("live_chat"): options path (a JSON-lines drop file) and since (epoch seconds); messages without text are skipped."""
+    """format("live_chat"): options path (a JSON-lines drop file, or its URI) and since (epoch seconds); messages without text are skipped."""
 
     @classmethod
     def name(cls) -> str:

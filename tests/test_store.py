@@ -158,7 +158,9 @@ def test_service_answers_from_cache_and_hits(spark, tmp_path):
     assert service.cache.hits == 1 and service.rank("user31")[0]["rank"] == 1 and service.rank("nobody") == []
     store.update(lines(spark, tmp_path, "2.jsonl", [message(7, text="one more ladder")]))
     assert len(service.search("ladder", 5)) == 3 and service.cache.hits == 1
+    assert service.vector_status()["available"] is False
     store.embed(store.read("messages"))
+    assert service.vector_status()["n_vectors"] == 7
     chunks = vectors.encoded(spark.createDataFrame([(1, "who took the ladder", [FIRST + 1, FIRST + 4])], "chunk_id long, text string, message_ids array<long>"), "text")
     asked = []
     found = service.answer_with_search("ladder", lambda p: asked.append(p) or "Pim", chunks, 2, 1)
