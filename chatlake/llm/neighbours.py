@@ -26,7 +26,7 @@ BLOCK_PARTS = 64
 LEAST_SCHEDULES = 6
 TABLE_RECALL = 0.99
 """Chance that a pair at the threshold meets in some schedule; the number of schedules follows from it and from the rows."""
-CELL_RECALL = 0.95
+CELL_RECALL = 0.97
 """Chance that such a pair meets within a block, from which the number of passes over the block follows."""
 CUT_BLOCKS = 4
 """A block of more than this many times its average is cut, and all pairs of its cuts are multiplied."""
