@@ -73,4 +73,4 @@ def active_users(messages: DataFrame, min_messages: int, since: int) -> DataFram
 
 def sampled(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """A uniform sample of ``n`` rows without replacement, the same for the same seed: the sampling operator."""
-    return rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(n)

@@ -56,12 +56,17 @@ def _g(fn):
     return run
 
 
-_add("gra1_nodes", _g(lambda m, n, h: n.select("node_id", "parent_id")), f"{_TREE} SELECT node AS node_id, (SELECT min(p) FROM e WHERE c = node) AS parent_id FROM nodes", True)
+def _n(fn):
+    """A query over the hierarchy of the reply links of the kept messages."""
+    return lambda spark, folder: fn(nodes(spark, folder))
+
+
+_add("gra1_nodes", _n(lambda n: n.select("node_id", "parent_id")), f"{_TREE} SELECT node AS node_id, (SELECT min(p) FROM e WHERE c = node) AS parent_id FROM nodes", True)
 _add("gra2_children", _m(lambda m: threads.children(threads.reply_edges(m), hub(m))), f"{_EDGES} SELECT c AS child_id FROM e WHERE p = {HUB_SQL}")
 _add("gra3_parent", _m(lambda m: threads.parent(threads.reply_edges(m), hub(m))), f"{_EDGES} SELECT p AS parent_id FROM e WHERE c = {HUB_SQL}")
 _add("gra4_preorder", _g(lambda m, n, h: threads.subtree(n, h).select("node_id", "place")), f"{_TREE} SELECT node AS node_id, row_number() OVER (ORDER BY path) - 1 AS place FROM t, h WHERE list_contains(path, hub)", True)
 _add("gra5_levels", _g(lambda m, n, h: threads.subtree(n, h).select("node_id", "depth")), f"{_TREE} SELECT node AS node_id, depth - list_position(path, hub) + 1 AS depth FROM t, h WHERE list_contains(path, hub)", True)
-_add("gra6_roots_of_all", _g(lambda m, n, h: n.select("node_id", "root_id")), f"{_TREE} SELECT node AS node_id, root AS root_id FROM nodes", True)
+_add("gra6_roots_of_all", _n(lambda n: n.select("node_id", "root_id")), f"{_TREE} SELECT node AS node_id, root AS root_id FROM nodes", True)
 _add("gra7_whole_thread", _g(lambda m, n, h: threads.whole_thread(n, h).select("node_id", "depth")), f"{_TREE} SELECT node AS node_id, depth FROM t WHERE root = (SELECT t2.root FROM t t2, h WHERE t2.node = hub)", True)
 
 
@@ -71,13 +76,13 @@ def _deep(nodes: DataFrame) -> DataFrame:
 
 
 _DEEPEST = "(SELECT node FROM t ORDER BY depth DESC, node LIMIT 1)"
-_add("gra8_ancestors", _g(lambda m, n, h: ancestors(n, _deep(n)).select("ancestor_id", "steps")), f"{_TREE} SELECT unnest(path) AS ancestor_id, len(path) - unnest(range(1, len(path) + 1)) AS steps FROM t WHERE node = {_DEEPEST}".replace("SELECT unnest(path) AS ancestor_id", "SELECT * FROM (SELECT unnest(path) AS ancestor_id") + ") WHERE steps > 0", True)
-_add("gra9_path", _g(lambda m, n, h: ancestors(n, _deep(n)).select(F.col("ancestor_id").alias("node_id")).unionByName(_deep(n))), f"{_TREE} SELECT unnest(path) AS node_id FROM t WHERE node = {_DEEPEST}", True)
-_add("gra4_descendants_of_roots", _g(lambda m, n, h: descendants(n, n.where((F.col("depth") == 0) & (F.col("node_id") % 20 == 0))).select("node_id", "descendant_id", "steps")), f"{_TREE} SELECT root AS node_id, node AS descendant_id, depth AS steps FROM t WHERE root % 20 = 0 AND depth > 0", True)
-_add("gra10_components", _g(lambda m, n, h: threads.components(n).select("root_id", "n_nodes")), f"{_TREE} SELECT root AS root_id, count(*) AS n_nodes FROM nodes GROUP BY root", True)
+_add("gra8_ancestors", _n(lambda n: ancestors(n, _deep(n)).select("ancestor_id", "steps")), f"{_TREE} SELECT unnest(path) AS ancestor_id, len(path) - unnest(range(1, len(path) + 1)) AS steps FROM t WHERE node = {_DEEPEST}".replace("SELECT unnest(path) AS ancestor_id", "SELECT * FROM (SELECT unnest(path) AS ancestor_id") + ") WHERE steps > 0", True)
+_add("gra9_path", _n(lambda n: ancestors(n, _deep(n)).select(F.col("ancestor_id").alias("node_id")).unionByName(_deep(n))), f"{_TREE} SELECT unnest(path) AS node_id FROM t WHERE node = {_DEEPEST}", True)
+_add("gra4_descendants_of_roots", _n(lambda n: descendants(n, n.where((F.col("depth") == 0) & (F.col("node_id") % 20 == 0))).select("node_id", "descendant_id", "steps")), f"{_TREE} SELECT root AS node_id, node AS descendant_id, depth AS steps FROM t WHERE root % 20 = 0 AND depth > 0", True)
+_add("gra10_components", _n(lambda n: threads.components(n).select("root_id", "n_nodes")), f"{_TREE} SELECT root AS root_id, count(*) AS n_nodes FROM nodes GROUP BY root", True)
 _add("gra10_undirected", _m(lambda m: threads.connected_components(threads.reply_edges(m).select(F.col("parent_id").alias("a"), F.col("child_id").alias("b")))), f"{_TREE} SELECT node, min(node) OVER (PARTITION BY root) AS component FROM nodes", True)
 _add("gra11_thread_roots", _m(lambda m: threads.roots(threads.reply_edges(m))), f"{_EDGES} SELECT DISTINCT p AS node_id FROM e WHERE p NOT IN (SELECT c FROM e)")
-_add("gra12_stats", _g(lambda m, n, h: threads.graph_stats(n)), f"{_TREE} SELECT count(*) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, count(DISTINCT root) AS n_components, max(depth) AS max_depth FROM nodes", True)
+_add("gra12_stats", _n(lambda n: threads.graph_stats(n)), f"{_TREE} SELECT count(*) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, count(DISTINCT root) AS n_components, max(depth) AS max_depth FROM nodes", True)
 _add("gra13_threads", lambda s, d: threads.thread_rows(nodes(s, d)), f"""{_TREE} SELECT root AS root_id, count(*) AS n_nodes, count(kept.id) AS n_messages, max(depth) AS max_depth, min(date_unixtime) AS first_message,
     max(date_unixtime) AS last_message, count(DISTINCT from_id) AS n_participants FROM nodes LEFT JOIN kept ON node = id GROUP BY root""", True)
 _add("gra14_thread_messages", _g(lambda m, n, h: threads.whole_thread(n, h).join(m.select(F.col("id").alias("node_id"), "date"), "node_id").select("node_id", "depth", "date")), f"{_TREE} SELECT node AS node_id, depth, date FROM t JOIN kept ON id = node WHERE root = (SELECT t2.root FROM t t2, h WHERE t2.node = hub)", True)
@@ -164,7 +169,7 @@ def _copied(rows: DataFrame) -> int:
 
 _add("sim9_similar_to", _m(lambda m: similarity.similar_to(m, _copied(m)).select("id", F.round("similarity", 6).alias("similarity"))), """, q AS (SELECT text_plain AS q, id AS qid FROM kept WHERE id = (SELECT min(id) FROM (SELECT min(id) AS id FROM kept WHERE length(text_plain) BETWEEN 30 AND 80 GROUP BY text_plain HAVING count(*) > 1))),
     x AS (SELECT id, text_plain AS t, string_split(q, '') AS a, length(q) AS n, greatest(length(q), length(text_plain)) AS longest FROM kept, q WHERE id <> qid AND length(text_plain) > 20 AND least(length(q), length(text_plain)) >= 0.7 * greatest(length(q), length(text_plain)) - 1e-9),
-    y AS (SELECT id, longest, list_reduce(string_split(t, ''), lambda row, c: list_prepend(0, list_transform(range(1, n + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN a[i] = c THEN row[i] + 1 ELSE row[i + 1] END)))), list_transform(range(n + 1), lambda i: 0)) AS r FROM x)
+    y AS (SELECT id, longest, list_reduce(string_split(t, ''), lambda row, c: list_reduce(list_transform(range(1, n + 1), lambda i: CASE WHEN a[i] = c THEN row[i] + 1 ELSE row[i + 1] END), lambda acc, x: list_append(acc, greatest(acc[-1], x)), [0::BIGINT]), list_transform(range(n + 1), lambda i: 0)) AS r FROM x)
     SELECT id, round(r[-1] / longest, 6) AS similarity FROM y WHERE r[-1] / longest >= 0.7 ORDER BY r[-1] / longest DESC, id LIMIT 10""")
 _add("sim10_all_similar", _m(lambda m: similarity.similar_pairs(sampled(m.where(F.length("text_plain") > 30), 500, seed=1), 0.8, 31).orderBy(F.desc("similarity"), "id_1", "id_2").limit(50)))
 
@@ -395,3 +400,21 @@ _add("src4_5_parse_all", _m(lambda m: chat_export.parsed(_exported(m)).select("i
     CASE WHEN has_links = 1 THEN 1 ELSE 0 END + CASE WHEN has_mentions = 1 THEN 1 ELSE 0 END AS n_entities FROM kept""")
 _add("vec7_full_text", lambda s, d: service_of.semantic_hits(messages(s, d), _store(s, d), "", 20, lambda texts: [_QUERY]).select("id", F.round("score", 5).alias("score"), F.md5("text_plain").alias("text")), f""", u AS (SELECT message_id, any_value(embedding::DOUBLE[]) AS v FROM message_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1),
     b AS (SELECT message_id, list_cosine_similarity(v, {_Q}) AS s FROM u ORDER BY s DESC, message_id LIMIT 20) SELECT id, round(s, 5) AS score, md5(text_plain) AS text FROM b JOIN kept ON id = message_id""")
+
+
+# Similar texts in SQL: characters in common bound the candidates, whose longest common subsequences come from rows of the table
+def _alike(source: str, threshold: float, apart: str = "true") -> str:
+    """Pairs id_1 < id_2 of the texts (id, from_id, t) of ``source`` at the threshold."""
+    rows = "SELECT id_1, id_2, longest, list_reduce(string_split(t, ''), lambda row, c: list_reduce(list_transform(range(1, n + 1), lambda i: CASE WHEN a[i] = c THEN row[i] + 1 ELSE row[i + 1] END), lambda acc, x: list_append(acc, greatest(acc[-1], x)), [0::BIGINT]), list_transform(range(n + 1), lambda i: 0::BIGINT)) AS r"  # in 16 parts, which run side by side
+    return f"""{source}, ch AS (SELECT id, c, count(*) AS n FROM (SELECT id, unnest(string_split(t, '')) AS c FROM s) GROUP BY 1, 2),
+    near AS (SELECT a.id AS id_1, b.id AS id_2, sum(least(a.n, b.n)) AS common FROM ch a JOIN ch b ON a.c = b.c AND a.id < b.id GROUP BY 1, 2),
+    x AS MATERIALIZED (SELECT id_1, id_2, string_split(p.t, '') AS a, q.t AS t, length(p.t) AS n, greatest(length(p.t), length(q.t)) AS longest FROM near JOIN s p ON p.id = id_1 JOIN s q ON q.id = id_2 WHERE common >= {threshold} * greatest(length(p.t), length(q.t)) - 1e-9 AND {apart}),
+    y AS ({" UNION ALL ".join(f"{rows} FROM x WHERE (id_1 + id_2) % 16 = {part}" for part in range(16))}),
+    found AS (SELECT id_1, id_2, r[-1] / longest AS similarity FROM y WHERE r[-1] / longest >= {threshold})"""
+
+
+_PLACE = "md5('{seed}:' || id)"
+SQL["src16_sample"] = f"WITH {KEPT_SQL} SELECT id FROM kept ORDER BY {_PLACE.format(seed=0)}, id LIMIT 100"
+SQL["sim8_reposts"] = f"WITH {KEPT_SQL}{_alike(', s AS (SELECT id, from_id, text_plain AS t FROM kept WHERE length(text_plain) >= 50 ORDER BY date_unixtime DESC, id LIMIT 500)', 0.9, 'p.from_id IS DISTINCT FROM q.from_id')} SELECT * FROM found"
+SQL["sim10_all_similar"] = f"WITH {KEPT_SQL}{_alike(', s AS (SELECT id, from_id, text_plain AS t FROM kept WHERE length(text_plain) > 30 ORDER BY ' + _PLACE.format(seed=1) + ', id LIMIT 500)', 0.8)} SELECT * FROM found ORDER BY similarity DESC, id_1, id_2 LIMIT 50"
+SQL["sim6_7_similar_sample"] = f"WITH {KEPT_SQL}{_alike(', s AS (SELECT id, from_id, text_plain AS t FROM kept WHERE length(text_plain) >= 30 ORDER BY ' + _PLACE.format(seed=0) + ', id LIMIT 1000)', 0.7)} SELECT found.*, substr(p.text_plain, 1, 100) AS text_1, substr(q.text_plain, 1, 100) AS text_2 FROM found JOIN kept p ON p.id = id_1 JOIN kept q ON q.id = id_2"

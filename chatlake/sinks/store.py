@@ -64,7 +64,7 @@ class Store:
         self._schemas[name] = rows.schema.json()
         if order:
             by = (["bucket"] if bucketed else []) + order
-            rows = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+            rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
         writer = rows.write.mode("errorifexists")
         (writer.partitionBy("bucket") if bucketed else writer).parquet(f"{self.folder}/{part}")
         return part

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chatlake.operators import hierarchy as H
 from chatlake.operators.dedup import SeenRanges, kept_copies, not_yet_seen, resolve_deliveries, seen_ranges
-from chatlake.operators.running import blocked_running_sum
+from chatlake.operators.running import blocked_running_sum, ranged_running_sum
 from chatlake.operators.sessions import sessionize
 
 
@@ -84,12 +84,11 @@ def expected_tree(links):
 
 
 @pytest.mark.parametrize("local", [100_000, 0])
-def test_trees_loops_and_ranges(spark, monkeypatch, local):
-    monkeypatch.setattr(H, "LOCAL_ROWS", local)
+def test_trees_loops_and_ranges(spark, local):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(1000, 1040)] + [(rng.randrange(1, n), n) for n in range(2, 60)] + [(70, 71), (71, 72), (72, 70), (72, 73), (73, 74), (80, 80), (None, 4), (5, None), (1, 2)]
     table = spark.createDataFrame([(a, b, 1) for a, b in links], "parent_id long, child_id long, depth int")
-    nodes = H.hierarchy(table).collect()
+    nodes = H.hierarchy(table, local_rows=local).collect()
     assert {r.node_id: (r.root_id, r.depth) for r in nodes} == expected_tree(links)
     by_id = {r.node_id: r for r in nodes if r.depth >= 0}
     for r in by_id.values():
@@ -103,6 +102,24 @@ def test_trees_loops_and_ranges(spark, monkeypatch, local):
     asked = spark.createDataFrame([(1003,)], "node_id long")
     assert sorted((r.ancestor_id, r.steps) for r in H.ancestors(frame, asked).collect()) == [(1000, 3), (1001, 2), (1002, 1)]
     assert H.descendants(frame, asked).count() == 37
+    everybody = frame.select("node_id").withColumn("depth", F.lit("clash"))
+    parent = {r.node_id: r.parent_id for r in by_id.values()}
+    wanted = set()
+    for node in by_id:
+        at, steps = parent[node], 1
+        while at is not None:
+            wanted.add((node, at, steps))
+            at, steps = parent[at], steps + 1
+    assert {tuple(r) for r in H.ancestors(frame, everybody).collect()} == wanted
+    assert {(r.descendant_id, r.node_id, r.steps) for r in H.descendants(frame, everybody).collect()} == wanted
+    pieces = {r.node_id: r for r in H.path_pieces(frame, 8).collect()}
+    assert pieces.keys() == by_id.keys() and max(len(r.path.split("/")) for r in pieces.values()) == 8
+    for node, path in chain.items():
+        parts, at = [], node
+        while at is not None:
+            parts, at = [pieces[at].path, *parts], pieces[at].head_id
+        assert "/".join(parts) == path
+    assert sorted(map(tuple, H.conflicting_links(spark.createDataFrame([(1, 9), (2, 9), (2, 9), (1, 8), (None, 8)], "parent_id long, child_id long")).collect())) == [(9, 2)]
 
 
 def test_a_parent_with_many_children(spark, monkeypatch):
@@ -143,6 +160,23 @@ def test_sessions_across_block_borders(chat):
         sessionize(chat(), gap=10, block=10)
 
 
+def test_running_sums_over_ranges_of_a_burst(spark):
+    rows = [("a", n % 3, n, 1) for n in range(300)] + [("b", 0, 1, 5)]
+    df = spark.createDataFrame(rows, "k string, at long, id long, v long").withColumn("block", F.lit(0))
+    got = {(r.k, r.at, r.id): r.s for r in ranged_running_sum(df, ["k"], ["at", "id"], {"s": "v"}).collect()}
+    assert [got[key] for key in sorted(k for k in got if k[0] == "a")] == list(range(300)) and got["b", 0, 1] == 0
+    whole = ranged_running_sum(df, [], ["k", "at", "id"], {"s": "v"})
+    assert [r.s for r in whole.orderBy("k", "at", "id").collect()] == list(range(301)) and whole.where("false").count() == 0
+    assert ranged_running_sum(df.where("false"), ["k"], ["at"], {"s": "v"}).count() == 0
+
+
+def test_later_loads_are_accepted_against_stored_ranges(chat):
+    rows = [{"id": 5, "is_edited": 1}, {"id": 5}, {"id": 7}, {"id": 8}, {"id": -3}, {"id": None}, {"id": 70_000}, {"id": 70_001}]
+    old = seen_ranges(chat({"id": 8}, {"id": 6}, {"id": 7}, {"id": 70_001}))
+    found = resolve_deliveries(chat(*rows), seen=old).collect()
+    assert sorted((r.id or 0, r.delivery_id) for r in found if r.accepted) == [(-3, 5), (0, 6), (5, 1), (70_000, 7)] and len(found) == 8
+
+
 def test_running_sums_by_block(spark):
     rows = [("a", n % 7, n, n * 2) for n in range(50)] + [("b", 0, 1, 5)]
     df = spark.createDataFrame(rows, "k string, block long, o long, v long")

@@ -6,7 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from chatlake.operators import chunks, fulltext, hybrid, similarity, stylometry, threads, vectors
+from chatlake.operators import chunks, fulltext, hybrid, replies, similarity, stylometry, threads, vectors
 from chatlake.operators.hierarchy import hierarchy
 from chatlake.plans import fts_query as Q
 
@@ -118,7 +118,7 @@ def test_all_similar_pairs_match_brute_force(spark, monkeypatch):
     texts = base + ["".join(c for c in rng.choice(base) if rng.random() > rng.choice((0.02, 0.2, 0.3))) for _ in range(900)] + base[:60] + ["short", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text_plain string")
     pairs, classes = similarity.similar_texts(rows).cache(), similarity.text_classes(rows)
-    assert {r.class_id for r in classes.where("id <> class_id").collect()} <= set(range(60)) and pairs.where("class_1 >= class_2").count() == 0
+    assert classes.where("class_id > id").count() == 0 and classes.where("id <> class_id").count() >= 60 and pairs.where("class_1 >= class_2").count() == 0
     got = [(r.id_1, r.id_2, r.similarity) for r in similarity.expanded(pairs, classes).collect()]
     other = similarity.similar_pairs(rows.withColumn("from_id", F.col("id") % 2), other_user=True).collect()
     assert {(r.id_1, r.id_2) for r in other} == {(a, b) for a, b, _ in got if (a - b) % 2}
@@ -179,6 +179,38 @@ def test_style_scores():
     assert abs(stylometry.overall(0.5, 0.1, 0.0) - (0.25 + 0.03) * 0.5 * 0.85) < 1e-12
 
 
+def test_many_hits_keep_all_their_neighbours(chat):
+    rows = chat(*[{"id": n, "date_unixtime": n // 2, "text_plain": "x"} for n in range(2400)])
+    hits = rows.select(F.col("id").alias("hit_id"))
+    got = replies.around_many(rows, hits, 1).collect()
+    wanted = {(n, n // 2 * 2 - 1, -1) for n in range(2, 2400)} | {(n, n // 2 * 2 + 2, 1) for n in range(2398)}
+    assert len(got) == len(wanted) and {tuple(r) for r in got} == wanted
+    nodes = hierarchy(threads.reply_edges(chat(*[{"id": n, "reply_to_message_id": n + 5000} for n in range(1500)])))
+    found = threads.context_of(nodes, nodes.where("depth = 1").select(F.col("node_id").alias("hit_id")))
+    assert found.count() == 3000 and found.where("not is_thread_context").count() == 1500
+
+
+def test_authors_match_brute_force(spark):
+    rng = random.Random(2)
+    people = []
+    for n in range(40):
+        base = rng.random()
+        grams = lambda: {g: rng.random() for g in rng.sample("abcdefghij", 6)} if rng.random() < 0.95 else {}
+        people.append((f"u{n}", [base + 0.2 * rng.random() for _ in range(77)], [rng.random() for _ in range(24)], grams(), grams(), grams()))
+    frame = spark.createDataFrame(people, "from_id string, vector array<double>, hours array<double>, bigrams map<string,double>, trigrams map<string,double>, word_bigrams map<string,double>")
+    for threshold in (0.5, 0.85):
+        wanted = {}
+        for i, a in enumerate(people):
+            for b in people[i + 1 :]:
+                dot = sum(x * y for x, y in zip(a[1], b[1], strict=True)) / (sum(x * x for x in a[1]) * sum(x * x for x in b[1])) ** 0.5
+                score = stylometry.overall(dot, stylometry.weighted_jaccard(a[3], b[3]), stylometry.weighted_jaccard(a[4], b[4]))
+                if score >= threshold:
+                    wanted[min(a[0], b[0]), max(a[0], b[0])] = score
+        got = {(r.user_1, r.user_2): r.similarity for r in stylometry.similar_authors(frame, threshold).collect()}
+        assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    assert stylometry.least_features(0.85) == 0.94 and stylometry.least_features(2.0) == 2.0
+
+
 def test_alike_authors_are_found(chat):
     rows = []
     for who, words in (("a", "the water bill is due again"), ("b", "the water bill is due again"), ("c", "ZZZ QQQ!!! 123 456 ???")):
