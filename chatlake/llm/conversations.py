@@ -102,7 +102,7 @@ def _links_locally(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes[keep], "root": root[keep], "wave": wave[keep]})
 
 
-def _joined_ranges(live: DataFrame) -> DataFrame:
+def _joined_ranges(live: DataFrame, local_rows: int) -> DataFrame:
     """node, root, wave from settled ``live`` (node, ahead, root, wave): links between ranges, followed by doubling.
 
     After round k all nodes within 2**k links of a root are emitted. Emitted nodes stay only while a waiting one may ask for
@@ -112,7 +112,7 @@ def _joined_ranges(live: DataFrame) -> DataFrame:
     waiting = -1
     while True:
         left = live.where("ahead is not null").count()
-        if left in (0, waiting) or left <= LOCAL_ROWS:
+        if left in (0, waiting) or left <= local_rows:
             if left in (0, waiting):
                 rest = live.where("ahead is null").drop("ahead")
             else:
@@ -131,7 +131,7 @@ def _joined_ranges(live: DataFrame) -> DataFrame:
         live = live.where("not final").drop("final")
 
 
-def kahn_waves(nodes: DataFrame, queue_rows: int = QUEUE_ROWS) -> DataFrame:
+def kahn_waves(nodes: DataFrame, queue_rows: int = QUEUE_ROWS, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Kahn's algorithm over reply graphs: ``nodes`` (node, parent, date, flaw; null parent for roots) to (node, root, wave, flaw).
 
     The messages are cut into ranges of ids, and each range runs its own queue, which emits a message once the one it answers
@@ -144,20 +144,21 @@ def kahn_waves(nodes: DataFrame, queue_rows: int = QUEUE_ROWS) -> DataFrame:
     entries = rows.where("node = top and ahead is not null").select("node", "ahead")
     target = rows.select(F.col("node").alias("ahead"), F.col("top").alias("their_top"), "wave", F.col("ahead").isNull().alias("rooted"))
     live = settle(entries.join(target, "ahead").select("node", F.when(~F.col("rooted"), F.col("their_top")).alias("ahead"), F.when(F.col("rooted"), F.col("their_top")).alias("root"), (F.col("wave") + 1).alias("wave")))
-    tops = _joined_ranges(live).select(F.col("node").alias("top"), "root", F.col("wave").alias("above"))
+    tops = _joined_ranges(live, local_rows).select(F.col("node").alias("top"), "root", F.col("wave").alias("above"))
     near = rows.where("ahead is null").select("node", F.col("top").alias("root"), "wave", "flaw")
     far = rows.where("ahead is not null").join(tops, "top").select("node", "root", (F.col("wave") + F.col("above")).alias("wave"), "flaw")
     return near.unionByName(far)
 
 
-def conversations(messages: DataFrame, queue_rows: int = QUEUE_ROWS) -> DataFrame:
+def conversations(messages: DataFrame, queue_rows: int = QUEUE_ROWS, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """The turns of complete conversations: root_id, turn_no, message_id, role, from_id, date_unixtime, wave.
 
     Of each id the kept copy counts. A conversation is a message that answers none, with all that answer it directly or
     through others. It is dropped if it has one message, a member without sender or time, a member older than the message it
     answers, a root without visible text, or no visible answer from another sender. Roles are opener (the root's sender) and
     answerer. Members with visible text are numbered by (date_unixtime, id), a topological order since dates never fall along
-    a link. Rows without id are no members; a null time counts as unknown. An empty table gives no rows.
+    a link. Rows without id are no members; a null time counts as unknown. An empty table gives no rows. ``queue_rows`` is the
+    size of a queue's range of ids; at most ``local_rows`` links between ranges, once counted, are followed in one task.
     """
     columns = ["id", "delivery_id", "is_edited", "edited_unixtime", "date_unixtime", "from_id", "reply_to_message_id", "text_plain"]
     kept = kept_copies(messages.select(*columns).where("id is not null"))
@@ -166,7 +167,7 @@ def conversations(messages: DataFrame, queue_rows: int = QUEUE_ROWS) -> DataFram
     above = known.select(F.col("id").alias("parent"), F.col("date").alias("parent_date"), F.col("parent").isNull().alias("below_root"))
     links = settle(known.where("parent is not null").join(above, "parent").select(F.col("id").alias("node"), "parent", "date", (nameless | (F.col("date") < F.col("parent_date"))).alias("flaw"), "below_root", "parent_date"))
     roots = links.where("below_root").groupBy(F.col("parent").alias("node")).agg(F.max("parent_date").alias("date")).select("node", F.lit(None).cast("long").alias("parent"), "date", F.lit(False).alias("flaw"))
-    waves = kahn_waves(links.select("node", "parent", "date", "flaw").unionByName(roots), queue_rows)
+    waves = kahn_waves(links.select("node", "parent", "date", "flaw").unionByName(roots), queue_rows, local_rows)
     members = settle(waves.join(known.select(F.col("id").alias("node"), "date", "sender", "shown"), "node").withColumn("flaw", F.col("flaw") | nameless))
     at_root = F.col("node") == F.col("root")
     verdict = members.groupBy("root").agg(

@@ -27,6 +27,11 @@ def p1_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations(read_table(spark, folder, "messages")).select("root_id", "turn_no", "message_id", "role", "from_id", "date_unixtime")
 
 
+def p1_in_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """p1_found with small queues and every round of the links between them distributed, as a table too large for one task's remainder runs."""
+    return conversations(read_table(spark, folder, "messages"), queue_rows=500, local_rows=0).select("root_id", "turn_no", "message_id")
+
+
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Both stores of vectors as space (store/model), key, embedding."""
     messages = read_table(spark, folder, "message_embeddings").select(F.concat(F.lit("message/"), F.coalesce("model_name", F.lit(""))).alias("space"), F.col("message_id").alias("key"), "embedding")
@@ -97,7 +102,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted,
+    "p1_found": p1_found, "p1_conversations": p1_conversations, "p1_in_rounds": p1_in_rounds, "p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted,
     "p6_found": p6_found, "p6_segments": p6_segments, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean,
     "p9_mixed_documents": p9_mixed_documents, "p9_share_report": p9_share_report, "p10_found": p10_found, "p10_sentences": p10_sentences,
 }
@@ -119,6 +124,7 @@ turns AS (
 
 SQL = {
     "p1_found": f"{_CONVERSATIONS} SELECT root_id, turn_no, message_id FROM turns",
+    "p1_in_rounds": f"{_CONVERSATIONS} SELECT root_id, turn_no, message_id FROM turns",
     "p1_conversations": f"{_CONVERSATIONS} SELECT * FROM turns",
     "p2_found": """WITH stored AS (
         SELECT 'message' AS store, message_id AS key, coalesce(model_name, '') AS model, embedding FROM message_embeddings

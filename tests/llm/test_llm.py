@@ -43,15 +43,14 @@ def expected_turns(rows):
 
 
 @pytest.mark.parametrize(("local", "queue"), [(100_000, 500_000), (-1, 20), (100_000, 20)])
-def test_conversations_match_brute_force(chat, monkeypatch, local, queue):
-    monkeypatch.setattr("chatlake.llm.conversations.LOCAL_ROWS", local)
+def test_conversations_match_brute_force(chat, local, queue):
     rng = random.Random(4)
     rows = []
     for n in range(1, 400):
         rows.append({"id": n, "from_id": rng.choice(["a", "b", "b", "c"] * 9 + ["", None]), "date_unixtime": n * 10 if rng.random() < 0.98 else rng.choice([0, 5]), "text_plain": rng.choice(["hi", "yes", "no"] * 6 + ["", " ‏", None]), "reply_to_message_id": rng.choice([None, rng.randrange(max(1, n - 9), n) if n > 1 else None, None if n % 40 else n + 3, 5000 if n % 50 == 0 else None])})
     rows += [{"id": 1000 + n, "from_id": "ab"[n % 2], "date_unixtime": 10_000 + n, "text_plain": "deep", "reply_to_message_id": 999 + n if n else None} for n in range(60)]
     rows += [{"id": 2000, "from_id": "a", "date_unixtime": 7, "text_plain": "x", "reply_to_message_id": 2001}, {"id": 2001, "from_id": "b", "date_unixtime": 7, "text_plain": "x", "reply_to_message_id": 2000}]
-    got = conversations(chat(*rows, {"id": None, "from_id": "z"}).withColumn("role", F.lit(1)).withColumn("node", F.lit(1)), queue)
+    got = conversations(chat(*rows, {"id": None, "from_id": "z"}).withColumn("role", F.lit(1)).withColumn("node", F.lit(1)), queue, local)
     assert sorted((r.root_id, r.turn_no, r.message_id, r.role) for r in got.collect()) == expected_turns(rows)
     assert conversations(chat()).count() == 0
 
