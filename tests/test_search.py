@@ -3,6 +3,7 @@
 import random
 import sqlite3
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,23 @@ def test_all_similar_pairs_match_brute_force(spark, monkeypatch):
     assert len(texts) > similarity.SAMPLE and len(got) == len(wanted) and {(a, b): s for a, b, s in got} == wanted
 
 
+def test_like_texts_are_left_out_before_their_lcs(monkeypatch):
+    """Texts of the same characters in another order: character counts leave out no pair, the bound after a part of the text nearly all."""
+    rng, base = random.Random(5), "the water bill before the storm and the old router of the new tenants, as agreed " * 2
+    texts = ["".join(rng.sample(base, len(base))) for _ in range(250)]
+    texts += [t[:40] + t[60:] for t in texts[:20]]
+    whole, compare = [], similarity._side_by_side
+    monkeypatch.setattr(similarity, "CALL", 0)
+    monkeypatch.setattr(similarity, "_side_by_side", lambda *x: whole.append(len(x[2])) or compare(*x))
+    rows = pd.DataFrame({"rep": range(len(texts)), "text": texts})
+    found = similarity._compared(rows, None, 0.7)
+    assert {tuple(sorted(x)) for x in zip(found.rep_1, found.rep_2)} == {(n, n + 250) for n in range(20)} and len(found) == 20
+    assert all(s == similarity.lcs_similarity(texts[a], texts[b]) for a, b, s in found.itertuples(index=False))
+    assert 20 <= sum(whole) < 0.1 * len(texts) * (len(texts) - 1) / 2
+    parts = similarity._compared(rows[:250], rows[250:], 0.7)
+    assert set(zip(parts.rep_1, parts.rep_2)) == {(n, n + 250) for n in range(20)}
+
+
 def test_vectors(spark):
     rows = [(1, "a", [1.0, 0.0], "m"), (2, "b", [0.9, 0.1], "m"), (3, "a", [0.0, 1.0], "m"), (4, "c", [0.0, 0.0], "m"), (5, "c", None, "m"), (6, "c", [float("nan"), 1.0], "m")]
     store = vectors.usable(spark.createDataFrame(rows, "message_id long, from_name string, embedding array<float>, model_name string"), 2)
