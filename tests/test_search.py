@@ -149,6 +149,12 @@ def test_like_texts_are_left_out_before_their_lcs(monkeypatch):
     assert 20 <= sum(whole) < 0.1 * len(texts) * (len(texts) - 1) / 2
     parts = similarity._compared(rows[:250], rows[250:], 0.7)
     assert set(zip(parts.rep_1, parts.rep_2)) == {(n, n + 250) for n in range(20)}
+    for size in (254, 255, 256, 600):  # around the limits of small numbers and of the buckets
+        letters = [chr(0x4E00 + n) for n in range(size)]
+        texts = ["".join(rng.sample(letters, size))[:250] for _ in range(40)] + ["".join(letters)]
+        texts += [t[:-9] for t in texts[:5]]
+        found = similarity._compared(pd.DataFrame({"rep": range(len(texts)), "text": texts}), None, 0.7)
+        assert {tuple(sorted(x)) for x in zip(found.rep_1, found.rep_2)} == {(n, n + 41) for n in range(5)}
 
 
 def test_vectors(spark):
